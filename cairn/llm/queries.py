@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators, and oracle SQL where SQL can express one."""
 
 from cairn.llm.language_id import op6_language_id
+from cairn.llm.quality import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op6_language_id,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_language_id)}
 ORACLES: dict[str, str] = {}
