@@ -90,7 +90,8 @@ def train(labelled: DataFrame, rows_per_lang: int = 1500, max_chars: int = 12_00
     d = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     d = d.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= max_chars))
     rate = d.groupBy("lang").agg((F.lit(float(rows_per_lang)) / F.count("*")).alias("rate"))
-    d = d.join(rate, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    # one row per language, as the model has one column for each: small by construction
+    d = d.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     grams = (
         d.select("lang", text_bytes(F.lower("text")).alias("text"))
         .mapInArrow(_count_grams, "lang string, gram long, n long")
