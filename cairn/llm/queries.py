@@ -1,10 +1,15 @@
 """Registered queries of the training-data operators, and oracle SQL where SQL can express one."""
 
+from cairn.llm import licenses
 from cairn.llm.brown_lm import op2_brown_lm
 from cairn.llm.decontaminate import op9_decontamination
 from cairn.llm.jaccard_join import op5_ngram_jaccard_join
 from cairn.llm.language_id import op6_language_id
+from cairn.llm.licenses import op8_license_scan
 from cairn.llm.quality import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_brown_lm, op5_ngram_jaccard_join, op6_language_id, op9_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_brown_lm, op5_ngram_jaccard_join, op6_language_id, op8_license_scan, op9_decontamination)
+}
+ORACLES = {"op8_license_scan": licenses.oracle()}
