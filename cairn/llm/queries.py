@@ -6,10 +6,11 @@ from cairn.llm.decontaminate import op9_decontamination
 from cairn.llm.jaccard_join import op5_ngram_jaccard_join
 from cairn.llm.language_id import op6_language_id
 from cairn.llm.licenses import op8_license_scan
+from cairn.llm.pii import op10_pii_pseudonyms
 from cairn.llm.quality import op1_quality_rules
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_brown_lm, op5_ngram_jaccard_join, op6_language_id, op8_license_scan, op9_decontamination)
+    for f in (op1_quality_rules, op2_brown_lm, op5_ngram_jaccard_join, op6_language_id, op8_license_scan, op9_decontamination, op10_pii_pseudonyms)
 }
 ORACLES = {"op8_license_scan": licenses.oracle()}
