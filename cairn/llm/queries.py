@@ -8,9 +8,10 @@ from cairn.llm.language_id import op6_language_id
 from cairn.llm.licenses import op8_license_scan
 from cairn.llm.pii import op10_pii_pseudonyms
 from cairn.llm.quality import op1_quality_rules
+from cairn.llm.repair_tokens import op7_repair_tokens
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_brown_lm, op5_ngram_jaccard_join, op6_language_id, op8_license_scan, op9_decontamination, op10_pii_pseudonyms)
+    for f in (op1_quality_rules, op2_brown_lm, op5_ngram_jaccard_join, op6_language_id, op7_repair_tokens, op8_license_scan, op9_decontamination, op10_pii_pseudonyms)
 }
 ORACLES = {"op8_license_scan": licenses.oracle()}
