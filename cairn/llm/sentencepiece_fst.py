@@ -273,7 +273,8 @@ def decode(model: Model, ids: np.ndarray) -> bytes:
     return out[1:] if out[:1] == b" " else out
 
 
-_ENCODERS: dict[int, Encoder] = {}
+#: The worker's encoder, which outlives a task so that segments stay remembered.
+_ENCODER: list[Encoder] = []
 
 
 def encode_and_decode(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None, with_ids: bool = True, with_text: bool = True) -> DataFrame:
@@ -295,10 +296,9 @@ def encode_and_decode(docs: DataFrame, model: Model, keep: tuple[str, ...] | Non
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(held.id)
-        if encoder is None:
-            _ENCODERS.clear()
-            encoder = _ENCODERS[held.id] = Encoder(held.value)
+        if not _ENCODER or _ENCODER[0].m is not held.value:
+            _ENCODER[:] = [Encoder(held.value)]
+        encoder = _ENCODER[0]
         for c in chunks(batches, "__bytes"):
             texts = c.texts()
             ids = encoder.encode(texts)
