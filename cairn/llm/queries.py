@@ -9,10 +9,11 @@ from cairn.llm.licenses import op8_license_scan
 from cairn.llm.pii import op10_pii_pseudonyms
 from cairn.llm.quality import op1_quality_rules
 from cairn.llm.repair_tokens import op7_repair_tokens
+from cairn.llm.secrets import op3_secret_scan
 from cairn.llm.sentencepiece_fst import op4_sentencepiece
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_brown_lm, op4_sentencepiece, op5_ngram_jaccard_join, op6_language_id, op7_repair_tokens, op8_license_scan, op9_decontamination, op10_pii_pseudonyms)
+    for f in (op1_quality_rules, op2_brown_lm, op3_secret_scan, op4_sentencepiece, op5_ngram_jaccard_join, op6_language_id, op7_repair_tokens, op8_license_scan, op9_decontamination, op10_pii_pseudonyms)
 }
 ORACLES = {"op8_license_scan": licenses.oracle()}
