@@ -9,7 +9,9 @@ reaches `percent` / 100.  The join is exact up to 64-bit hashes of words, shingl
    counting in every task; the order affects the cost only.
 3. Index-level skipping: a list is sorted by the position of its shingle in each set.  The set at
    the lowest position leads the list and is compared with the others; position and size bounds
-   skip those that cannot reach the threshold, and lists with equal members are kept once.
+   skip those that cannot reach the threshold, and lists with equal members are kept once.  Parity
+   cells, about two bits for each shingle, bound the symmetric difference of a pair from below and
+   rule out most false candidates before whole sets are moved.
 4. Answer-level skipping: sets linked to their leader are connected already.  Of the pairs of a list
    in different components, the overlaps with the shared leader X bound the overlap of Y and Z,
 
@@ -46,6 +48,23 @@ def _set_id(hashes: np.ndarray) -> int:
         return int(mix64(mix64(both[:1]) + both[1:]).view(np.int64)[0])
 
 
+def _bits(hashes: np.ndarray) -> bytes:
+    """Per cell the parity of how many hashes fall there; about two cells per hash, 256 to 2**17 in all."""
+    cells = min(1 << 17, max(256, 1 << (2 * len(hashes)).bit_length()))
+    at = ((hashes >> _U(7)) & _U(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of the symmetric difference: cells of different parity."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class _Frequent:
     """Counts hashes, and drops those seen once whenever it grows too large."""
 
@@ -83,9 +102,10 @@ def _profile(size: int, share: float, most: int):
                     seen.add(i)
                     counts.add(s)
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.record_batch([c.column("doc_id").cast(pa.int64()), n, pa.array(sid, pa.int64()), pa.array(np.zeros(len(sets), np.bool_))], ["doc_id", "n", "sid", "is_count"])
+            bits = pa.array([_bits(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.record_batch([c.column("doc_id").cast(pa.int64()), n, pa.array(sid, pa.int64()), pa.array(np.zeros(len(sets), np.bool_)), bits], ["doc_id", "n", "sid", "is_count", "bits"])
         h, n = counts.top(max(3, int(share * len(seen))), most)
-        yield pa.record_batch([pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), np.bool_))], ["doc_id", "n", "sid", "is_count"])
+        yield pa.record_batch([pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), np.bool_)), pa.nulls(len(h), pa.binary())], ["doc_id", "n", "sid", "is_count", "bits"])
 
     return run
 
@@ -175,23 +195,12 @@ def _lists(frequent):
     return run
 
 
-def _sets(size: int, wanted):
-    """(sid, hashes) of the sets wanted: of all where wanted is None."""
+def _sets(size: int):
+    """(sid, hashes) of rows whose text has the set they are wanted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen = None if wanted is None else wanted.value, set()
         for c in chunks(batches):
-            out = []
-            for s in shingle_sets(c, size):
-                sid = _set_id(s) if len(s) else 0
-                if not len(s) or sid in seen:
-                    continue
-                if ids is not None:
-                    k = int(np.searchsorted(ids, sid))
-                    if k == len(ids) or ids[k] != sid:
-                        continue
-                seen.add(sid)
-                out.append((sid, s.tobytes()))
+            out = [(i, s.tobytes()) for i, s in zip(c.column("sid").to_pylist(), shingle_sets(c, size)) if len(s) and _set_id(s) == i]
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", "hashes"])
 
     return run
@@ -209,6 +218,27 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("a"), b.column("b"), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(n[:, 2])], ["a", "b", "n_a", "n_b", "both"])
 
 
+def _not_ruled_out(percent: int):
+    """Pairs whose cells of different parity leave room for the overlap they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            room = total - 2 * -(-percent * total // (100 + percent))
+            least = [_least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("x"), b.column("y"))]
+            ok = pa.array(np.array(least, np.int64) <= room)
+            yield pa.record_batch([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    return run
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of distinct set ids that the parity cells of both sets do not rule out."""
+    with_a = pairs.join(classes.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x")), "a")
+    both = with_a.join(classes.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y")), "b")
+    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_not_ruled_out(percent), "a long, b long")
+
+
 def _reaches(n_a: str, n_b: str, both: str, percent: int):
     """100 |A∩B| >= percent |A∪B| for the overlap (or a bound of it) in the SQL expression both."""
     return F.expr(f"(100 + {percent}) * ({both}) >= {percent} * ({n_a} + {n_b})")
@@ -220,7 +250,7 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_a.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, both long")
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_share: float = 0.0005, most_hot: int = 50_000, broadcast_ids: int = 1_000_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_share: float = 0.0005, most_hot: int = 50_000, broadcast_ids: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, set_id, class_id and component_id of every row of docs (doc_id, text).
 
     class_id is the least doc_id with an equal set, component_id the least one reachable by links.
@@ -230,10 +260,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    found = stage(texts.mapInArrow(_profile(size, hot_share, most_hot), "doc_id long, n long, sid long, is_count boolean"), "profiles")
-    profiles = found.where(~F.col("is_count"))
+    found = stage(texts.mapInArrow(_profile(size, hot_share, most_hot), "doc_id long, n long, sid long, is_count boolean, bits binary"), "profiles")
+    profiles = found.where(~F.col("is_count")).select("doc_id", "n", "sid", "bits")
     sized = profiles.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = sized.groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"))
+    classes = stage(sized.groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "classes")
 
     top = found.where("is_count").groupBy("sid").agg(F.sum("n").alias("df")).where("df >= 8").orderBy(F.desc("df"), "sid").limit(most_hot).toArrow()
     hot, df = top["sid"].to_numpy().view(np.uint64), top["df"].to_numpy()
@@ -253,27 +283,29 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
     led = members.where((F.col("sid") != F.col("leader")) & _reaches("n", "leader_n", bound, percent)).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
     heads = members.where("split and sid = leader")
     over = heads.groupBy("list_id").agg(F.min(F.struct("pos", "sid")).alias("m")).join(heads.select("list_id", "sid"), "list_id").where("m.sid <> sid")
-    pairs = stage(led.unionByName(over.select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))).distinct(), "pairs")
-
-    ids = members.select("sid").distinct()
-    n_ids = ids.count()
-    if n_ids <= broadcast_ids:
-        wanted = spark.sparkContext.broadcast(np.sort(ids.toArrow()["sid"].to_numpy()))
-        sets = stage(some.mapInArrow(_sets(size, wanted), "sid long, hashes binary").dropDuplicates(["sid"]), "sets")
-    else:
-        near = classes.join(ids, "sid").select(F.col("class_id").alias("doc_id"))
-        sets = stage(some.join(near, "doc_id", "left_semi").mapInArrow(_sets(size, None), "sid long, hashes binary").dropDuplicates(["sid"]), "sets")
-
+    led = led.unionByName(over.select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))).distinct()
+    pairs = stage(_possible(led, classes, percent), "pairs")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Sets of all ids in pairs, made anew from one text of each class; texts are shuffled only if the ids are many."""
+        ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes, "sid").select("sid", F.col("class_id").alias("doc_id")), "ids")
+        near = some.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id")
+        out = stage(near.select("sid", "text").mapInArrow(_sets(size), "sid long, hashes binary"), "sets")
+        release(ids)
+        return out
+
+    sets = sets_of(pairs)
     first = stage(_measure(pairs, sets), "overlaps")
     links = first.where(_reaches("n_a", "n_b", "both", percent)).select("a", "b")
     groups = connected_components(links)
     more = _open_pairs(members, first, groups, percent)
     if more.take(1):
-        sure = more.where("sure").select("a", "b")
-        second = stage(_measure(more.where("not sure").select("a", "b"), sets).where(_reaches("n_a", "n_b", "both", percent)).select("a", "b").unionByName(sure), "links")
+        sure, unsure = more.where("sure").select("a", "b"), stage(_possible(more.where("not sure").select("a", "b"), classes, percent), "pairs")
+        others = sets_of(unsure)
+        second = stage(_measure(unsure, others).where(_reaches("n_a", "n_b", "both", percent)).select("a", "b").unionByName(sure), "links")
         if second.take(1):
             groups = connected_components(links.unionByName(second))
-        release(second)
+        release(second, others, unsure)
     release(more, members, pairs, sets, first)
 
     at = profiles.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
