@@ -148,7 +148,7 @@ def _build(grams: pa.Table, model_bytes: int) -> PpmModel:
         deep = np.bincount(row[row >= 0] * size + d[row >= 0], m[row >= 0], len(kept3) * size).reshape(-1, size)
         c3 = cost(deep, c2[kept3 % size**2])
         costs[:, :, j] = np.concatenate([c0[None], c1, c2[kept2], c3])
-    return PpmModel(langs, class_of, node3.astype(np.int32), costs.reshape(-1, len(langs)), size)
+    return PpmModel(langs, class_of, node3.astype(np.int32), costs.reshape(costs.shape[0] * size, len(langs)), size)
 
 
 def code_lengths(model: PpmModel, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

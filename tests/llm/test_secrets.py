@@ -1,0 +1,42 @@
+import random
+
+from cairn.llm import secrets
+from tests.llm.fixtures import folder, frame, rows, with_clashes
+
+
+def planted():
+    rng = random.Random(2)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    big = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    word = lambda: "".join(rng.choice(["tion", "house", "river", "stone", "light"]) for _ in range(5))
+    out, want = [], set()
+    for i in range(90):
+        secret, lead = [(hexes(40), 'token = "'), ("AKIA" + big(16), ""), (hexes(18), "password=")][i % 3]
+        out.append((500 + i, f"the {word()} walks {lead}{secret}{chr(34) if i % 3 == 0 else ''} over the bridge {word()}", "en", "s", 0))
+        want.add((500 + i, secret))
+    return out, want
+
+
+def test_secrets_found_and_words_left(spark, tmp_path):
+    data, want = planted()
+    texts = {i: t.encode() for i, t, *_ in data + rows() if t and i is not None}
+    got = secrets.op3_secret_scan(spark, folder(spark, tmp_path, data + rows())).collect()
+    assert {(r.doc_id, texts[r.doc_id][r.start : r.end].decode()) for r in got if r.is_secret} == want
+    assert any(not r.is_secret for r in got)
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    data, want = planted()
+    df = frame(spark, data + rows())
+    dictionary, forest, _ = secrets.learn(df)
+    out = secrets.redact(with_clashes(df), dictionary, forest)
+    assert out.columns == with_clashes(df).columns and out.count() == len(data) + len(rows())
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert all(s not in text[i] and "<SECRET>" in text[i] for i, s in want)
+    assert all(text[r[0]] == r[1] for r in rows())
+
+
+def test_one_label_and_empty_table(spark):
+    _, forest, found = secrets.learn(frame(spark))
+    assert not any(r.is_secret for r in secrets.judge(found, forest).collect())
+    assert secrets.learn(frame(spark, []))[2].count() == 0
