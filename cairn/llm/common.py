@@ -205,3 +205,23 @@ def shingle_sets(chunk: Chunk, size: int = 5) -> list[np.ndarray]:
                 own = mix64(np.array([(own * _MULTS[: len(own)]).sum(dtype=np.uint64) + _U(len(own))], np.uint64))
         out.append(own)
     return out
+
+
+class Remembered(dict):
+    """What make(key) gives, remembered for the keys in use; at most about twice `room` at a time."""
+
+    def __init__(self, make, room: int):
+        self.make, self.room, self.older = make, room, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def age(self) -> None:
+        """Call between chunks: what has not been asked for since the last time but one may go."""
+        if len(self) > self.room:
+            self.older = dict(self)
+            self.clear()

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,27 +28,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import chunks, read, stage, text_bytes
+from cairn.llm.common import Remembered, chunks, read, stage, text_bytes
 
 END = 1
-_CACHED = 400_000
+_CACHED = 600_000
 _CODERS: dict[str, WordCoder] = {}
 
 
 class WordCoder:
     """Encodes texts word by word, which the vocabulary's rules allow: white space always parts tokens.
 
-    Words are remembered, so each worker encodes a word once.  A text that holds one of the special
-    tokens' strings is encoded whole.
+    The vocabulary ignores case, so ASCII is lower-cased first; stops and commas are parted from the
+    letter or digit before them, as its rules do, unless the text has one behind another sign, with
+    which it would form one token.  Words are remembered, those in use longest, so each worker encodes
+    most words once.  A text that holds one of the special tokens' strings is encoded whole.
     """
 
+    _JOINED = re.compile(r"[^\s\w][.,]|_[.,]")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[bytes, bytes] = {}
+        self.ids = Remembered(self._learn, _CACHED)
 
     @classmethod
     def at(cls, path: str) -> WordCoder:
@@ -54,21 +60,20 @@ class WordCoder:
             _CODERS[path] = cls(path)
         return _CODERS[path]
 
-    def _learn(self, words: set[bytes]) -> None:
-        fresh = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        self.ids.update(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in found)))
+    def _words(self, text: bytes) -> list[bytes]:
+        low = text.lower()
+        if self._JOINED.search(low.decode("utf-8", "replace")) is None:
+            low = low.replace(b".", b" .").replace(b",", b" ,")
+        return low.split()
+
+    def _learn(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        docs = [t.split() for t in texts]
-        if len(self.ids) > _CACHED:
-            self.ids.clear()
-        fresh = set(itertools.chain.from_iterable(docs)).difference(self.ids)
-        if fresh:
-            self._learn(fresh)
+        self.ids.age()
         get, end = self.ids.__getitem__, END.to_bytes(4, "little")
-        out = [b"".join(map(get, d)) + end for d in docs]
+        out = [b"".join(map(get, self._words(t))) + end for t in texts]
         for i, t in enumerate(texts):
             if any(s in t for s in self.special):
                 out[i] = np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() + end
