@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ class WordCoder:
     most words once.  A text that holds one of the special tokens' strings is encoded whole.
     """
 
+    _SIGNED = re.compile(rb"([a-z\x80-\xff]+)([#$%&*!|;:?)]+)")
     _JOINED = re.compile(r"[^\s\w][.,]|_[.,]")
 
     def __init__(self, path: str):
@@ -53,6 +55,9 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids = Remembered(self._learn, _CACHED)
+        # byte-level form: bytes that do not print as Latin-1 stand for characters from 256 on
+        printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_form = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printing)}
 
     @classmethod
     def at(cls, path: str) -> WordCoder:
@@ -66,7 +71,21 @@ class WordCoder:
             low = low.replace(b".", b" .").replace(b",", b" ,")
         return low.split()
 
+    @staticmethod
+    def _plain(word: bytes) -> bool:
+        """Letters that the normaliser leaves alone and the pre-tokeniser keeps together."""
+        if word.isascii():
+            return word.isalpha()
+        s = word.decode("utf-8", "replace")
+        return s.isalpha() and max(s) < "\u0250" and s.lower() == s and is_normalized("NFC", s)
+
     def _learn(self, word: bytes) -> bytes:
+        if self._plain(word):
+            form = word.decode("latin-1")
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(form if word.isascii() else form.translate(self.byte_form))]).tobytes()
+        parts = self._SIGNED.fullmatch(word)
+        if parts and self._plain(parts[1]):
+            return self.ids[parts[1]] + self.ids[parts[2]]
         return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -80,6 +99,14 @@ class WordCoder:
         return out
 
 
+_CELLS = 1 << 20
+
+
+def _cell(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of pairs of symbols to _CELLS."""
+    return (left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(12)
+
+
 def compress(ids: np.ndarray, first_rule: int, rounds: int = 8, rules_per_round: int = 1024, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, sequence): pairs of symbols, ids that each expands to, and ids with pairs replaced."""
     seq = ids.astype(np.uint32)
@@ -89,21 +116,25 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 8, rules_per_round:
         if len(seq) < 2:
             break
         left, right = seq[:-1], seq[1:]
-        cell = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        counts = np.bincount(cell, minlength=1 << 20)
+        cell = _cell(left, right)
+        counts = np.bincount(cell, minlength=_CELLS)
         # cells with too few pairs hold no frequent one; pairs are counted exactly in the others
         top = np.partition(counts, -2 * rules_per_round)[-2 * rules_per_round]
         at = np.flatnonzero((counts >= max(min_count, top))[cell] & (left != END))
         key = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-        pairs, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+        pairs, n = np.unique(key, return_counts=True)
         chosen = np.argsort(-n, kind="stable")[:rules_per_round]
         chosen = chosen[n[chosen] >= min_count]
         if not len(chosen):
             break
-        rank = np.full(len(pairs), -1)
-        rank[chosen] = np.arange(len(chosen))
-        rule = rank[inverse]
-        at, rule = at[rule >= 0], rule[rule >= 0]
+        # one pair per cell, so that a cell leads to its rule; the others have their turn in a later round
+        chosen = chosen[np.sort(np.unique(_cell(pairs[chosen] >> np.uint64(32), pairs[chosen]), return_index=True)[1])]
+        made = pairs[chosen]
+        rule_of = np.full(_CELLS, -1)
+        rule_of[_cell(made >> np.uint64(32), made)] = np.arange(len(made))
+        rule = rule_of[cell[at]]
+        hit = (rule >= 0) & (made[rule] == key)
+        at, rule = at[hit], rule[hit]
         # of overlapping places take those more frequent than both neighbours, then every other of the rest
         near = np.diff(at) == 1
         best = np.ones(len(at), bool)
@@ -119,7 +150,7 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 8, rules_per_round:
             best[rest[since % 2 == 0]] = True
         at, rule = at[best], rule[best]
         base = len(lengths)
-        made = np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        made = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(made)
         lengths = np.concatenate([lengths, lengths[made[:, 0]] + lengths[made[:, 1]]])
         seq = seq.copy()
