@@ -4,21 +4,25 @@ A document's set holds its distinct five-word shingles.  Two sets link when thei
 reaches `percent` / 100.  The join is exact up to 64-bit hashes of words, shingles and sets:
 
 1. Equal sets are one set from here on, so copies cost nothing.
-2. Prefix index: shingles are put in one fixed order, rare before frequent, and each set is listed
-   under its first n - ceil(t n) + 1; linked sets share one of these.  Frequent shingles are found by
-   counting in every task; the order affects the cost only.
+2. Prefix index: shingles are put in one fixed order, and each set is listed under its first
+   n - ceil(t n) + 1; linked sets share one of these.  Shingles of `hot_sets` sets or more come last,
+   by number of sets, so that passages many texts share list none of them.  Sets are counted for all
+   shingles in the lower half of the hash range, the only ones that come early in any text; of more
+   than `most_hot` frequent ones the most frequent are taken.  The order affects the cost only.
 3. Index-level skipping: a list is sorted by the position of its shingle in each set.  The set at
    the lowest position leads the list and is compared with the others; position and size bounds
    skip those that cannot reach the threshold, and lists with equal members are kept once.  Parity
    cells, about two bits for each shingle, bound the symmetric difference of a pair from below and
    rule out most false candidates before whole sets are moved.
-4. Answer-level skipping: sets linked to their leader are connected already.  Of the pairs of a list
-   in different components, the overlaps with the shared leader X bound the overlap of Y and Z,
+4. Answer-level skipping: sets linked to their leader are connected already.  Sets outside the
+   leader's component are compared with another member of it per list, which connects most.  Of
+   the pairs of a list still in different components, the overlaps with the shared leader X bound
+   the overlap of Y and Z,
 
        |X∩Y| + |X∩Z| - |X|  <=  |Y∩Z|  <=  min(|X∩Z| + |Y\\X|, |X∩Y| + |Z\\X|),
 
-   and only pairs that the bounds leave open are compared.  Outsiders of a list are matched with its
-   members in a join, which adaptive execution splits where a list is long.
+   and only pairs that these bounds, then the parity cells, leave open are compared.  Outsiders of a
+   list meet its members in blocks of `block_rows`, so no task holds a long list.
 
 Lists of very frequent shingles are dealt to tasks in parts of about `list_rows` sets; the leaders of
 the parts are compared too, and step 4 sees the whole list.
@@ -55,6 +59,14 @@ def _bits(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def _fold(bits: bytes, most: int = 128) -> bytes:
+    """The same cells folded into at most so many bytes."""
+    x = np.frombuffer(bits, np.uint64)
+    while 8 * len(x) > most:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def _least_difference(x: bytes, y: bytes) -> int:
     """A lower bound of the size of the symmetric difference: cells of different parity."""
     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -65,47 +77,76 @@ def _least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-class _Frequent:
-    """Counts hashes, and drops those seen once whenever it grows too large."""
-
-    def __init__(self, room: int = 2_000_000):
-        self.h, self.n, self.new, self.size, self.room = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, room
-
-    def add(self, hashes: np.ndarray) -> None:
-        self.new.append(hashes)
-        self.size += len(hashes)
-        if self.size > self.room:
-            self.merge()
+_CODE_BITS, _PLANES = 43, 5
 
-    def merge(self) -> None:
-        h, n = np.unique(np.concatenate(self.new), return_counts=True) if self.new else (self.h[:0], self.n[:0])
-        h, at = np.unique(np.concatenate([self.h, h]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([self.n, n]), len(h)).astype(np.int64)
-        keep = n > 1
-        self.h, self.n, self.new, self.size = h[keep], n[keep], [], 0
 
-    def top(self, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        self.merge()
-        at = np.flatnonzero(self.n >= least)
-        at = at[np.argsort(-self.n[at], kind="stable")[:most]]
-        return self.h[at], self.n[at]
+def _codes(hashes: np.ndarray) -> np.ndarray:
+    """What a shingle is counted under: the upper bits of its hash."""
+    return (hashes >> _U(63 - _CODE_BITS)).view(np.int64)
 
 
-def _profile(size: int, share: float, most: int):
+def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = _Frequent(), set()
         for c in chunks(batches):
             sets = shingle_sets(c, size)
             sid = [_set_id(s) if len(s) else 0 for s in sets]
-            for s, i in zip(sets, sid):
-                if i not in seen:
-                    seen.add(i)
-                    counts.add(s)
-            n = pa.array([len(s) for s in sets], pa.int64())
-            bits = pa.array([_bits(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.record_batch([c.column("doc_id").cast(pa.int64()), n, pa.array(sid, pa.int64()), pa.array(np.zeros(len(sets), np.bool_)), bits], ["doc_id", "n", "sid", "is_count", "bits"])
-        h, n = counts.top(max(3, int(share * len(seen))), most)
-        yield pa.record_batch([pa.nulls(len(h), pa.int64()), pa.array(n), pa.array(h.view(np.int64)), pa.array(np.ones(len(h), np.bool_)), pa.nulls(len(h), pa.binary())], ["doc_id", "n", "sid", "is_count", "bits"])
+            bits = [_bits(s) if len(s) else None for s in sets]
+            few = [None if x is None else _fold(x) for x in bits]
+            cols = [c.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(few, pa.binary())]
+            yield pa.record_batch(cols, ["doc_id", "n", "sid", "bits", "few_bits"])
+
+    return run
+
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(id, hashes) of the non-empty sets of a task, equal ones once."""
+    seen = set()
+    for c in chunks(batches):
+        for s in shingle_sets(c, size):
+            sid = _set_id(s) if len(s) else 0
+            if len(s) and sid not in seen:
+                seen.add(sid)
+                yield sid, s
+
+
+def _count(size: int, buckets: int, flush: int = 3_000_000):
+    """Rows (bucket, codes): codes of the lower half of all shingles, sorted, as byte planes of their differences."""
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        codes = np.sort(np.concatenate(held))
+        bucket = (codes * buckets) >> _CODE_BITS
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+        steps = np.diff(codes, prepend=0)
+        steps[edge] = codes[edge]
+        planes = steps.view(np.uint8).reshape(-1, 8)
+        blobs = [planes[s:e, :_PLANES + 1].T.tobytes() for s, e in zip(edge, np.append(edge[1:], len(codes)))]
+        return pa.record_batch([pa.array(bucket[edge]), pa.array(blobs, pa.binary())], ["bucket", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for _, s in _distinct_sets(batches, size):
+            held.append(_codes(s[: np.searchsorted(s, _U(1 << 63))]))
+            rows += len(held[-1])
+            if rows > flush:
+                yield pack(held)
+                held, rows = [], 0
+        if rows:
+            yield pack(held)
+
+    return run
+
+
+def _frequent_codes(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for blob in table["codes"].to_pylist():
+            planes = np.frombuffer(blob, np.uint8).reshape(_PLANES + 1, -1)
+            wide = np.zeros((planes.shape[1], 8), np.uint8)
+            wide[:, : _PLANES + 1] = planes.T
+            parts.append(np.cumsum(wide.view(np.int64).ravel()))
+        code, n = np.unique(np.concatenate(parts), return_counts=True)
+        keep = n >= least
+        return pa.table([pa.array(code[keep]), pa.array(n[keep])], names=["code", "n"])
 
     return run
 
@@ -119,48 +160,46 @@ def _post(size: int, percent: int, buckets: int, frequent, flush: int = 200_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank, parts = frequent.value
-        held, rows, seen = [], 0, set()
+        held, rows = [], 0
 
         def out() -> pa.RecordBatch:
             p = np.concatenate(held)
-            split = np.ones(len(p), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, p["h"]), len(hot) - 1)
-                split = np.where(hot[at] == p["h"], parts[at], 1)
             bucket = ((p["h"] >> _U(33)) % _U(buckets)).astype(np.int64)
-            part = (mix64(p["sid"].view(np.uint64)) % split.astype(np.uint64)).astype(np.int64)
+            part = (mix64(p["sid"].view(np.uint64)) % _find(hot, parts, p["h"], 1).astype(np.uint64)).astype(np.int64)
             order = np.lexsort((part, bucket))
             p, bucket, part = p[order], bucket[order], part[order]
             edge = np.flatnonzero(np.concatenate([[True], (np.diff(bucket) != 0) | (np.diff(part) != 0)]))
             ends = np.append(edge[1:], len(p))
             return pa.record_batch([pa.array(bucket[edge]), pa.array(part[edge]), pa.array([p[s:e].tobytes() for s, e in zip(edge, ends)], pa.binary())], ["bucket", "part", "postings"])
 
-        for c in chunks(batches):
-            for s in shingle_sets(c, size):
-                n = len(s)
-                sid = _set_id(s) if n else 0
-                if not n or sid in seen:
-                    continue
-                seen.add(sid)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    late = hot[at] == s
-                    if late.any():
-                        s = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]])]])
-                k = n - _least_overlap(n, percent) + 1
-                p = np.empty(k, _POSTING)
-                p["h"], p["sid"], p["n"], p["pos"] = s[:k], sid, n, np.arange(k)
-                held.append(p)
-                rows += k
-                if rows > flush:
-                    yield out()
-                    held, rows = [], 0
+        for sid, s in _distinct_sets(batches, size):
+            n = len(s)
+            late = _find(hot, rank, s, -1)
+            if late.max() >= 0:
+                s = s[np.argsort(late, kind="stable")]
+            k = n - _least_overlap(n, percent) + 1
+            p = np.empty(k, _POSTING)
+            p["h"], p["sid"], p["n"], p["pos"] = s[:k], sid, n, np.arange(k)
+            held.append(p)
+            rows += k
+            if rows > flush:
+                yield out()
+                held, rows = [], 0
         if held:
             yield out()
 
     return run
 
 
+def _find(hot: np.ndarray, values: np.ndarray, hashes: np.ndarray, other: int) -> np.ndarray:
+    """Values of the frequent codes of hashes, other where a hash's code is not frequent."""
+    if not len(hot):
+        return np.full(len(hashes), other, np.int64)
+    code = _codes(np.ascontiguousarray(hashes))
+    at = np.minimum(np.searchsorted(hot, code), len(hot) - 1)
+    return np.where(hot[at] == code, values[at], other)
+
+
 _MEMBER = "list_id long, sid long, n int, pos int, leader long, leader_n int, leader_pos int, split boolean"
 
 
@@ -175,10 +214,7 @@ def _lists(frequent):
             p = p[np.concatenate([[True], (p["h"][1:] != p["h"][:-1]) | (p["sid"][1:] != p["sid"][:-1])])]
         edge = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]])) if len(p) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(p)))
-        split = np.zeros(len(edge), bool)
-        if len(hot) and len(edge):
-            at = np.minimum(np.searchsorted(hot, p["h"][edge]), len(hot) - 1)
-            split = (hot[at] == p["h"][edge]) & (parts[at] > 1)
+        split = _find(hot, parts, p["h"][edge], 1) > 1
         if len(edge):
             with np.errstate(over="ignore"):
                 same = np.add.reduceat(mix64(p["sid"].view(np.uint64)), edge) + mix64(p["sid"][edge].view(np.uint64))
@@ -250,7 +286,84 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_a.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, both long")
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_share: float = 0.0005, most_hot: int = 50_000, broadcast_ids: int = 500_000) -> DataFrame:
+def _open_blocks(percent: int):
+    """Pairs (a, b, sure) of outsiders and members of lists, in different components, that no bound rules out."""
+    enough = lambda total, both: (100 + percent) * both >= percent * total
+
+    def one(y: dict, z: dict) -> list[tuple[int, int, bool]]:
+        total = y["n"][:, None] + z["n"]
+        ok = (y["component"][:, None] != z["component"]) & (~z["outside"] | (y["sid"][:, None] < z["sid"]))
+        before = np.minimum(y["pos"][:, None], z["pos"])
+        ok &= enough(total, before + np.minimum((y["n"] - y["pos"])[:, None], z["n"] - z["pos"]))
+        known = (y["leader"][:, None] == z["leader"]) & (y["both"] >= 0)[:, None] & (z["both"] >= 0)
+        most = np.minimum(z["both"] + (y["n"] - y["both"])[:, None], y["both"][:, None] + z["n"] - z["both"])
+        ok &= ~known | enough(total, most)
+        sure = known & enough(total, y["both"][:, None] + z["both"] - y["leader_n"][:, None])
+        out = []
+        for i, j in zip(*(k.tolist() for k in np.nonzero(ok))):
+            t = int(total[i, j])
+            if sure[i, j] or _least_difference(y["few_bits"][i], z["few_bits"][j]) <= t - 2 * -(-percent * t // (100 + percent)):
+                a, b = sorted((int(y["sid"][i]), int(z["sid"][j])))
+                out.append((a, b, bool(sure[i, j])))
+        return out
+
+    def columns(t: pa.Table) -> dict:
+        d = {c: t[c].to_numpy() for c in ("list_id", "sid", "n", "pos", "leader", "leader_n", "both", "component", "outside")}
+        return d | {"few_bits": np.array(t["few_bits"].to_pylist(), object)}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], bool] = {}
+        if left.num_rows and right.num_rows:
+            y, z = columns(left.sort_by("list_id")), columns(right.sort_by("list_id"))
+            ids, begin = np.unique(y["list_id"], return_index=True)
+            end = np.append(begin[1:], len(y["list_id"]))
+            zb, ze = np.searchsorted(z["list_id"], ids, "left"), np.searchsorted(z["list_id"], ids, "right")
+            for k in range(len(ids)):
+                for a, b, sure in one({c: v[begin[k] : end[k]] for c, v in y.items()}, {c: v[zb[k] : ze[k]] for c, v in z.items()}):
+                    found[a, b] = found.get((a, b), False) or sure
+        return pa.table([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.bool_())], names=["a", "b", "sure"])
+
+    return run
+
+
+def _mixed_lists(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the lists that have undecided pairs, marked as outside of the leader's component or not.
+
+    A leader's own pairs are decided, so its row goes, unless the list was dealt in parts; then the
+    rest of a list has to hold several components.
+    """
+    m = members.join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    rest = F.col("split") | (F.col("sid") != F.col("leader"))
+    lists = m.groupBy("list_id").agg(
+        F.min(F.when(rest, F.col("component"))).alias("c0"), F.max(F.when(rest, F.col("component"))).alias("c1"), F.min(F.struct("pos", "sid", "component")).alias("head"), F.count("*").alias("size")
+    ).where("c0 <> c1")
+    return m.where(rest).join(lists.select("list_id", "head", "size"), "list_id").select(*m.columns, "size", (F.col("component") != F.col("head.component")).alias("outside"))
+
+
+def _second_leaders(mixed: DataFrame) -> DataFrame:
+    """Pairs of each outsider with a random member of its list's main component."""
+    pick = mixed.where("not outside").groupBy("list_id").agg(F.min(F.struct(F.xxhash64("sid", "list_id").alias("r"), F.col("sid"))).alias("m"))
+    pairs = mixed.where("outside").join(pick, "list_id").select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _open_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    m = stage(mixed.join(classes.select("sid", "few_bits"), "sid").withColumn("both", F.coalesce("both", F.lit(-1))), "mixed")
+    again = m.sparkSession.read.schema(m.schema).parquet(m._cairn_path)
+    blocks = F.ceil(F.col("size") / block_rows).cast("int")
+    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    few = F.pmod(F.xxhash64("list_id"), F.lit(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
+    keys = ["few", "y_block", "z_block"]
+    y = m.where("outside").select("*", few.alias("few"), own.alias("y_block"), every.alias("z_block"))
+    z = again.select("*", few.alias("few"), own.alias("z_block"), every.alias("y_block"))
+    found = y.groupBy(*keys).cogroup(z.groupBy(*keys)).applyInArrow(_open_blocks(percent), "a long, b long, sure boolean")
+    out = stage(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "open")
+    release(m)
+    return out
+
+
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_sets: int = 8, most_hot: int = 2_000_000, broadcast_ids: int = 500_000, block_rows: int = 4_000) -> DataFrame:
     """doc_id, n_shingles, set_id, class_id and component_id of every row of docs (doc_id, text).
 
     class_id is the least doc_id with an equal set, component_id the least one reachable by links.
@@ -260,21 +373,22 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    found = stage(texts.mapInArrow(_profile(size, hot_share, most_hot), "doc_id long, n long, sid long, is_count boolean, bits binary"), "profiles")
-    profiles = found.where(~F.col("is_count")).select("doc_id", "n", "sid", "bits")
+    some = texts.where(F.col("doc_id").isNotNull())
+    profiles = stage(texts.mapInArrow(_profile(size), "doc_id long, n long, sid long, bits binary, few_bits binary"), "profiles")
     sized = profiles.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = stage(sized.groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    classes = stage(sized.groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("few_bits").alias("few_bits")), "classes")
 
-    top = found.where("is_count").groupBy("sid").agg(F.sum("n").alias("df")).where("df >= 8").orderBy(F.desc("df"), "sid").limit(most_hot).toArrow()
-    hot, df = top["sid"].to_numpy().view(np.uint64), top["df"].to_numpy()
-    order = np.argsort(hot)
+    count_buckets = min(1 << 20, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    codes = some.mapInArrow(_count(size, count_buckets), "bucket long, codes binary").groupBy("bucket").applyInArrow(_frequent_codes(hot_sets), "code long, n long")
+    top = codes.orderBy(F.desc("n"), "code").limit(most_hot).toArrow()
+    hot, df = top["code"].to_numpy(), top["n"].to_numpy()
     rank = np.empty(len(hot), np.int64)
     rank[np.lexsort((hot, df))] = np.arange(len(hot))
+    order = np.argsort(hot)
     frequent = spark.sparkContext.broadcast((hot[order], rank[order], (-(-df // list_rows))[order]))
 
     postings = classes.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0)).alias("p")).first()["p"]
     buckets = max(8, -(-int(postings) // bucket_rows))
-    some = texts.where(F.col("doc_id").isNotNull())
     packed = some.mapInArrow(_post(size, percent, buckets, frequent), "bucket long, part long, postings binary")
     members = stage(packed.groupBy("bucket", "part").applyInArrow(_lists(frequent), _MEMBER), "lists")
 
@@ -284,29 +398,36 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
     heads = members.where("split and sid = leader")
     over = heads.groupBy("list_id").agg(F.min(F.struct("pos", "sid")).alias("m")).join(heads.select("list_id", "sid"), "list_id").where("m.sid <> sid")
     led = led.unionByName(over.select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))).distinct()
-    pairs = stage(_possible(led, classes, percent), "pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Sets of all ids in pairs, made anew from one text of each class; texts are shuffled only if the ids are many."""
+    def measured(pairs: DataFrame) -> DataFrame:
+        """Overlaps of the pairs that may reach the threshold.  Sets are made anew from one text of each class;
+        texts are shuffled only if the sets are many."""
+        pairs = stage(_possible(pairs, classes, percent), "pairs")
         ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes, "sid").select("sid", F.col("class_id").alias("doc_id")), "ids")
         near = some.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id")
-        out = stage(near.select("sid", "text").mapInArrow(_sets(size), "sid long, hashes binary"), "sets")
-        release(ids)
+        sets = stage(near.select("sid", "text").mapInArrow(_sets(size), "sid long, hashes binary"), "sets")
+        out = stage(_measure(pairs, sets), "overlaps")
+        release(pairs, ids, sets)
         return out
 
-    sets = sets_of(pairs)
-    first = stage(_measure(pairs, sets), "overlaps")
-    links = first.where(_reaches("n_a", "n_b", "both", percent)).select("a", "b")
-    groups = connected_components(links)
-    more = _open_pairs(members, first, groups, percent)
-    if more.take(1):
-        sure, unsure = more.where("sure").select("a", "b"), stage(_possible(more.where("not sure").select("a", "b"), classes, percent), "pairs")
-        others = sets_of(unsure)
-        second = stage(_measure(unsure, others).where(_reaches("n_a", "n_b", "both", percent)).select("a", "b").unionByName(sure), "links")
-        if second.take(1):
-            groups = connected_components(links.unionByName(second))
-        release(second, others, unsure)
-    release(more, members, pairs, sets, first)
+    def linked(overlaps: DataFrame) -> DataFrame:
+        return overlaps.where(_reaches("n_a", "n_b", "both", percent)).select("a", "b")
+
+    first = measured(led)
+    groups = connected_components(linked(first))
+    known = first.select(F.col("a").alias("leader"), F.col("b").alias("sid"), "both")
+    rows = members.join(known, ["leader", "sid"], "left").withColumn("both", F.when(F.col("sid") == F.col("leader"), F.col("n").cast("long")).otherwise(F.col("both")))
+
+    second = measured(_second_leaders(_mixed_lists(rows, groups)))
+    links = linked(first).unionByName(linked(second))
+    if linked(second).take(1):
+        groups = connected_components(links)
+    left = _open_pairs(_mixed_lists(rows, groups), classes, percent, block_rows)
+    third = measured(left.where("not sure").select("a", "b"))
+    last = linked(third).unionByName(left.where("sure").select("a", "b"))
+    if last.take(1):
+        groups = connected_components(links.unionByName(last))
+    release(members, first, second, third, left)
 
     at = profiles.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
@@ -316,27 +437,5 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), own("class_id").alias("class_id"), own("component_id").alias("component_id"))
 
 
-def _open_pairs(members: DataFrame, overlaps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, sure) of a list that lie in different components and that no bound rules out."""
-    o = overlaps.select(F.col("a").alias("leader"), F.col("b").alias("sid"), "both")
-    g = groups.select(F.col("node").alias("sid"), "component")
-    m = members.join(o, ["leader", "sid"], "left").join(g, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    m = m.withColumn("both", F.when(F.col("sid") == F.col("leader"), F.col("n").cast("long")).otherwise(F.col("both")))
-    m = stage(m, "members")
-    mixed = m.groupBy("list_id").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("pos", "sid", "component")).alias("lead")).where("c0 <> c1")
-    mixed = mixed.select("list_id", F.col("lead.component").alias("led_by"), F.col("lead.sid").alias("head"))
-    m = m.join(mixed, "list_id").where("sid <> head").withColumn("outside", F.col("component") != F.col("led_by"))
-    cols = ["sid", "n", "pos", "leader", "leader_n", "both", "component", "outside"]
-    y = m.where("outside").select("list_id", *[F.col(c).alias(f"y_{c}") for c in cols])
-    z = m.select("list_id", *[F.col(c).alias(f"z_{c}") for c in cols])
-    pairs = y.join(z, "list_id").where("y_component <> z_component and (not z_outside or y_sid < z_sid)")
-    pairs = pairs.where(_reaches("y_n", "z_n", "least(y_pos, z_pos) + least(y_n - y_pos, z_n - z_pos)", percent))
-    shared = "y_leader = z_leader and y_both is not null and z_both is not null"
-    most = "least(z_both + y_n - y_both, y_both + z_n - z_both)"
-    pairs = pairs.where(F.coalesce(~F.expr(shared), F.lit(True)) | _reaches("y_n", "z_n", most, percent))
-    sure = F.coalesce(F.expr(shared) & _reaches("y_n", "z_n", "y_both + z_both - y_leader_n", percent), F.lit(False))
-    return stage(pairs.select(F.least("y_sid", "z_sid").alias("a"), F.greatest("y_sid", "z_sid").alias("b"), sure.alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure")), "open")
-
-
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")

@@ -22,9 +22,9 @@ Ids equal those of the SentencePiece library for BPE models with identity normal
 
 from __future__ import annotations
 
-import itertools
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import chunks, read, text_bytes
+from cairn.llm.common import Remembered, chunks, read, text_bytes
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
-_CACHED = 400_000
+_CACHED = 500_000
 _BYTE = -1
 
 
@@ -77,8 +77,9 @@ class Model:
     score: list[float]
     byte_id: list[int]
     made_of: dict[int, tuple[int, int]]
-    longest: int
     parts_lines: bool
+    prefixes: frozenset[str]
+    joined: frozenset[str]
     weight: dict[tuple[int, int], bool] = field(default_factory=dict)
 
 
@@ -105,7 +106,9 @@ def load(path: str) -> Model:
         if k == 6:
             byte_id[int(n[3:5], 16)] = i
     pieces = [bytes([int(n[3:5], 16)]) if k == 6 else b"" if k in (2, 3) else n.encode() for n, k in zip(names, kinds)]
-    m = Model(pieces, id_of, scores, byte_id, {}, max(map(len, id_of)), not any("\n" in n and len(n) > 1 for n in id_of))
+    prefixes = frozenset(n[:k] for n in id_of for k in range(1, len(n) + 1))
+    joined = frozenset(n[k : k + 2] for n in id_of for k in range(len(n) - 1))
+    m = Model(pieces, id_of, scores, byte_id, {}, not any("\n" in n and len(n) > 1 for n in id_of), prefixes, joined)
     for name, i in id_of.items():
         if len(name) > 1:
             done, last = merge(m, name)
@@ -170,16 +173,23 @@ def shortest_path(m: Model, segment: str) -> list[int]:
     last: list[int | None] = [None] * (n + 1)
     begin = [0] * (n + 1)
     last[0] = _BYTE
-    id_of, made_of = m.id_of, m.made_of
+    id_of, made_of, prefixes, weight = m.id_of, m.made_of, m.prefixes, m.weight
+    open_at: list[int] = []  # where pieces that reach on may have begun
     for e in range(1, n + 1):
-        for b in range(max(0, e - m.longest), e):
-            p = last[b]
-            if p is None:
-                continue
+        open_at = [b for b in open_at if segment[b:e] in prefixes]
+        if last[e - 1] is not None and segment[e - 1] in prefixes:
+            open_at.append(e - 1)
+        for b in open_at:
             q = id_of.get(segment[b:e])
-            if q is not None and (e - b == 1 or q in made_of) and (p == _BYTE or follows(m, p, q)):
-                last[e], begin[e] = q, b
-                break
+            if q is None or (e - b > 1 and q not in made_of):
+                continue
+            p = last[b]
+            if p != _BYTE:
+                ok = weight.get((p, q))
+                if not (follows(m, p, q) if ok is None else ok):
+                    continue
+            last[e], begin[e] = q, b
+            break
         else:
             if segment[e - 1] not in id_of:
                 last[e], begin[e] = _BYTE, e - 1
@@ -195,14 +205,6 @@ def shortest_path(m: Model, segment: str) -> list[int]:
     return out[::-1]
 
 
-def _run_and_word(m: Model, spaces: int, word: str) -> list[int]:
-    """Ids of several U+2581 and the word after them."""
-    path = shortest_path(m, SPACE + word)
-    if word and path[0] != m.id_of[SPACE]:
-        return _spaces(m, spaces - 1) + path
-    return _spaces(m, spaces) + (path[1:] if word else [])
-
-
 def _spaces(m: Model, n: int) -> list[int]:
     return [m.id_of[s] for s in merge(m, SPACE * n)[0]] if n < 64 else [m.id_of[s] for s in _long_run(m, n)]
 
@@ -215,20 +217,37 @@ def _long_run(m: Model, n: int) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts by segments, each of which is remembered."""
+    """Encodes texts by segments, which are remembered, those in use longest."""
 
     def __init__(self, model: Model):
-        self.m, self.ids = model, {}
+        self.m = model
+        self.ids = Remembered(self._segment, _CACHED)
+        self.paths = Remembered(lambda part: shortest_path(model, part), _CACHED // 2)
+
+    def _path(self, segment: str) -> list[int]:
+        """Ids of a segment, cut where no piece holds both characters at the cut."""
+        joined, out, b = self.m.joined, [], 0
+        for e in range(1, len(segment) + 1):
+            if e < len(segment) and segment[e - 1 : e + 1] in joined:
+                continue
+            part = segment[b:e]
+            out += self.paths[part]
+            b = e
+        return out
 
     def _segment(self, key: bytes) -> bytes:
         """Ids of a segment: a word, with a space before it unless it starts with a line's end; or spaces and a word."""
+        text = key.decode("utf-8", "replace")
         if key[:1] == b"\n":
-            rest = key[1:].decode("utf-8", "replace")
-            ids = shortest_path(self.m, "\n") + (shortest_path(self.m, rest) if rest else [])
+            ids = self._path(text)
         else:
-            word = key.lstrip(b" ")
-            ids = _run_and_word(self.m, len(key) - len(word) + 1, word.decode("utf-8", "replace"))
-        return np.array(ids, "<u4").tobytes()
+            word = text.lstrip(" ")
+            spaces, ids = len(text) - len(word), self._path(SPACE + word)
+            if spaces and word and ids[0] != self.m.id_of[SPACE]:
+                ids = _spaces(self.m, spaces) + ids
+            elif spaces:
+                ids = _spaces(self.m, spaces + 1) + ids[1:]
+        return array("I", ids).tobytes()
 
     def _keys(self, text: bytes) -> list[bytes]:
         if _SPACE in text:
@@ -257,12 +276,10 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         docs = [self._keys(t) if t else [] for t in texts]
-        if len(self.ids) > _CACHED:
-            self.ids.clear()
-        if len(self.m.weight) > 4 * _CACHED:
+        self.ids.age()
+        self.paths.age()
+        if len(self.m.weight) > 2 * _CACHED:
             self.m.weight.clear()
-        for key in set(itertools.chain.from_iterable(docs)).difference(self.ids):
-            self.ids[key] = self._segment(key)
         get = self.ids.__getitem__
         return [b"".join(map(get, d)) for d in docs]
 
