@@ -70,7 +70,10 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 @dataclass
 class Model:
-    """Pieces of a model and, for every piece that merging can build, the two it is made of last."""
+    """Pieces of a model and, for every piece that merging can build, the two it is made of last.
+
+    arcs has the id of every piece that merging can build, and -1 for what only begins pieces.
+    """
 
     pieces: list[bytes]
     id_of: dict[str, int]
@@ -78,7 +81,7 @@ class Model:
     byte_id: list[int]
     made_of: dict[int, tuple[int, int]]
     parts_lines: bool
-    prefixes: frozenset[str]
+    arcs: dict[str, int]
     joined: frozenset[str]
     weight: dict[tuple[int, int], bool] = field(default_factory=dict)
 
@@ -106,14 +109,15 @@ def load(path: str) -> Model:
         if k == 6:
             byte_id[int(n[3:5], 16)] = i
     pieces = [bytes([int(n[3:5], 16)]) if k == 6 else b"" if k in (2, 3) else n.encode() for n, k in zip(names, kinds)]
-    prefixes = frozenset(n[:k] for n in id_of for k in range(1, len(n) + 1))
     joined = frozenset(n[k : k + 2] for n in id_of for k in range(len(n) - 1))
-    m = Model(pieces, id_of, scores, byte_id, {}, not any("\n" in n and len(n) > 1 for n in id_of), prefixes, joined)
+    m = Model(pieces, id_of, scores, byte_id, {}, not any("\n" in n and len(n) > 1 for n in id_of), {}, joined)
     for name, i in id_of.items():
         if len(name) > 1:
             done, last = merge(m, name)
             if done == [name]:
                 m.made_of[i] = (id_of[last[0]], id_of[last[1]])
+    m.arcs.update((n[:k], _BYTE) for n in id_of for k in range(1, len(n) + 1))
+    m.arcs.update((n, i) for n, i in id_of.items() if len(n) == 1 or i in m.made_of)
     return m
 
 
@@ -173,26 +177,24 @@ def shortest_path(m: Model, segment: str) -> list[int]:
     last: list[int | None] = [None] * (n + 1)
     begin = [0] * (n + 1)
     last[0] = _BYTE
-    id_of, made_of, prefixes, weight = m.id_of, m.made_of, m.prefixes, m.weight
-    open_at: list[int] = []  # where pieces that reach on may have begun
-    for e in range(1, n + 1):
-        open_at = [b for b in open_at if segment[b:e] in prefixes]
-        if last[e - 1] is not None and segment[e - 1] in prefixes:
-            open_at.append(e - 1)
-        for b in open_at:
-            q = id_of.get(segment[b:e])
-            if q is None or (e - b > 1 and q not in made_of):
+    get, weight = m.arcs.get, m.weight
+    for b in range(n):
+        p = last[b]
+        if p is None:
+            continue
+        for e in range(b + 1, n + 1):
+            q = get(segment[b:e])
+            if q is None:  # no piece reaches further
+                break
+            if q == _BYTE or last[e] is not None:
                 continue
-            p = last[b]
             if p != _BYTE:
                 ok = weight.get((p, q))
                 if not (follows(m, p, q) if ok is None else ok):
                     continue
             last[e], begin[e] = q, b
-            break
-        else:
-            if segment[e - 1] not in id_of:
-                last[e], begin[e] = _BYTE, e - 1
+        if last[b + 1] is None and segment[b] not in m.id_of:
+            last[b + 1], begin[b + 1] = _BYTE, b
     out: list[int] = []
     e = n
     while e:
