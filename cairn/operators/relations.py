@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import CONFIRMED, LEVELS, ORIGIN_DIAGRAM, ORIGIN_LOGICAL, PENDING, REJECTED, cut
 from cairn.operators.documents import CANDIDATES, candidates_replace
-from cairn.operators.keys import components, numbered
+from cairn.operators.keys import _checkpoint_dir, components, numbered
 
 EDGE = (
     "id long, from_asset_id long, from_column string, to_asset_id long, to_column string, target_raw string, evidence_level string, origin string, is_inferred boolean, confidence double, "
@@ -283,16 +283,21 @@ def _fold_groups(ways: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return made.astype({c: "Int64" for c in ("id", "from_asset_id", "to_asset_id", "n")} | {c: "boolean" for c in ("is_inferred", "conflict_flag")})
 
 
+BUCKET_LINES = 5000
+
+
 def overlay(store: DataFrame, lines: DataFrame, catalog: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The store after the diagrams' evidence, and (counter, n).
 
     Lines act on positions (child, column), and a new edge looks at the reverse position; positions that
-    lines tie together form a component, and each component is folded in order of lines by one group.
+    lines tie together form a component, which is folded in order of lines.  Components don't touch each
+    other, so a group folds many: about BUCKET_LINES lines, or one component of more.
     """
     clean = before_overlay(store).select(*NAMES)
     trusted = lines.where(F.col("kind").isin("ONE_TO_MANY", "MANY_TO_ONE", "ONE_TO_ONE"))
+    _checkpoint_dir(store)
     ways = oriented(trusted, catalog, columns).withColumn("fk_key", F.lower("fk"))
-    ways = ways.join(parents_at(ways), ["child", "fk_key"], "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0))).withColumn("n_candidates", F.size("from_columns"))
+    ways = ways.join(parents_at(ways), ["child", "fk_key"], "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0))).withColumn("n_candidates", F.size("from_columns")).checkpoint()
     position = lambda a: F.concat_ws("\x01", F.col(a).cast("string"), F.coalesce("fk_key", F.lit("")))
     line = F.concat_ws("\x02", "doc", F.col("line_no").cast("string"))
     ties = ways.where("fk is not null").select(line.alias("a"), F.explode(F.array(position("child"), position("parent"))).alias("b"))
@@ -300,9 +305,11 @@ def overlay(store: DataFrame, lines: DataFrame, catalog: DataFrame, columns: Dat
     groups = components(ties.unionByName(alone))
     grouped = ways.withColumn("node", line).join(groups, "node").select("component", "doc", "line_no", "attempt", "kind", "child", "parent", "parent_name", "fk", "to_col", "cardinality", "evidence_level", "confidence", "cross_domain", "label", "n_parents", "n_candidates")
     spot = F.concat_ws("\x01", F.col("from_asset_id").cast("string"), F.lower(F.coalesce("from_column", F.lit(""))))
-    placed = clean.withColumn("node", spot).join(groups, "node", "left").drop("node")
-    touched, rest = placed.where("component is not null"), placed.where("component is null").drop("component")
-    folded = grouped.groupBy("component").cogroup(touched.groupBy("component")).applyInPandas(_without_component, f"{EDGE}, counter string, n long").checkpoint()
+    placed = clean.withColumn("node", spot).join(groups.select("node", F.col("component").alias("part")), "node", "left").drop("node")
+    touched, rest = placed.where("part is not null"), placed.where("part is null").drop("part")
+    buckets = max(1, -(-ways.count() // BUCKET_LINES))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
+    folded = grouped.groupBy(bucket("component")).cogroup(touched.groupBy(bucket("part"))).applyInPandas(_without_component, f"{EDGE}, counter string, n long").checkpoint()
     edges, counts = folded.where("counter is null").drop("counter", "n"), folded.where("counter is not null")
     top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
     new = numbered(edges.where("id is null").drop("id"), ["from_asset_id", "from_column", "to_asset_id"], top)
@@ -311,7 +318,7 @@ def overlay(store: DataFrame, lines: DataFrame, catalog: DataFrame, columns: Dat
 
 
 def _without_component(ways: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    return _fold_groups(ways.drop(columns="component"), edges.drop(columns="component"))
+    return _fold_groups(ways.drop(columns="component"), edges.drop(columns="part"))
 
 
 def _dropped(lines: DataFrame, ways: DataFrame) -> DataFrame:

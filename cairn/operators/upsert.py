@@ -91,7 +91,7 @@ def patch_governance(assets: DataFrame, patches: DataFrame, users: DataFrame) ->
     fields = [c for c in patches.columns if c != "id"]
     people = [c for c in ("owner_id", "steward_id") if c in fields]
     for c in people:
-        if patches.where(F.col(c).isNotNull()).join(users, patches[c] == users["id"], "left_anti").take(1):
+        if patches.where(F.col(c).isNotNull()).join(users.select(F.col("id").alias("_user")), F.col(c) == F.col("_user"), "left_anti").take(1):
             raise GuardError(f"{c}: no such user")
     p = patches.select("id", *[F.col(c).alias(f"_{c}") for c in fields])
     return assets.join(p, "id", "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in assets.columns])

@@ -1,4 +1,27 @@
 """Registered queries and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cairn.plans.tables import Tables, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name, with DuckDB SQL over the derived tables."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = oracle(sql)
+        return f
+
+    return add
+
+
+from cairn.plans import documents, graph, store  # noqa: E402, F401  they register their queries
