@@ -38,7 +38,7 @@ from cairn.llm.common import Remembered, chunks, read, text_bytes
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
-_CACHED = 500_000
+_CACHED = 200_000
 _BYTE = -1
 
 
