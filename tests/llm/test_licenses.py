@@ -51,3 +51,19 @@ def test_empty_table_and_native_plan(spark):
     assert out.count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_every_name_without_another_licence_word(spark):
+    names = [(name, words) for name, all_words in {**licenses.NAMES, **licenses._creative_commons()}.items() for words in all_words]
+    texts = [f"Some text.\nReleased under {words}.\nMore of it" for _, words in names] + ["RELEASED UNDER\tTHE TERMS OF THE GPL V2!", "This work is released under the CC BY-SA 4.0.", "Under Unlicence"]
+    want = [name for name, _ in names] + ["GPL-2.0", "CC-BY-SA-4.0", "Unlicense"]
+    df = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    out = {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()}
+    assert [out[i] for i in range(len(texts))] == want
+
+
+def test_every_known_sentence_has_an_anchor(spark):
+    known = licenses.known_sentences()
+    df = frame(spark, [(i, s.upper(), "en", "s", 0) for i, s in enumerate(known)])
+    out = {r.doc_id: r.sentence_ids for r in licenses.scan_licenses(df).collect()}
+    assert [out[i] for i in range(len(known))] == list(known.values())
