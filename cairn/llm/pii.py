@@ -5,12 +5,12 @@ equal values get equal pseudonyms in every document, different values different
 key the permutation can be undone.  Each kind is permuted on its own domain:
 
 kind   validated by                                permuted
-card   13-19 digits in a row or in groups, Luhn    all digits but the last, which is the new check digit
+card   13-19 digits in whole groups of a run, Luhn all digits but the last, which is the new check digit
 iban   mod-97 check                                the digits of the account part; new check digits
 ssn    ddd-dd-dddd with issued number ranges       within those ranges
 ip     four numbers up to 255                      as a 32-bit number
-phone  +1 or bare (ddd) ddd-dddd, or + and         the last ten digits; of other numbers all but the
-       10 to 15 digits                             first two after the +
+phone  +1 or bare (ddd) ddd-dddd or ddd-ddd-dddd,  the last ten digits; of other numbers all but the
+       or + and 10 to 15 digits                    first two after the +
 date   calendar days 1900-01-01 to 2099-12-31      within those days
 email  name@domain                                 letters and digits of the name, each within its kind
 
@@ -39,9 +39,12 @@ SHAPES = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+(])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[2-9][0-9](?:[ .-]?\(?[0-9]+\)?){2,6}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9+(])(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+1[ .-]?[0-9]{3}[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[2-9][0-9](?:[ .-]?\(?[0-9]+\)?){2,6}(?![0-9])|(?<![0-9+(.-])(?:1[ -])?[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9]|-[0-9])",
 }
+# a whole run of digits, up to the next value of another kind; possessive, as Java recurses on other repeated groups
+SHAPES["card"] = rf"(?<![0-9])[0-9](?:(?! (?:{'|'.join(SHAPES[k] for k in ('email', 'date', 'ip', 'ssn', 'phone'))}))[ -]?[0-9]){{12,}}+"
+#: The windows of a run that are taken before others: one group, 4-4-4-4, 4-6-5 and 4-6-4.
+USUAL_CARD = "^[ -]?(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 ANY = "|".join(SHAPES.values())
 
 
@@ -69,7 +72,7 @@ def _digits(m: str) -> str:
 
 
 def _permute_digits(key: str, kind: str, d: str, tag: str) -> str:
-    """SQL for a string of as many digits as d (2 to 18), permuted among those."""
+    """SQL for a string of as many digits as d (2 to 36), permuted among those."""
     h = f"cast(length({d}) div 2 as int)"
     n_l, n_r = f"cast(rpad('1', {h} + 1, '0') as bigint)", f"cast(rpad('1', length({d}) - {h} + 1, '0') as bigint)"
     body = feistel(key, kind, f"substring({d}, 1, {h})", f"substring({d}, {h} + 1)", n_l, n_r)
@@ -89,9 +92,26 @@ def _luhn_sum(d: str, odd: int) -> str:
 
 
 def _card(m: str, key: str) -> str:
+    """The cards of a run of digits: of its windows of whole groups with 13 to 19 digits that pass Luhn, the usual
+    formats first, else the leftmost and longest, none overlapping another."""
+    def window(i: str, k: str) -> str:
+        return f"array_join(slice(g, {i} + 1, {k}), '')"
+
+    def longest(usual: str) -> str:
+        ok = f"(w rlike '{USUAL_CARD}') = {usual} and {_let(_digits('w'), 'd', f'length(d) between 13 and 19 and ({_luhn_sum(chr(100), 1)}) % 10 = 0')}"
+        return f"transform(sequence(0, size(g) - 1), i -> coalesce(array_max(filter(sequence(1, least(19, size(g) - i)), k -> {_let(window('i', 'k'), 'w', ok)})), 0))"
+
     pay = _permute_digits(key, "card", "substring(d, 1, length(d) - 1)", "c")
     new = _let(pay, "q", f"concat(q, cast(pmod(10 - ({_luhn_sum('q', 0)}) % 10, 10) as string))")
-    return _let(_digits(m), "d", f"if(length(d) between 13 and 19 and ({_luhn_sum('d', 1)}) % 10 = 0, {_let(new, 'n', _refill(m, 'n'))}, cast(null as string))")
+    moved = _let(window("c.at", "c.n"), "w", _let(_digits("w"), "d", _let(new, "n", _refill("w", "n"))))
+    # a window of another format gives way to a usual one that starts in it
+    n = "if(u[i] > 0, u[i], if(o[i] > 0 and array_max(slice(u, i + 1, o[i])) = 0, o[i], 0))"
+    take = f"if(i < s.next, s, {_let(n, 'n', 'if(n = 0, s, named_struct({0}next{0}, i + n, {0}cards{0}, concat(s.cards, array(named_struct({0}from{0}, s.next, {0}at{0}, i, {0}n{0}, n)))))'.format(chr(39)))})"
+    start = "named_struct('next', 0, 'cards', cast(array() as array<struct<from:int,at:int,n:int>>))"
+    found = _let(longest("true"), "u", _let(longest("false"), "o", f"aggregate(sequence(0, size(g) - 1), {start}, (s, i) -> {take})"))
+    pieces = f"array_join(transform(s.cards, c -> concat({window('c.from', 'c.at - c.from')}, {moved})), '')"
+    text = f"if(size(s.cards) = 0, cast(null as string), concat({pieces}, {window('s.next', 'size(g)')}))"
+    return _let(f"regexp_extract_all({m}, '[ -]?[0-9]+', 0)", "g", _let(found, "s", f"named_struct('value', {text}, 'n', size(s.cards))"))
 
 
 def _mod97(s: str) -> str:
@@ -104,9 +124,7 @@ def _iban(m: str, key: str) -> str:
     flat = f"replace({m}, ' ', '')"
     valid = _mod97("concat(substring(f, 5), substring(f, 1, 4))")
     account = f"substring({m}, 5)"
-    digits = f"substring({_digits(account)}, 1, 18)"
-    # up to 18 digits of the account part are permuted; those beyond stay
-    new = _let(digits, "d", f"if(length(d) < 2, {account}, {_let(_permute_digits(key, 'iban', 'd', 'b'), 'q', _refill(account, f'concat(q, substring({_digits(account)}, 19))'))})")
+    new = _let(_digits(account), "d", f"if(length(d) < 2, {account}, {_let(_permute_digits(key, 'iban', 'd', 'b'), 'q', _refill(account, 'q'))})")
     check = _mod97(f"concat(replace(w, ' ', ''), substring({m}, 1, 2), '00')")
     out = _let(new, "w", f"concat(substring({m}, 1, 2), lpad(cast(98 - ({check}) as string), 2, '0'), w)")
     return _let(flat, "f", f"if(length(f) between 15 and 34 and ({valid}) = 1, {out}, cast(null as string))")
@@ -130,7 +148,7 @@ def _ip(m: str, key: str) -> str:
 
 def _phone(m: str, key: str) -> str:
     # the permuted part: the last ten digits of a +1 or bare number, all but two digits of another
-    keep = f"if({m} rlike '^[+]1|^[(]', length(d) - 10, 2)"
+    keep = f"if({m} rlike '^[+]1|^[^+]', length(d) - 10, 2)"
     perm = _permute_digits(key, "phone", "u", "h")
     out = _let(f"substring(d, {keep} + 1)", "u", _let(perm, "q", _refill(m, f"concat(substring(d, 1, {keep}), q)")))
     return _let(_digits(m), "d", f"if(length(d) between 10 and 15, {out}, cast(null as string))")
@@ -179,13 +197,14 @@ _KINDS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn,
 
 
 def pseudonym(match: str, key: str) -> str:
-    """SQL for struct (kind, value): the first kind whose shape and check the string in SQL expression match passes; nulls if none does."""
+    """SQL for struct (kind, value, n): the first kind whose shape and check the string in SQL expression match passes, with how many values it replaces; nulls and 0 if none does."""
     tries = []
     for kind, make in _KINDS.items():
         shape = SHAPES[kind].replace("\\", "\\\\").replace("'", "\\'")
-        tries.append(f"if({match} rlike '^(?:{shape})$', named_struct('kind', '{kind}', 'value', {make(match, key)}), null)")
+        made = make(match, key) if kind == "card" else f"named_struct('value', {make(match, key)}, 'n', 1)"
+        tries.append(f"if({match} rlike '^(?:{shape})$', {_let(made, 'z', f'named_struct({chr(39)}kind{chr(39)}, {chr(39)}{kind}{chr(39)}, {chr(39)}value{chr(39)}, z.value, {chr(39)}n{chr(39)}, z.n)')}, null)")
     found = f"filter(array({', '.join(tries)}), x -> x.value is not null)"
-    return f"coalesce(get({found}, 0), named_struct('kind', cast(null as string), 'value', cast(null as string)))"
+    return f"coalesce(get({found}, 0), named_struct('kind', cast(null as string), 'value', cast(null as string), 'n', 0))"
 
 
 def pseudonymise(docs: DataFrame, key: str = "cairn", text: str = "text", out: str = "text", counts: str = "n_replaced") -> DataFrame:
@@ -201,7 +220,7 @@ def pseudonymise(docs: DataFrame, key: str = "cairn", text: str = "text", out: s
     d = d.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', '__key')})"))
     gaps = F.split(F.col("__source"), ANY, -1)
     filled = F.zip_with(gaps, F.zip_with("__found", "__new", lambda m, p: F.coalesce(p["value"], m)), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
-    n = F.size(F.filter("__new", lambda p: p["value"].isNotNull()))
+    n = F.aggregate("__new", F.lit(0), lambda a, p: a + p["n"])
     changed = F.when(n > 0, F.array_join(filled, "")).otherwise(F.col("__source"))
     kept = [c for c in docs.columns if c not in (out, counts)]
     return d.select(*kept, changed.alias(out), n.cast("long").alias(counts), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform("__new", lambda p: p["kind"])))), ",").alias("kinds"))

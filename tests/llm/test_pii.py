@@ -52,6 +52,41 @@ def test_formats_checks_and_links(spark):
     assert out[8] == (None, 0) and out[9] == ("", 0)
 
 
+def test_cards_within_longer_runs(spark):
+    card, short = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [card, f"{card} 12/27", f"{card} 123", f"12 {card}", f"1 {card} 12 {card.replace(' ', '')} 7", f"{card} 5500 0000 0000 0004", f"{card} 123-45-6789", f"{card} 2024-02-29", short, f"{short} 1234", "4111 1111 1111 1112 123", f"{card} 212-555-0100"]
+    out = replaced(spark, texts)
+    new, amex = out[0][0], out[8][0]
+    assert luhn(new.replace(" ", "")) and new != card and luhn(amex.replace(" ", "")) and amex != short
+    assert out[1] == (f"{new} 12/27", 1) and out[2] == (f"{new} 123", 1) and out[3] == (f"12 {new}", 1)
+    assert out[4] == (f"1 {new} 12 {new.replace(' ', '')} 7", 2)
+    assert out[5][0].startswith(new + " ") and "5500" not in out[5][0] and out[5][1] == 2 and luhn(out[5][0][20:].replace(" ", ""))
+    for i, value in ((6, "123-45-6789"), (7, "2024-02-29"), (11, "212-555-0100")):
+        assert out[i][0].startswith(new + " ") and value not in out[i][0] and out[i][1] == 2
+    assert out[9] == (f"{amex} 1234", 1)
+    long = replaced(spark, [" ".join(["7"] * 3000) + f" {card}", "9" * 50_000])
+    assert long[0][0].endswith(new) and long[1][1] == 0
+
+
+def test_bare_phones(spark):
+    out = replaced(spark, ["212-555-0100", "(212) 555-0100", "1-212-555-0100", "x 212-555-0100-7"])
+    a, b, c = (re.sub(r"\D", "", t) for t, _ in out[:3])
+    assert a == b == c[1:] and a != "2125550100" and [n for _, n in out] == [1, 1, 1, 0]
+
+
+def test_long_ibans_are_permuted_whole(spark):
+    tail = {"FR": "30006000011234567890189", "MT": "MALT011000012345678901234567890"[:27]}
+    for land, account in tail.items():
+        flat = account + land + "00"
+        check = 98 - int("".join(str(int(c, 36)) for c in flat)) % 97
+        text, n = replaced(spark, [f"{land}{check:02}{account}"])[0]
+        assert n == 1 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1 and text[-5:] != account[-5:]
+    texts = [f"{i:023}" for i in range(300)]
+    ibans = [f"FR{98 - int(t + '152700') % 97:02}{t}" for t in texts]
+    out = [t for t, n in replaced(spark, ibans)]
+    assert len(set(out)) == 300 and len({t[22:] for t in out}) > 200
+
+
 def test_permutations_are_one_to_one(spark):
     ips = [f"10.{i // 256}.{i % 256}.{i % 7}" for i in range(1500)]
     days = [(datetime.date(1990, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(1500)]
