@@ -16,13 +16,16 @@ A pair retrieved is a leak when at least `overlap` of the three-word runs of the
 but its last sentence) and of its answer (the last sentence; of a single one, the last third) occur
 in the passage or within an item's length of it.
 
-Items with fewer than `min_words` words are too short to be told from chance and are not searched.
-The index goes to every task, so its items are cut into slices of at most `slice_bytes` of text; each
-slice is an index of its own and one more pass over the documents.
+Items with fewer than `min_words` words are not scored: a text that holds their words in a row leaks them, with score
+and overlaps 1.  Those of a word or two may be there by chance.
+The index goes to every task, so its items are cut into slices of at most `slice_bytes` of text; each slice is one
+more pass over the documents.  Number, mean and highest length of the items and the words' item counts are those of
+the whole benchmark in every slice, so slices change no result.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections import Counter
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import Chunk, chunks, read, text_bytes
+from cairn.llm.common import Chunk, chunks, read, release, stage, text_bytes
 
 K1, B = 1.2, 0.75
 _TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -63,17 +66,23 @@ def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
 
 
 class Index:
-    """Postings of the items with impacts as shares of each item's own score, in blocks."""
+    """Postings of the items with impacts as shares of each item's own score, in blocks; and the short items by first word.
 
-    def __init__(self, items: list[tuple[object, bytes]], threshold: float, block: int, min_words: int):
-        items = [(k, t, w) for k, t in items if len(w := words_of(t)) >= min_words]
-        self.ids = [k for k, _, _ in items]
+    whole: number, mean and highest length, and words' item counts of all items of min_words words or more; else of these.
+    """
+
+    def __init__(self, items: list[tuple[object, bytes]], threshold: float, block: int, min_words: int, whole: tuple[int, float, int, dict[bytes, int]] | None = None):
+        split = [(k, t, words_of(t)) for k, t in items]
+        items = [x for x in split if len(x[2]) >= min_words]
+        few = [x for x in split if 0 < len(x[2]) < min_words]
+        self.ids = [k for k, _, _ in items + few]
+        self.short: dict[bytes, dict[int, dict[tuple, list[int]]]] = {}
+        for i, (_, _, w) in enumerate(few, len(items)):
+            self.short.setdefault(w[0], {}).setdefault(len(w), {}).setdefault(tuple(w), []).append(i)
         self.threshold, self.block = threshold, block
-        self.length = max((len(w) for _, _, w in items), default=1)
         self.parts = [tuple(map(_runs, question_and_answer(t))) for _, t, _ in items]
-        counts = [Counter(w) for _, _, w in items]
-        df = Counter(itertools.chain.from_iterable(counts))
-        mean = sum(len(w) for _, _, w in items) / max(1, len(items))
+        counts, sizes = [Counter(w) for _, _, w in items], [len(w) for _, _, w in items]
+        n_items, mean, self.length, df = whole or (len(items), sum(sizes) / max(1, len(items)), max(sizes, default=1), Counter(itertools.chain.from_iterable(counts)))
         self.term: dict[bytes, int] = {}
         self.postings: list[dict[bytes, list[tuple[int, float]]]] = [{} for _ in range(-(-len(items) // block))]
         self.rest = np.zeros(len(self.postings))
@@ -81,7 +90,7 @@ class Index:
         for i, (c, (_, _, w)) in enumerate(zip(counts, items)):
             raw = {}
             for t, n in c.items():
-                idf = np.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5))
+                idf = np.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5))
                 raw[t] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean))
             own, rest = sum(raw.values()), 0.0
             for t in sorted(raw, key=lambda t: (-df[t], t)):
@@ -143,17 +152,47 @@ class Index:
                 q, a = (sum(r in near[len(r)] for r in part) / len(part) if part else 1.0 for part in self.parts[i])
                 if q >= overlap and a >= overlap:
                     out[row, i] = max(out.get((row, i), (0.0, 0.0, 0.0)), (s, q, a))
+        short = self.short
+        for at in [j for j, w in enumerate(words) if w in short] if short else ():
+            row = bisect.bisect_right(begin, at) - 1
+            for n, known in short[words[at]].items():
+                if at + n <= begin[row + 1]:
+                    for i in known.get(tuple(words[at : at + n]), ()):
+                        out[row, i] = (1.0, 1.0, 1.0)
         return out
 
 
+def _count_words(items: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Of the items (part, text) with at least min_words words: (n_words), and (part, word) for each distinct word of each."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            n = [len(words_of(t)) for t in c.texts()]
+            yield pa.record_batch([pa.array([x for x in n if x >= min_words], pa.int64())], names=["n_words"])
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            rows = [(p, w) for p, t in zip(c.column("part").to_pylist(), c.texts()) if len(all_words := words_of(t)) >= min_words for w in set(all_words)]
+            yield pa.record_batch([pa.array([p for p, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.binary())], names=["part", "word"])
+
+    return items.mapInArrow(lengths, "n_words long"), items.mapInArrow(distinct, "part long, word binary")
+
+
 def _indexes(benchmark: DataFrame, threshold: float, block: int, min_words: int, slice_bytes: int) -> Iterator[Index]:
-    """Indexes over slices of the items (item_id, text), each of bounded size."""
+    """Indexes over slices of the items (item_id, text), each of bounded size, with counts over all items."""
     b = benchmark.select("item_id", _lower().alias("text"))
     total = b.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-int(total) // slice_bytes) or 1
+    b = b.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("long"))
+    lengths, words = _count_words(b.select("part", "text"), min_words)
+    n_items, n_words, length = lengths.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(1))).first()
+    counts = stage(words.groupBy("word").agg(F.count("*").alias("df"), F.collect_set("part").alias("parts")), "benchmark-words")
     for k in range(n):
-        part = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
-        yield Index(list(zip(part["item_id"].to_pylist(), part["text"].to_pylist())), threshold, block, min_words)
+        part = b.where(F.col("part") == k).orderBy("item_id", "text").toArrow()
+        own = counts.where(F.array_contains("parts", F.lit(k).cast("long"))).select("word", "df").toArrow()
+        df = dict(zip(own["word"].to_pylist(), own["df"].to_pylist()))
+        yield Index(list(zip(part["item_id"].to_pylist(), part["text"].to_pylist())), threshold, block, min_words, (n_items, n_words / max(1, n_items), length, df))
+    release(counts)
 
 
 def _words_of_chunk(c: Chunk) -> tuple[list[bytes], np.ndarray]:

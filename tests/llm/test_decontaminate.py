@@ -54,3 +54,20 @@ def test_empty_sides(spark):
     assert decontaminate.find_leaks(frame(spark, []), items(spark)).count() == 0
     assert decontaminate.find_leaks(frame(spark), items(spark, [])).count() == 0
     assert decontaminate.drop_leaking(frame(spark), items(spark, [])).count() == len(rows())
+
+
+def test_short_items_are_matched_word_by_word(spark):
+    data = [(1, "It was: Too SHORT!", "en", "s", 0), (2, "too long, short", "en", "s", 0), (3, "it was too", "en", "s", 0), (4, "short of it", "en", "s", 0), (5, "Quo vadis, Domine? Too short.", "en", "s", 0)]
+    both = items(spark, ITEMS + [(6, "quo vadis domine")])
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(frame(spark, data), both).collect()}
+    assert got == {(1, 4, 1.0), (5, 4, 1.0), (5, 6, 1.0)}
+    assert {r.doc_id for r in decontaminate.drop_leaking(frame(spark, data), both).collect()} == {2, 3, 4}
+
+
+def test_slices_change_no_score(spark):
+    data = [(i, f"the old town by river {i % 4} has bridge number w{i} and tower v{i % 7} of stone. It was built in {1800 + i}" + " and more" * (i % 5)) for i in range(40)]
+    docs = frame(spark, [(i, "so they say " + t.replace("stone", "brick") + " as we know", "en", "s", 0) for i, t in data])
+    out = []
+    for options in ({}, {"slice_bytes": 400, "block": 3}):
+        out.append({(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.find_leaks(docs, items(spark, data), **options).collect()})
+    assert out[0] == out[1] and all((i, i) in out[0] for i, _ in data)
