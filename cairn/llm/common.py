@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch for Python tasks, where the session sets none; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
@@ -65,6 +68,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes: rows have no bound, and the JVM holds a batch outside its heap."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, None) is None:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_bytes(text: Column | str = "text") -> Column:
     """The whole text as UTF-8 bytes; null becomes empty."""
     c = F.col(text) if isinstance(text, str) else text

@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cairn.llm.common import Chunk, chunks, read, release, stage, text_bytes
+from cairn.llm.common import Chunk, chunks, map_arrow, read, release, stage, text_bytes
 
 K1, B = 1.2, 0.75
 _TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -51,7 +52,7 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
-def _runs(words: list[bytes], n: int = 3) -> list[tuple]:
+def _runs(words: list, n: int = 3) -> list[tuple]:
     n = min(n, len(words))
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
 
@@ -65,100 +66,120 @@ def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (count[i] of them) for every i, side by side."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class Index:
     """Postings of the items with impacts as shares of each item's own score, in blocks; and the short items by first word.
 
     whole: number, mean and highest length, and words' item counts of all items of min_words words or more; else of these.
+    Words are numbered and all else is arrays, some 20 bytes a posting, as every task holds an index.
     """
 
     def __init__(self, items: list[tuple[object, bytes]], threshold: float, block: int, min_words: int, whole: tuple[int, float, int, dict[bytes, int]] | None = None):
-        split = [(k, t, words_of(t)) for k, t in items]
-        items = [x for x in split if len(x[2]) >= min_words]
-        few = [x for x in split if 0 < len(x[2]) < min_words]
-        self.ids = [k for k, _, _ in items + few]
-        self.short: dict[bytes, dict[int, dict[tuple, list[int]]]] = {}
-        for i, (_, _, w) in enumerate(few, len(items)):
+        split = [(k, *question_and_answer(t)) for k, t in items]
+        long = [x for x in split if len(x[1]) + len(x[2]) >= min_words]
+        few = [x for x in split if 0 < len(x[1]) + len(x[2]) < min_words]
+        self.ids = [k for k, _, _ in long + few]
+        self.threshold, self.block, self.term = threshold, block, {}
+        number = lambda words: [self.term.setdefault(w, len(self.term)) for w in words]
+        words = [q + a for _, q, a in long]
+        n_items, mean, self.length, df = whole or (len(long), sum(map(len, words)) / max(1, len(long)), max(map(len, words), default=1), Counter(itertools.chain.from_iterable(map(set, words))))
+        self.words = np.array([t for w in words for t in number(w)], np.int32)
+        self.begin = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        self.answer = self.begin[:-1] + np.array([len(q) for _, q, _ in long], np.int64)
+        self.short: dict[int, dict[int, dict[tuple, list[int]]]] = {}
+        for i, (_, q, a) in enumerate(few, len(long)):
+            w = number(q + a)
             self.short.setdefault(w[0], {}).setdefault(len(w), {}).setdefault(tuple(w), []).append(i)
-        self.threshold, self.block = threshold, block
-        self.parts = [tuple(map(_runs, question_and_answer(t))) for _, t, _ in items]
-        counts, sizes = [Counter(w) for _, _, w in items], [len(w) for _, _, w in items]
-        n_items, mean, self.length, df = whole or (len(items), sum(sizes) / max(1, len(items)), max(sizes, default=1), Counter(itertools.chain.from_iterable(counts)))
-        self.term: dict[bytes, int] = {}
-        self.postings: list[dict[bytes, list[tuple[int, float]]]] = [{} for _ in range(-(-len(items) // block))]
-        self.rest = np.zeros(len(self.postings))
+        self.n_terms, self.n_blocks = len(self.term), -(-len(long) // block)
+        self.rest = np.zeros(self.n_blocks)
+        postings: list[tuple[int, int, float]] = []
         top: dict[tuple[int, int], float] = {}
-        for i, (c, (_, _, w)) in enumerate(zip(counts, items)):
+        for i, w in enumerate(words):
             raw = {}
-            for t, n in c.items():
+            for t, n in Counter(w).items():
                 idf = np.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5))
                 raw[t] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean))
             own, rest = sum(raw.values()), 0.0
             for t in sorted(raw, key=lambda t: (-df[t], t)):
-                impact = float(raw[t] / own)
-                self.postings[i // block].setdefault(t, []).append((i, impact))
+                impact, k = float(raw[t] / own), (self.term[t], i // block)
+                postings.append((k[1] * self.n_terms + k[0], i, impact))
                 if rest + impact < threshold / 2:
                     rest += impact
-                    continue
-                k = (self.term.setdefault(t, len(self.term)), i // block)
-                top[k] = max(top.get(k, 0.0), impact)
+                else:
+                    top[k] = max(top.get(k, 0.0), impact)
             self.rest[i // block] = max(self.rest[i // block], rest)
+        postings.sort()
+        self.key, self.item, self.impact = np.array([p[0] for p in postings], np.int64), np.array([p[1] for p in postings], np.int32), np.array([p[2] for p in postings])
         pairs = sorted(top)
-        self.first = np.searchsorted([t for t, _ in pairs], np.arange(len(self.term) + 1))
-        self.blocks = np.array([b for _, b in pairs], np.int64)
+        self.first = np.searchsorted([t for t, _ in pairs], np.arange(self.n_terms + 1))
+        self.blocks = np.array([b for _, b in pairs], np.int32)
         self.top = np.array([top[p] for p in pairs])
 
-    def passages(self, words: list[bytes], n_words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, start, end, block) of the passages whose block bound reaches the threshold; rows lie side by side in words."""
-        term = np.fromiter(map(self.term.get, words, itertools.repeat(-1)), np.int64, len(words))
+    def terms(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.term.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def passages(self, term: np.ndarray, n_words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, start, end, block) of the passages whose block bound reaches the threshold; rows lie side by side in term."""
         at = np.flatnonzero(term >= 0)
+        count = self.first[term[at] + 1] - self.first[term[at]]
+        at, count = at[count > 0], count[count > 0]
         if not len(at):
             return
-        n_blocks, step = len(self.postings), self.length
+        step = self.length
         begin = np.concatenate([[0], np.cumsum(n_words)])
         row = np.searchsorted(begin, at, "right") - 1
         base = np.concatenate([[0], np.cumsum(n_words // step + 1)])
-        count = self.first[term[at] + 1] - self.first[term[at]]
-        hit = np.repeat(np.arange(len(at)), count)
-        entry = np.repeat(self.first[term[at]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(hit))
+        hit, entry = np.repeat(np.arange(len(at)), count), _ranges(self.first[term[at]], count)
         window = ((at - begin[row]) // step)[hit]
-        key = (base[row[hit]] + window) * n_blocks + self.blocks[entry]
+        key = (base[row[hit]] + window) * self.n_blocks + self.blocks[entry]
         also = window > 0
-        key = np.concatenate([key, key[also] - n_blocks])
+        key = np.concatenate([key, key[also] - self.n_blocks])
         found, inv = np.unique(key, return_inverse=True)
         bound = np.bincount(inv, np.concatenate([self.top[entry], self.top[entry[also]]]))
-        block = found % n_blocks
+        block = found % self.n_blocks
         ok = bound + self.rest[block] >= self.threshold - 1e-9
-        for w, b in zip((found // n_blocks)[ok].tolist(), block[ok].tolist()):
+        for w, b in zip((found // self.n_blocks)[ok].tolist(), block[ok].tolist()):
             r = int(np.searchsorted(base, w, "right")) - 1
             start = int(begin[r]) + (w - int(base[r])) * step
             yield r, start, min(start + 2 * step, int(begin[r + 1])), b
 
+    def scores(self, term: np.ndarray, block: int) -> np.ndarray:
+        """Score of each item of a block for the passage of these words."""
+        have = np.unique(term)
+        key = block * self.n_terms + have[have >= 0]
+        lo = np.searchsorted(self.key, key, "left")
+        at = _ranges(lo, np.searchsorted(self.key, key, "right") - lo)
+        return np.bincount(self.item[at] - block * self.block, self.impact[at], self.block)
+
     def leaks(self, words: list[bytes], n_words: np.ndarray, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(row, item) to the highest (score, question overlap, answer overlap)."""
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
-        begin = np.concatenate([[0], np.cumsum(n_words)]).tolist()
-        for row, start, end, b in self.passages(words, n_words):
-            postings, score = self.postings[b], Counter()
-            for t in set(words[start:end]) & postings.keys():
-                for i, impact in postings[t]:
-                    score[i] += impact
-            near = None
-            for i, s in score.items():
-                if s < self.threshold - 1e-9:
-                    continue
+        begin, term = np.concatenate([[0], np.cumsum(n_words)]).tolist(), self.terms(words)
+        for row, start, end, b in self.passages(term, n_words):
+            score, near = self.scores(term[start:end], b), None
+            for j in np.flatnonzero(score >= self.threshold - 1e-9).tolist():
+                i = b * self.block + j
                 if near is None:
-                    around = words[max(begin[row], start - self.length) : min(begin[row + 1], end + self.length)]
+                    around = term[max(begin[row], start - self.length) : min(begin[row + 1], end + self.length)].tolist()
                     near = {n: set(_runs(around, n)) for n in (1, 2, 3)}
-                q, a = (sum(r in near[len(r)] for r in part) / len(part) if part else 1.0 for part in self.parts[i])
+                cut = self.begin[i], self.answer[i], self.begin[i + 1]
+                parts = [_runs(self.words[x:y].tolist()) for x, y in zip(cut, cut[1:])]
+                q, a = (sum(r in near[len(r)] for r in part) / len(part) if part else 1.0 for part in parts)
                 if q >= overlap and a >= overlap:
-                    out[row, i] = max(out.get((row, i), (0.0, 0.0, 0.0)), (s, q, a))
-        short = self.short
-        for at in [j for j, w in enumerate(words) if w in short] if short else ():
-            row = bisect.bisect_right(begin, at) - 1
-            for n, known in short[words[at]].items():
-                if at + n <= begin[row + 1]:
-                    for i in known.get(tuple(words[at : at + n]), ()):
-                        out[row, i] = (1.0, 1.0, 1.0)
+                    out[row, i] = max(out.get((row, i), (0.0, 0.0, 0.0)), (float(score[j]), q, a))
+        if self.short:
+            begins = np.zeros(self.n_terms + 1, bool)
+            begins[list(self.short)] = True
+            for at in np.flatnonzero(begins[term]).tolist():
+                row = bisect.bisect_right(begin, at) - 1
+                for n, known in self.short[int(term[at])].items():
+                    if at + n <= begin[row + 1]:
+                        for i in known.get(tuple(term[at : at + n].tolist()), ()):
+                            out[row, i] = (1.0, 1.0, 1.0)
         return out
 
 
@@ -175,7 +196,7 @@ def _count_words(items: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
             rows = [(p, w) for p, t in zip(c.column("part").to_pylist(), c.texts()) if len(all_words := words_of(t)) >= min_words for w in set(all_words)]
             yield pa.record_batch([pa.array([p for p, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.binary())], names=["part", "word"])
 
-    return items.mapInArrow(lengths, "n_words long"), items.mapInArrow(distinct, "part long, word binary")
+    return items.transform(map_arrow, lengths, "n_words long"), items.transform(map_arrow, distinct, "part long, word binary")
 
 
 def _indexes(benchmark: DataFrame, threshold: float, block: int, min_words: int, slice_bytes: int) -> Iterator[Index]:
@@ -204,10 +225,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     """The columns `keep` of docs with item_id, score, question_overlap and answer_overlap, one row per text and item leaked.
 
     Null and empty texts leak nothing, on either side; a repeated row of docs is reported each time.
+    Columns of docs with the names of the result's own are not kept.
     """
-    kept = list(keep)
     item = benchmark.schema["item_id"]
-    schema = T.StructType([docs.schema[c] for c in kept] + [item] + [T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap")])
+    added = [item] + [T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap")]
+    kept = [c for c in keep if c not in [f.name for f in added]]
+    schema = T.StructType([docs.schema[c] for c in kept] + added)
     source, out = docs.select(*kept, _lower().alias("__bytes")), None
     for index in _indexes(benchmark, threshold, block, min_words, slice_bytes):
         held = docs.sparkSession.sparkContext.broadcast(index)
@@ -220,16 +243,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
                     rows = pa.array([r for r, _ in found], pa.int64())
                     values = np.array(list(found.values()))
                     first = [c.column(k).take(rows) for k in kept]
-                    yield pa.record_batch([*first, pa.array([index.ids[i] for _, i in found]).cast(T_ARROW[item.dataType.typeName()]), *[pa.array(values[:, j]) for j in range(3)]], names=[f.name for f in schema])
+                    yield pa.record_batch([*first, pa.array([index.ids[i] for _, i in found]).cast(to_arrow_type(item.dataType)), *[pa.array(values[:, j]) for j in range(3)]], names=[f.name for f in schema])
 
-        part = source.mapInArrow(search, schema)
+        part = source.transform(map_arrow, search, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-T_ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
-
-
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, block: int = 16, min_words: int = 5, slice_bytes: int = 16 << 20) -> DataFrame:
     """docs without the rows whose text leaks an item; all columns stay."""
     schema = docs.schema
@@ -242,7 +262,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                 rows = pa.array([r for r in range(len(c.off) - 1) if r not in bad], pa.int64())
                 yield pa.record_batch([c.column(f.name).take(rows) for f in schema], names=[f.name for f in schema])
 
-        docs = docs.select("*", _lower().alias("__bytes")).mapInArrow(clean, schema)
+        docs = docs.select("*", _lower().alias("__bytes")).transform(map_arrow, clean, schema)
     return docs
 
 

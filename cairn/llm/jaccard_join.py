@@ -5,10 +5,11 @@ reaches `percent` / 100.  The join is exact up to 64-bit hashes of words, shingl
 
 1. Equal sets are one set from here on, so copies cost nothing.
 2. Prefix index: shingles are put in one fixed order, and each set is listed under its first
-   n - ceil(t n) + 1; linked sets share one of these.  Shingles of `hot_sets` sets or more come last,
-   by number of sets, so that passages many texts share list none of them.  Sets are counted for all
-   shingles in the lower half of the hash range, the only ones that come early in any text; of more
-   than `most_hot` frequent ones the most frequent are taken.  The order affects the cost only.
+   n - ceil(t n) + 1; linked sets share one of these.  First come shingles in the lower half of the
+   hash range, then those of `hot_sets` sets or more, by number of sets, so that passages many texts
+   share list few of them, then the upper half.  Sets are counted for the shingles that may come early:
+   the lower half, and more where that holds less than a set's prefix.  Of more than `most_hot`
+   frequent ones the most frequent are taken.  The order affects the cost only.
 3. Index-level skipping: a list is sorted by the position of its shingle in each set.  The set at
    the lowest position leads the list and is compared with the others; position and size bounds
    skip those that cannot reach the threshold, and lists with equal members are kept once.  Parity
@@ -22,7 +23,8 @@ reaches `percent` / 100.  The join is exact up to 64-bit hashes of words, shingl
        |X∩Y| + |X∩Z| - |X|  <=  |Y∩Z|  <=  min(|X∩Z| + |Y\\X|, |X∩Y| + |Z\\X|),
 
    and only pairs that these bounds, then the parity cells, leave open are compared.  Outsiders of a
-   list meet its members in blocks of `block_rows`, so no task holds a long list.
+   list meet its members in blocks of `block_rows`, so no task holds a long list; in a block, both
+   sides are sorted by size, and slices of it meet only the sizes that they can link with.
 
 Lists of very frequent shingles are dealt to tasks in parts of about `list_rows` sets; the leaders of
 the parts are compared too, and step 4 sees the whole list.
@@ -37,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import chunks, mix64, read, release, shingle_sets, stage, text_bytes
+from cairn.llm.common import chunks, map_arrow, mix64, read, release, shingle_sets, stage, text_bytes
 from cairn.llm.graph import connected_components
 
 _POSTING = np.dtype([("h", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 _U = np.uint64
+_HALF = _U(1 << 63)
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -77,7 +80,7 @@ def _least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_CODE_BITS, _PLANES = 43, 5
+_CODE_BITS, _CODE_PLANES = 43, 6
 
 
 def _codes(hashes: np.ndarray) -> np.ndarray:
@@ -109,23 +112,27 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tup
                 yield sid, s
 
 
-def _count(size: int, buckets: int, flush: int = 3_000_000):
-    """Rows (bucket, codes): codes of the lower half of all shingles, sorted, as byte planes of their differences."""
+def _prefix(n: int, percent: int) -> int:
+    return n - _least_overlap(n, percent) + 1
+
+
+def _count(size: int, percent: int, buckets: int, flush: int = 1_000_000):
+    """Rows (bucket, codes): counted codes, sorted, as byte planes of their differences and of their numbers of sets."""
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes = np.sort(np.concatenate(held))
+        codes, n = np.unique(np.concatenate(held), return_counts=True)
         bucket = (codes * buckets) >> _CODE_BITS
         edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
         steps = np.diff(codes, prepend=0)
         steps[edge] = codes[edge]
-        planes = steps.view(np.uint8).reshape(-1, 8)
-        blobs = [planes[s:e, :_PLANES + 1].T.tobytes() for s, e in zip(edge, np.append(edge[1:], len(codes)))]
+        planes = np.concatenate([steps.view(np.uint8).reshape(-1, 8)[:, :_CODE_PLANES], n.astype("<u4").view(np.uint8).reshape(-1, 4)], 1)
+        blobs = [planes[s:e].T.tobytes() for s, e in zip(edge, np.append(edge[1:], len(codes)))]
         return pa.record_batch([pa.array(bucket[edge]), pa.array(blobs, pa.binary())], ["bucket", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for _, s in _distinct_sets(batches, size):
-            held.append(_codes(s[: np.searchsorted(s, _U(1 << 63))]))
+            held.append(_codes(s[: max(int(np.searchsorted(s, _HALF)), _prefix(len(s), percent))]))
             rows += len(held[-1])
             if rows > flush:
                 yield pack(held)
@@ -138,13 +145,15 @@ def _count(size: int, buckets: int, flush: int = 3_000_000):
 
 def _frequent_codes(least: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = []
+        codes, counts = [], []
         for blob in table["codes"].to_pylist():
-            planes = np.frombuffer(blob, np.uint8).reshape(_PLANES + 1, -1)
+            planes = np.frombuffer(blob, np.uint8).reshape(_CODE_PLANES + 4, -1)
             wide = np.zeros((planes.shape[1], 8), np.uint8)
-            wide[:, : _PLANES + 1] = planes.T
-            parts.append(np.cumsum(wide.view(np.int64).ravel()))
-        code, n = np.unique(np.concatenate(parts), return_counts=True)
+            wide[:, :_CODE_PLANES] = planes[:_CODE_PLANES].T
+            codes.append(np.cumsum(wide.view(np.int64).ravel()))
+            counts.append(np.ascontiguousarray(planes[_CODE_PLANES:].T).view("<u4").ravel())
+        code, at = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
         keep = n >= least
         return pa.table([pa.array(code[keep]), pa.array(n[keep])], names=["code", "n"])
 
@@ -174,10 +183,10 @@ def _post(size: int, percent: int, buckets: int, frequent, flush: int = 200_000)
 
         for sid, s in _distinct_sets(batches, size):
             n = len(s)
-            late = _find(hot, rank, s, -1)
-            if late.max() >= 0:
+            late, k = _find(hot, rank, s, -1), _prefix(n, percent)
+            late[(late < 0) & (s >= _HALF)] = len(hot)
+            if late[:k].max() >= 0:
                 s = s[np.argsort(late, kind="stable")]
-            k = n - _least_overlap(n, percent) + 1
             p = np.empty(k, _POSTING)
             p["h"], p["sid"], p["n"], p["pos"] = s[:k], sid, n, np.arange(k)
             held.append(p)
@@ -200,7 +209,7 @@ def _find(hot: np.ndarray, values: np.ndarray, hashes: np.ndarray, other: int) -
     return np.where(hot[at] == code, values[at], other)
 
 
-_MEMBER = "list_id long, sid long, n int, pos int, leader long, leader_n int, leader_pos int, split boolean"
+_MEMBER = "list_id long, sid long, n int, pos int, leader long, leader_n int, leader_pos int, parts long"
 
 
 def _lists(frequent):
@@ -214,19 +223,19 @@ def _lists(frequent):
             p = p[np.concatenate([[True], (p["h"][1:] != p["h"][:-1]) | (p["sid"][1:] != p["sid"][:-1])])]
         edge = np.flatnonzero(np.concatenate([[True], p["h"][1:] != p["h"][:-1]])) if len(p) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(p)))
-        split = _find(hot, parts, p["h"][edge], 1) > 1
+        dealt = _find(hot, parts, p["h"][edge], 1)
         if len(edge):
             with np.errstate(over="ignore"):
                 same = np.add.reduceat(mix64(p["sid"].view(np.uint64)), edge) + mix64(p["sid"][edge].view(np.uint64))
             _, first = np.unique(same, return_index=True)
             keep = np.zeros(len(edge), bool)
             keep[first] = True
-            keep = (keep & (count > 1)) | split
-            edge, count, split = edge[keep], count[keep], split[keep]
+            keep = (keep & (count > 1)) | (dealt > 1)
+            edge, count, dealt = edge[keep], count[keep], dealt[keep]
         at = np.repeat(edge - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(edge) else np.zeros(0, np.int64)
         m, lead = p[at], p[np.repeat(edge, count)] if len(edge) else p[:0]
-        cols = [m["h"].view(np.int64), m["sid"], m["n"], m["pos"], lead["sid"], lead["n"], lead["pos"], np.repeat(split, count)]
-        return pa.table([pa.array(np.ascontiguousarray(c)) for c in cols], names=["list_id", "sid", "n", "pos", "leader", "leader_n", "leader_pos", "split"])
+        cols = [m["h"].view(np.int64), m["sid"], m["n"], m["pos"], lead["sid"], lead["n"], lead["pos"], np.repeat(dealt, count)]
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in cols], names=["list_id", "sid", "n", "pos", "leader", "leader_n", "leader_pos", "parts"])
 
     return run
 
@@ -272,7 +281,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of distinct set ids that the parity cells of both sets do not rule out."""
     with_a = pairs.join(classes.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x")), "a")
     both = with_a.join(classes.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y")), "b")
-    return both.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(_not_ruled_out(percent), "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "x", "y").transform(map_arrow, _not_ruled_out(percent), "a long, b long")
 
 
 def _reaches(n_a: str, n_b: str, both: str, percent: int):
@@ -283,14 +292,33 @@ def _reaches(n_a: str, n_b: str, both: str, percent: int):
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, both) for distinct pairs of set ids."""
     with_a = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")
-    return with_a.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, both long")
+    return with_a.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").transform(map_arrow, _overlaps, "a long, b long, n_a long, n_b long, both long")
+
+
+def _cell_tables(blobs: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Of cells folded by _fold: words of 64 cells that each has, and per number of words all that have as many, folded to it."""
+    words = np.array([len(x) // 8 for x in blobs])
+    tables = {16: np.frombuffer(b"".join(x.ljust(128, b"\0") for x in blobs), np.uint64).reshape(-1, 16)}
+    for w in (8, 4):
+        wide = tables[2 * w]
+        tables[w] = np.where((words > w)[:, None], wide[:, :w] ^ wide[:, w:], wide[:, :w])
+    return words, tables
 
 
-def _open_blocks(percent: int):
+def _open_blocks(percent: int, rows: int = 128, pairs: int = 50_000):
     """Pairs (a, b, sure) of outsiders and members of lists, in different components, that no bound rules out."""
     enough = lambda total, both: (100 + percent) * both >= percent * total
+    columns = ("list_id", "sid", "n", "pos", "leader", "leader_n", "both", "component", "outside")
 
-    def one(y: dict, z: dict) -> list[tuple[int, int, bool]]:
+    def table(t: pa.Table) -> dict:
+        t = t.sort_by([("list_id", "ascending"), ("n", "ascending")])
+        words, tables = _cell_tables(t["few_bits"].to_pylist())
+        return {c: t[c].to_numpy() for c in columns} | {"words": words} | {f"cells{w}": x for w, x in tables.items()}
+
+    def part(d: dict, begin: int, end: int) -> dict:
+        return {c: v[begin:end] for c, v in d.items()}
+
+    def meet(y: dict, z: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         total = y["n"][:, None] + z["n"]
         ok = (y["component"][:, None] != z["component"]) & (~z["outside"] | (y["sid"][:, None] < z["sid"]))
         before = np.minimum(y["pos"][:, None], z["pos"])
@@ -298,34 +326,52 @@ def _open_blocks(percent: int):
         known = (y["leader"][:, None] == z["leader"]) & (y["both"] >= 0)[:, None] & (z["both"] >= 0)
         most = np.minimum(z["both"] + (y["n"] - y["both"])[:, None], y["both"][:, None] + z["n"] - z["both"])
         ok &= ~known | enough(total, most)
-        sure = known & enough(total, y["both"][:, None] + z["both"] - y["leader_n"][:, None])
-        out = []
-        for i, j in zip(*(k.tolist() for k in np.nonzero(ok))):
-            t = int(total[i, j])
-            if sure[i, j] or _least_difference(y["few_bits"][i], z["few_bits"][j]) <= t - 2 * -(-percent * t // (100 + percent)):
-                a, b = sorted((int(y["sid"][i]), int(z["sid"][j])))
-                out.append((a, b, bool(sure[i, j])))
-        return out
-
-    def columns(t: pa.Table) -> dict:
-        d = {c: t[c].to_numpy() for c in ("list_id", "sid", "n", "pos", "leader", "leader_n", "both", "component", "outside")}
-        return d | {"few_bits": np.array(t["few_bits"].to_pylist(), object)}
+        sure = ok & known & enough(total, y["both"][:, None] + z["both"] - y["leader_n"][:, None])
+        left, right = np.nonzero(ok)
+        for s in range(0, len(left), pairs):
+            i, j = left[s : s + pairs], right[s : s + pairs]
+            width, least = np.minimum(y["words"][i], z["words"][j]), np.zeros(len(i), np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                least[at] = np.bitwise_count(y[f"cells{w}"][i[at]] ^ z[f"cells{w}"][j[at]]).sum(1)
+            t = total[i, j]
+            keep = sure[i, j] | (least <= t - 2 * -(-percent * t // (100 + percent)))
+            i, j = i[keep], j[keep]
+            yield np.minimum(y["sid"][i], z["sid"][j]), np.maximum(y["sid"][i], z["sid"][j]), sure[i, j]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[tuple[int, int], bool] = {}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
         if left.num_rows and right.num_rows:
-            y, z = columns(left.sort_by("list_id")), columns(right.sort_by("list_id"))
+            y, z = table(left), table(right)
             ids, begin = np.unique(y["list_id"], return_index=True)
             end = np.append(begin[1:], len(y["list_id"]))
             zb, ze = np.searchsorted(z["list_id"], ids, "left"), np.searchsorted(z["list_id"], ids, "right")
             for k in range(len(ids)):
-                for a, b, sure in one({c: v[begin[k] : end[k]] for c, v in y.items()}, {c: v[zb[k] : ze[k]] for c, v in z.items()}):
-                    found[a, b] = found.get((a, b), False) or sure
-        return pa.table([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.bool_())], names=["a", "b", "sure"])
+                sizes = z["n"][zb[k] : ze[k]]
+                for s in range(begin[k], end[k], rows):
+                    own = part(y, s, min(s + rows, end[k]))
+                    lo = np.searchsorted(sizes, -(-percent * own["n"][0] // 100), "left")
+                    hi = np.searchsorted(sizes, 100 * own["n"][-1] // percent, "right")
+                    found += meet(own, part(z, zb[k] + lo, zb[k] + hi))
+        a, b, sure = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((~sure, b, a))
+        a, b, sure = a[order], b[order], sure[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(sure[new])], names=["a", "b", "sure"])
 
     return run
 
 
+#: Which of the parts that a list is dealt in has a set.
+_DEAL = "pmod(xxhash64(sid), parts)"
+
+
+def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows (list_id, sid, parts, ...) with the columns of lists (list_id, parts, ...): a long list in as many tasks as it has parts."""
+    each = lists.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return rows.withColumn("deal", F.expr(_DEAL)).join(each, ["list_id", "deal"]).drop("deal")
+
+
 def _mixed_lists(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of the lists that have undecided pairs, marked as outside of the leader's component or not.
 
@@ -333,17 +379,17 @@ def _mixed_lists(members: DataFrame, groups: DataFrame) -> DataFrame:
     rest of a list has to hold several components.
     """
     m = members.join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    rest = F.col("split") | (F.col("sid") != F.col("leader"))
+    rest = (F.col("parts") > 1) | (F.col("sid") != F.col("leader"))
     lists = m.groupBy("list_id").agg(
-        F.min(F.when(rest, F.col("component"))).alias("c0"), F.max(F.when(rest, F.col("component"))).alias("c1"), F.min(F.struct("pos", "sid", "component")).alias("head"), F.count("*").alias("size")
+        F.max("parts").alias("parts"), F.min(F.when(rest, F.col("component"))).alias("c0"), F.max(F.when(rest, F.col("component"))).alias("c1"), F.min(F.struct("pos", "sid", "component")).alias("head"), F.count("*").alias("size")
     ).where("c0 <> c1")
-    return m.where(rest).join(lists.select("list_id", "head", "size"), "list_id").select(*m.columns, "size", (F.col("component") != F.col("head.component")).alias("outside"))
+    return _with_lists(m.where(rest), lists.select("list_id", "parts", "head", "size")).select(*m.columns, "size", (F.col("component") != F.col("head.component")).alias("outside"))
 
 
 def _second_leaders(mixed: DataFrame) -> DataFrame:
     """Pairs of each outsider with a random member of its list's main component."""
-    pick = mixed.where("not outside").groupBy("list_id").agg(F.min(F.struct(F.xxhash64("sid", "list_id").alias("r"), F.col("sid"))).alias("m"))
-    pairs = mixed.where("outside").join(pick, "list_id").select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))
+    pick = mixed.where("not outside").groupBy("list_id").agg(F.max("parts").alias("parts"), F.min(F.struct(F.xxhash64("sid", "list_id").alias("r"), F.col("sid"))).alias("m"))
+    pairs = _with_lists(mixed.where("outside"), pick).select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -353,7 +399,8 @@ def _open_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block_rows:
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    few = F.pmod(F.xxhash64("list_id"), F.lit(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
+    # short lists share tasks, of about as many rows as a block has
+    few = F.pmod(F.xxhash64("list_id"), F.lit(m.count() // block_rows + 1))
     keys = ["few", "y_block", "z_block"]
     y = m.where("outside").select("*", few.alias("few"), own.alias("y_block"), every.alias("z_block"))
     z = again.select("*", few.alias("few"), own.alias("z_block"), every.alias("y_block"))
@@ -363,7 +410,7 @@ def _open_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block_rows:
     return out
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_sets: int = 8, most_hot: int = 2_000_000, broadcast_ids: int = 500_000, block_rows: int = 4_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, count_rows: int = 1_000_000, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_sets: int = 8, most_hot: int = 2_000_000, broadcast_ids: int = 500_000, block_rows: int = 4_000) -> DataFrame:
     """doc_id, n_shingles, set_id, class_id and component_id of every row of docs (doc_id, text).
 
     class_id is the least doc_id with an equal set, component_id the least one reachable by links.
@@ -374,12 +421,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     some = texts.where(F.col("doc_id").isNotNull())
-    profiles = stage(texts.mapInArrow(_profile(size), "doc_id long, n long, sid long, bits binary, few_bits binary"), "profiles")
+    profiles = stage(texts.transform(map_arrow, _profile(size), "doc_id long, n long, sid long, bits binary, few_bits binary"), "profiles")
     sized = profiles.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = stage(sized.groupBy("sid").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("few_bits").alias("few_bits")), "classes")
 
-    count_buckets = min(1 << 20, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    codes = some.mapInArrow(_count(size, count_buckets), "bucket long, codes binary").groupBy("bucket").applyInArrow(_frequent_codes(hot_sets), "code long, n long")
+    shingles = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count_buckets = min(1 << 20, int(shingles) // count_rows + 8)
+    codes = some.transform(map_arrow, _count(size, percent, count_buckets), "bucket long, codes binary").groupBy("bucket").applyInArrow(_frequent_codes(hot_sets), "code long, n long")
     top = codes.orderBy(F.desc("n"), "code").limit(most_hot).toArrow()
     hot, df = top["code"].to_numpy(), top["n"].to_numpy()
     rank = np.empty(len(hot), np.int64)
@@ -389,13 +437,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
 
     postings = classes.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), F.lit(0)).alias("p")).first()["p"]
     buckets = max(8, -(-int(postings) // bucket_rows))
-    packed = some.mapInArrow(_post(size, percent, buckets, frequent), "bucket long, part long, postings binary")
+    packed = some.transform(map_arrow, _post(size, percent, buckets, frequent), "bucket long, part long, postings binary")
     members = stage(packed.groupBy("bucket", "part").applyInArrow(_lists(frequent), _MEMBER), "lists")
 
     # position and size bounds: at most the shingles before, the shared one, and those after in the shorter rest
     bound = "least(pos, leader_pos) + 1 + least(n - pos, leader_n - leader_pos) - 1"
     led = members.where((F.col("sid") != F.col("leader")) & _reaches("n", "leader_n", bound, percent)).select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    heads = members.where("split and sid = leader")
+    heads = members.where("parts > 1 and sid = leader")
     over = heads.groupBy("list_id").agg(F.min(F.struct("pos", "sid")).alias("m")).join(heads.select("list_id", "sid"), "list_id").where("m.sid <> sid")
     led = led.unionByName(over.select(F.col("m.sid").alias("a"), F.col("sid").alias("b"))).distinct()
 
@@ -405,7 +453,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, bucket_rows:
         pairs = stage(_possible(pairs, classes, percent), "pairs")
         ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes, "sid").select("sid", F.col("class_id").alias("doc_id")), "ids")
         near = some.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id")
-        sets = stage(near.select("sid", "text").mapInArrow(_sets(size), "sid long, hashes binary"), "sets")
+        sets = stage(near.select("sid", "text").transform(map_arrow, _sets(size), "sid long, hashes binary"), "sets")
         out = stage(_measure(pairs, sets), "overlaps")
         release(pairs, ids, sets)
         return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import chunks, crc_mod5, read, text_bytes
+from cairn.llm.common import chunks, crc_mod5, map_arrow, read, text_bytes
 
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -94,7 +94,7 @@ def train(labelled: DataFrame, rows_per_lang: int = 1500, max_chars: int = 12_00
     d = d.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     grams = (
         d.select("lang", text_bytes(F.lower("text")).alias("text"))
-        .mapInArrow(_count_grams, "lang string, gram long, n long")
+        .transform(map_arrow, _count_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -195,7 +195,7 @@ def classify(docs: DataFrame, model: PpmModel, text: Column | str = "text") -> D
             yield pa.record_batch(cols, names=kept + added.names)
 
     letters = F.coalesce(source.cast("string").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*[F.col(f"`{c}`") for c in kept], letters.alias("__letters"), text_bytes(F.lower(source)).alias("__bytes")).mapInArrow(score, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], letters.alias("__letters"), text_bytes(F.lower(source)).alias("__bytes")).transform(map_arrow, score, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

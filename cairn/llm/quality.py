@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import Words, chunks, read, release, stage, text_bytes, windows
+from cairn.llm.common import Words, chunks, map_arrow, read, release, stage, text_bytes, windows
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 #: Least standard deviation of each entry of the vector; keeps scatter regular where a statistic is constant.
@@ -89,7 +89,7 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     """The columns `keep` with the counts STATS of each whole text; a null text counts as empty."""
     kept = list(keep)
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(s, T.LongType()) for s in STATS])
-    return docs.select(*kept, text_bytes(text).alias("__bytes")).mapInArrow(_count(kept), schema)
+    return docs.select(*kept, text_bytes(text).alias("__bytes")).transform(map_arrow, _count(kept), schema)
 
 
 def _vector() -> list[Column]:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Remembered, chunks, read, stage, text_bytes
+from cairn.llm.common import Remembered, chunks, map_arrow, read, stage, text_bytes
 
 END = 1
 _CACHED = 600_000
@@ -228,7 +228,7 @@ def encode_shards(docs: DataFrame, path: str, shard_ids: int = 3_000_000, rounds
     options = {"first_rule": vocabulary, "rounds": rounds, "rules_per_round": rules_per_round, "min_count": min_count}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_write(path, shard_ids, options), _FILE)
+    return texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").transform(map_arrow, _write(path, shard_ids, options), _FILE)
 
 
 def _parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +262,7 @@ def decode_shards(files: DataFrame) -> DataFrame:
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each partition written
     before = list(itertools.accumulate((r["n"] for r in sizes), initial=0))
     base = files.sparkSession.createDataFrame([(r["part"], b) for r, b in zip(sizes, before)], "part int, base long")
-    return files.join(F.broadcast(base), "part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(base), "part").transform(map_arrow, _read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import chunks, read, release, shared_dir, stage, text_bytes
+from cairn.llm.common import chunks, map_arrow, read, release, shared_dir, stage, text_bytes
 
 MIN_LENGTH = 16
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_LENGTH)
@@ -70,7 +70,7 @@ def _count_letter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def learn_dictionary(docs: DataFrame, size: int = 20_000) -> Dictionary:
     """From the most frequent words of 4 to 12 letters of all texts."""
     texts = docs.select(text_bytes().alias("text"))
-    counts = texts.mapInArrow(_count_letter_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.transform(map_arrow, _count_letter_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     pairs = np.ones((27, 27))
     for r in top:
@@ -159,7 +159,7 @@ def find_candidates(docs: DataFrame, dictionary: Dictionary, keep: tuple[str, ..
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float32()), pa.float64()]
                 yield pa.record_batch([c.column(k).take(at) for k in kept] + [pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=[f.name for f in schema])
 
-    return docs.select(*kept, text_bytes().alias("__bytes")).mapInArrow(run, schema)
+    return docs.select(*kept, text_bytes().alias("__bytes")).transform(map_arrow, run, schema)
 
 
 @dataclass
@@ -237,7 +237,7 @@ def judge(findings: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFr
             s = held.value.score(x)
             yield pa.record_batch([b.column(c) for c in kept] + [pa.array(s), pa.array(s >= threshold)], names=schema.names)
 
-    return findings.select(*kept, "features").mapInArrow(run, schema)
+    return findings.select(*kept, "features").transform(map_arrow, run, schema)
 
 
 def redact(docs: DataFrame, dictionary: Dictionary, forest: Forest, threshold: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
@@ -265,7 +265,7 @@ def redact(docs: DataFrame, dictionary: Dictionary, forest: Forest, threshold: f
                 cols.append(col)
             yield pa.record_batch(cols, names=schema.names)
 
-    return docs.select("*", text_bytes().alias("__bytes")).mapInArrow(run, schema)
+    return docs.select("*", text_bytes().alias("__bytes")).transform(map_arrow, run, schema)
 
 
 def learn(docs: DataFrame) -> tuple[Dictionary, Forest, DataFrame]:

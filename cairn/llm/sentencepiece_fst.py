@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import Remembered, chunks, read, text_bytes
+from cairn.llm.common import Remembered, chunks, map_arrow, read, text_bytes
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
@@ -333,7 +333,7 @@ def encode_and_decode(docs: DataFrame, model: Model, keep: tuple[str, ...] | Non
             cols["round_trip"] = pa.array([x == t.replace(_SPACE, b" ") for x, t in zip(back, texts)])
             yield pa.record_batch([c.column(k) for k in kept] + list(cols.values()), names=kept + list(cols))
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], text_bytes().alias("__bytes")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], text_bytes().alias("__bytes")).transform(map_arrow, run, schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

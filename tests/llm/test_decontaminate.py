@@ -1,3 +1,9 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+
 from cairn.llm import decontaminate
 from tests.llm.fixtures import frame, rows, with_clashes
 
@@ -29,25 +35,51 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert left.count() == len(data) - 3 and left.columns == frame(spark, data).columns
 
 
-def test_bounds_lose_no_passage():
-    """Block-max WAND against scoring every passage and item in full."""
-    texts = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 15)).encode()) for i in range(40)]
-    index = decontaminate.Index(texts, 0.5, 4, 3)
-    words = [f"w{(k * k) % 29}".encode() for k in range(400)]
-    found = set()
-    for _, start, end, b in index.passages(words, __import__("numpy").array([400])):
-        have = set(words[start:end])
-        for i in range(4 * b, 4 * b + 4):
-            if sum(x for t, ps in index.postings[b].items() if t in have for k, x in ps if k == i) >= 0.5 - 1e-9:
-                found.add((start, i))
-    want = set()
-    for start in range(0, 400, index.length):
-        have = set(words[start : start + 2 * index.length])
-        for b, postings in enumerate(index.postings):
-            for i in range(4 * b, min(40, 4 * b + 4)):
-                if sum(x for t, ps in postings.items() if t in have for k, x in ps if k == i) >= 0.5 - 1e-9:
-                    want.add((start, i))
-    assert found == want
+def brute(texts, words, threshold, overlap, step, min_words=3):
+    """The leaks of one text, scoring every passage and item in full."""
+    split = {i: tuple(map(list, decontaminate.question_and_answer(t))) for i, t in texts}
+    whole = {i: q + a for i, (q, a) in split.items() if len(q + a) >= min_words}
+    mean = sum(map(len, whole.values())) / len(whole)
+    df = Counter(w for ws in whole.values() for w in set(ws))
+    runs = lambda ws: [tuple(ws[k : k + min(3, len(ws))]) for k in range(len(ws) - min(3, len(ws)) + 1)] if ws else []
+    out = {}
+    for start in range(0, len(words) + 1, step):
+        have, around = set(words[start : start + 2 * step]), words[max(0, start - step) : start + 3 * step]
+        near = {tuple(around[k : k + n]) for n in (1, 2, 3) for k in range(len(around) - n + 1)}
+        for i, ws in whole.items():
+            weight = {t: math.log(1 + (len(whole) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for t, n in Counter(ws).items()}
+            score = sum(v for t, v in weight.items() if t in have) / sum(weight.values())
+            q, a = (sum(r in near for r in runs(part)) / len(runs(part)) if part else 1.0 for part in split[i])
+            if score >= threshold - 1e-9 and q >= overlap and a >= overlap:
+                out[i] = max(out.get(i, (0, 0, 0)), (round(score, 9), q, a))
+    return out
+
+
+def test_leaks_equal_brute_force():
+    """Block-max WAND and the verdict against scoring every passage and item in full."""
+    rng = random.Random(4)
+    texts = [(i, (" ".join(f"w{(i * k) % 23}" for k in range(1, 9 + i % 7)) + ". " + " ".join(f"w{(i + k) % 19}" for k in range(1 + i % 5))).encode()) for i in range(40)]
+    words = []
+    while len(words) < 600:
+        i = rng.randrange(40)
+        own = decontaminate.words_of(texts[i][1])
+        words += [w if rng.random() < 0.9 else b"other" for w in own] if rng.random() < 0.6 else [f"w{rng.randrange(29)}".encode() for _ in range(9)]
+    for block in (1, 4, 64):
+        index = decontaminate.Index(texts, 0.5, block, 3)
+        got = {i: (round(s, 9), q, a) for (_, i), (s, q, a) in index.leaks(words, np.array([len(words)]), 0.5).items()}
+        assert got == brute(texts, words, 0.5, 0.5, index.length) and len(got) > 5
+
+
+def test_clashing_columns_and_other_item_ids(spark):
+    docs = with_clashes(frame(spark, [(1, ITEMS[0][1], "en", "s", 0)])).selectExpr("*", "'x' AS item_id")
+    out = decontaminate.find_leaks(docs, spark.createDataFrame([("a", ITEMS[0][1])], "item_id string, text string"), keep=("doc_id", "item_id", "score", "word"))
+    assert [(r.doc_id, r.word, r.item_id, r.score) for r in out.collect()] == [(1, "x", "a", 1.0)]
+    assert out.columns == ["doc_id", "word", "item_id", "score", "question_overlap", "answer_overlap"]
+
+
+def test_a_text_over_a_chunk_and_repeated_rows(spark):
+    data = [(1, "filler words " * 150_000 + ITEMS[0][1], "en", "s", 0)] * 2
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, data), items(spark)).collect()] == [(1, 1)] * 2
 
 
 def test_empty_sides(spark):
