@@ -2,9 +2,9 @@
 
 Texts are encoded in doc_id order, the end id after each, and cut into shards of about `shard_ids` ids
 that hold whole documents.  In each shard the most frequent pairs of neighbouring symbols are replaced
-by new ones, and again in the result, until no pair occurs `min_count` times or `rounds` are over; a
-round replaces up to `rules_per_round` pairs at once, so it costs a few passes over the shard.  Pairs
-never span the end id, so a symbol never spans documents.
+by new ones, and again in the result, until no pair occurs `min_count` times or two bytes name no more
+symbols; a turn replaces many pairs at once, so it costs a few passes over the shard.  Pairs never
+span the end id, so a symbol never spans documents.
 
 A file is Parquet with a row per shard: part and seq give its place, start the ids before it in its
 part, doc_ids and doc_ends its documents and where each ends, rules the pairs (symbol `first_rule` + i
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,35 +28,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Remembered, chunks, map_arrow, read, stage, text_bytes
+from cairn.llm.common import chunks, map_arrow, read, stage, text_bytes
 
 END = 1
 _CACHED = 600_000
+_TWO_BYTES = 1 << 16
+#: Signs that form a token of their own behind letters.
+_SIGNS = b"#$%&*!|;:?)"
 _CODERS: dict[str, WordCoder] = {}
+#: Bytes before a stop or comma that part it from what it follows: white space, ASCII letters and digits; and two-byte letters,
+#: by lead and last byte: U+00C0 to U+017F without the two signs there and the dotted I, which the vocabulary reads as two.
+_BEFORE_STOP = np.zeros(256, bool)
+_BEFORE_STOP[[9, 10, 11, 12, 13, 32, *range(48, 58), *range(97, 123)]] = True
+_LETTERS = np.zeros((256, 256), bool)
+_LETTERS[0xC3:0xC6, 0x80:0xC0] = True
+_LETTERS[[0xC3, 0xC3, 0xC4], [0x97, 0xB7, 0xB0]] = False
 
 
 class WordCoder:
     """Encodes texts word by word, which the vocabulary's rules allow: white space always parts tokens.
 
-    The vocabulary ignores case, so ASCII is lower-cased first; stops and commas are parted from the
-    letter or digit before them, as its rules do, unless the text has one behind another sign, with
-    which it would form one token.  Words are remembered, those in use longest, so each worker encodes
-    most words once.  A text that holds one of the special tokens' strings is encoded whole.
+    The vocabulary ignores case, so ASCII is lower-cased first.  Stops and commas are parted from the
+    letter or digit before them, as its rules do; a text that has one behind anything else, with which
+    it may form one token, keeps its words whole.  A text with a special token's string, whatever its
+    case, or with combining marks, which compose with some letters of one case only, is encoded at
+    once.  Words are remembered, those in use longest, so each worker encodes most words once.
     """
 
-    _SIGNED = re.compile(rb"([a-z\x80-\xff]+)([#$%&*!|;:?)]+)")
-    _JOINED = re.compile(r"[^\s\w][.,]|_[.,]")
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids = Remembered(self._learn, _CACHED)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # byte-level form: bytes that do not print as Latin-1 stand for characters from 256 on
         printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_form = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printing)}
+        self.signs: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> WordCoder:
@@ -65,37 +74,73 @@ class WordCoder:
             _CODERS[path] = cls(path)
         return _CODERS[path]
 
-    def _words(self, text: bytes) -> list[bytes]:
-        low = text.lower()
-        if self._JOINED.search(low.decode("utf-8", "replace")) is None:
-            low = low.replace(b".", b" .").replace(b",", b" ,")
-        return low.split()
-
     @staticmethod
-    def _plain(word: bytes) -> bool:
-        """Letters that the normaliser leaves alone and the pre-tokeniser keeps together."""
+    def _kinds(texts: list[bytes]) -> tuple[list[bool], list[bool]]:
+        """Per text, whether its stops and commas all follow white space, plain letters or digits; and whether it has combining marks."""
+        off = np.cumsum([0] + [len(t) + 1 for t in texts])
+        buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        at = np.flatnonzero((buf == 46) | (buf == 44))
+        before, lead = np.where(at > 0, buf[at - 1], 32), np.where(at > 1, buf[at - 2], 32)
+        plain = _BEFORE_STOP[before] | _LETTERS[lead, before]
+        rows = len(texts)
+        odd = np.bincount(np.searchsorted(off, at[~plain], "right") - 1, minlength=rows)[:rows]
+        marks = np.bincount(np.searchsorted(off, np.flatnonzero((buf == 0xCC) | (buf == 0xCD)), "right") - 1, minlength=rows)[:rows]
+        return (odd == 0).tolist(), (marks > 0).tolist()
+
+    def _form(self, word: bytes) -> str | None:
+        """The word as the vocabulary spells it, if it is of letters that the normaliser leaves alone and the pre-tokeniser keeps together."""
         if word.isascii():
-            return word.isalpha()
+            return word.decode() if word.isalpha() else None
         s = word.decode("utf-8", "replace")
-        return s.isalpha() and max(s) < "\u0250" and s.lower() == s and is_normalized("NFC", s)
-
-    def _learn(self, word: bytes) -> bytes:
-        if self._plain(word):
-            form = word.decode("latin-1")
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(form if word.isascii() else form.translate(self.byte_form))]).tobytes()
-        parts = self._SIGNED.fullmatch(word)
-        if parts and self._plain(parts[1]):
-            return self.ids[parts[1]] + self.ids[parts[2]]
-        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        return word.decode("latin-1").translate(self.byte_form) if s.isalpha() and max(s) < "\u0250" and s.lower() == s and is_normalized("NFC", s) else None
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new words: those of letters by the vocabulary's merges alone, with signs behind them as two."""
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in words:
+            letters = w.rstrip(_SIGNS)
+            form = self._form(letters) if letters else None
+            if form is None:
+                rest.append(w)
+                continue
+            signs = w[len(letters) :]
+            if signs not in self.signs:
+                if len(self.signs) > _CACHED:
+                    self.signs.clear()
+                self.signs[signs] = self._whole([signs.decode()])[0]
+            self.ids[w] = array("I", [t.id for t in tokenize(form)]).tobytes() + self.signs[signs]
+        self.ids.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-        self.ids.age()
-        get, end = self.ids.__getitem__, END.to_bytes(4, "little")
-        out = [b"".join(map(get, self._words(t))) + end for t in texts]
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                out[i] = np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() + end
+        lower = [t.lower() for t in texts]
+        parted, marked = self._kinds(lower)
+        at_once = [m or any(s in t for s in self.special) for t, m in zip(lower, marked)]
+        docs = [[] if o else (t.replace(b".", b" .").replace(b",", b" ,") if p else t).split() for t, p, o in zip(lower, parted, at_once)]
+        if len(self.ids) > _CACHED:
+            self.ids, self.older = {}, self.ids
+        words = list(itertools.chain.from_iterable(docs))
+        parts = list(map(self.ids.get, words))
+        missed = [i for i, x in enumerate(parts) if x is None]
+        new = []
+        for w in dict.fromkeys([words[i] for i in missed]):
+            found = self.older.get(w)
+            if found is None:
+                new.append(w)
+            else:
+                self.ids[w] = found
+        self._learn(new)
+        for i in missed:
+            parts[i] = self.ids[words[i]]
+        cut = [0, *itertools.accumulate(map(len, docs))]
+        end = END.to_bytes(4, "little")
+        out = [b"".join(parts[x:y]) + end for x, y in zip(cut, cut[1:])]
+        whole = [i for i, o in enumerate(at_once) if o]
+        for i, x in zip(whole, self._whole([texts[i].decode("utf-8", "replace") for i in whole])):
+            out[i] = x + end
         return out
 
 
@@ -104,37 +149,57 @@ _CELLS = 1 << 20
 
 def _cell(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A hash of pairs of symbols to _CELLS."""
-    return (left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(12)
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(12)
+
+
+def _frequent_pairs(seq: np.ndarray, most: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to most pairs that occur min_count times, about the most frequent, one a cell, most frequent first; places of pairs in their cells, and the cells.
+
+    Pairs do not begin with the end id.  None are left when there are none to give.
+    """
+    left, right = seq[:-1], seq[1:]
+    cell = _cell(left, right)
+    counts = np.bincount(cell, minlength=_CELLS)
+    few = max(min_count, int(np.partition(counts, -2 * most)[-2 * most])) if 2 * most < _CELLS else min_count
+    for least, exact in ((few, False), (min_count, False), (min_count, True)):
+        at = np.flatnonzero((counts >= least)[cell] & (left != END))
+        own = cell[at]
+        key = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+        pair = np.zeros(_CELLS, np.uint64)
+        if exact:  # a cell's most frequent pair stands for it
+            keys, n = np.unique(key, return_counts=True)
+            keys = keys[np.argsort(n, kind="stable")]
+            pair[_cell((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))] = keys
+        else:  # any one of its pairs does
+            pair[own] = key
+        hit = np.flatnonzero(pair[own] == key)
+        at, own = at[hit], own[hit]
+        n = np.bincount(own, minlength=_CELLS)
+        cells = np.flatnonzero(n >= min_count)
+        if len(cells):
+            break
+    cells = cells[np.argsort(-n[cells], kind="stable")][:most]
+    rule_of = np.full(_CELLS, -1, np.int32)
+    rule_of[cells] = np.arange(len(cells))
+    rule = rule_of[own]
+    return pair[cells], at[rule >= 0], rule[rule >= 0]
 
 
-def compress(ids: np.ndarray, first_rule: int, rounds: int = 8, rules_per_round: int = 1024, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, lengths, sequence): pairs of symbols, ids that each expands to, and ids with pairs replaced."""
+def compress(ids: np.ndarray, first_rule: int, turns: int = 6, min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, lengths, sequence): pairs of symbols, ids that each expands to, and ids with pairs replaced.
+
+    Pairs are replaced until none occurs min_count times, or, where symbols take two bytes, until these are used up, as one
+    more rule would double the width of all; in about `turns` turns then, which take an equal share of the symbols.
+    """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.ones(first_rule, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
+    room = _TWO_BYTES if first_rule < _TWO_BYTES else 1 << 32
+    most = max(1, (room - first_rule) // turns) if room == _TWO_BYTES else _TWO_BYTES // turns
+    while len(seq) > 1 and len(lengths) < room:
+        made, at, rule = _frequent_pairs(seq, min(most, room - len(lengths)), min_count)
+        if not len(made):
             break
-        left, right = seq[:-1], seq[1:]
-        cell = _cell(left, right)
-        counts = np.bincount(cell, minlength=_CELLS)
-        # cells with too few pairs hold no frequent one; pairs are counted exactly in the others
-        top = np.partition(counts, -2 * rules_per_round)[-2 * rules_per_round]
-        at = np.flatnonzero((counts >= max(min_count, top))[cell] & (left != END))
-        key = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-        pairs, n = np.unique(key, return_counts=True)
-        chosen = np.argsort(-n, kind="stable")[:rules_per_round]
-        chosen = chosen[n[chosen] >= min_count]
-        if not len(chosen):
-            break
-        # one pair per cell, so that a cell leads to its rule; the others have their turn in a later round
-        chosen = chosen[np.sort(np.unique(_cell(pairs[chosen] >> np.uint64(32), pairs[chosen]), return_index=True)[1])]
-        made = pairs[chosen]
-        rule_of = np.full(_CELLS, -1)
-        rule_of[_cell(made >> np.uint64(32), made)] = np.arange(len(made))
-        rule = rule_of[cell[at]]
-        hit = (rule >= 0) & (made[rule] == key)
-        at, rule = at[hit], rule[hit]
         # of overlapping places take those more frequent than both neighbours, then every other of the rest
         near = np.diff(at) == 1
         best = np.ones(len(at), bool)
@@ -153,7 +218,6 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = 8, rules_per_round:
         made = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(made)
         lengths = np.concatenate([lengths, lengths[made[:, 0]] + lengths[made[:, 1]]])
-        seq = seq.copy()
         seq[at] = (base + rule).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -195,7 +259,7 @@ _FILE = "part int, seq int, start long, n_ids long, doc_ids array<long>, doc_end
 def _shard(part: int, seq: int, start: int, doc_ids: list, held: list[bytes], options: dict) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(held), "<u4")
     first = options["first_rule"]
-    rules, lengths, sequence = compress(ids, first, options["rounds"], options["rules_per_round"], options["min_count"])
+    rules, lengths, sequence = compress(ids, first, options["turns"], options["min_count"])
     width = 2 if first + len(rules) <= 1 << 16 else 4
     ends = np.cumsum([len(x) // 4 for x in held])
     as_bytes = lambda a, w: a.astype(f"<u{w}").tobytes()
@@ -223,12 +287,18 @@ def _write(path: str, shard_ids: int, options: dict):
     return run
 
 
-def encode_shards(docs: DataFrame, path: str, shard_ids: int = 3_000_000, rounds: int = 8, rules_per_round: int = 1024, min_count: int = 8, vocabulary: int = 49_408) -> DataFrame:
-    """The file rows of docs (doc_id, text) in ascending doc_id order; null texts are empty, null ids come first."""
-    options = {"first_rule": vocabulary, "rounds": rounds, "rules_per_round": rules_per_round, "min_count": min_count}
+def encode_shards(docs: DataFrame, path: str, shard_ids: int = 3_000_000, turns: int = 6, min_count: int = 8, vocabulary: int = 49_408, part_bytes: int = 24 << 20) -> DataFrame:
+    """The file rows of docs (doc_id, text) in ascending doc_id order, in parts of about part_bytes of text.
+
+    Null texts are empty, null ids come first.  Rows that repeat a doc_id are in the order of a hash of their texts, and
+    may be dealt to several parts; equal rows are in one, shard by shard.  Other columns are left out.
+    """
+    options = {"first_rule": vocabulary, "turns": turns, "min_count": min_count}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").transform(map_arrow, _write(path, shard_ids, options), _FILE)
+    total = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    tie = F.xxhash64("text")
+    dealt = texts.withColumn("tie", tie).repartitionByRange(int(total) // part_bytes + 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return dealt.select("doc_id", "text").transform(map_arrow, _write(path, shard_ids, options), _FILE)
 
 
 def _parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
