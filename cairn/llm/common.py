@@ -8,6 +8,7 @@ its longest document and not its partition.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,15 +32,17 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/cairn-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -54,14 +57,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return out
 
 
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for t in tables:
-        _delete(t.sparkSession, t._cairn_path)
+        delete(t.sparkSession, t._cairn_path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -7,9 +7,10 @@ next shorter context, down to 8 bits for a byte never seen.  Counts are frozen w
 code length of a text is a sum over its bytes, and the language with the shortest code is predicted.
 
 Texts are lower-cased, and each run of ASCII other than a-z counts as one space.  Training reads a
-sample of labelled rows, at most about `rows_per_lang` texts of at most `max_chars` characters per
-language, chosen by a hash of the text.  The deepest contexts are kept, most frequent first, while
-the tables take `model_bytes` at most; those left out are scored by the next shorter one.
+sample of labelled rows, at most about `texts_per_lang` different texts per language, chosen by a hash
+of the text and counted whole, however long; copies count once.  Contexts beyond order 1 are kept, most
+frequent first, while each language's table takes at most `bytes_per_lang`, whatever their number;
+those left out are scored by the next shorter one.
 """
 
 from __future__ import annotations
@@ -85,13 +86,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(k)), pa.array(k.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def train(labelled: DataFrame, rows_per_lang: int = 1500, max_chars: int = 12_000, model_bytes: int = 24 << 20) -> PpmModel:
+def train(labelled: DataFrame, texts_per_lang: int = 1500, bytes_per_lang: int = 6 << 20) -> PpmModel:
     """Fit on rows (text, lang); rows with a null or empty text or lang are left out."""
     d = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    d = d.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= max_chars))
-    rate = d.groupBy("lang").agg((F.lit(float(rows_per_lang)) / F.count("*")).alias("rate"))
+    d = d.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    rate = d.groupBy("lang").agg((F.lit(float(texts_per_lang)) / F.approx_count_distinct("h", 0.02)).alias("rate"))
     # one row per language, as the model has one column for each: small by construction
-    d = d.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    d = d.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).dropDuplicates(["lang", "h"])
     grams = (
         d.select("lang", text_bytes(F.lower("text")).alias("text"))
         .transform(map_arrow, _count_grams, "lang string, gram long, n long")
@@ -99,10 +100,10 @@ def train(labelled: DataFrame, rows_per_lang: int = 1500, max_chars: int = 12_00
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
-    return _build(grams, model_bytes)
+    return _build(grams, bytes_per_lang)
 
 
-def _build(grams: pa.Table, model_bytes: int) -> PpmModel:
+def _build(grams: pa.Table, bytes_per_lang: int) -> PpmModel:
     lang = np.array(grams["lang"].to_pylist(), object)
     gram, n = grams["gram"].to_numpy().astype(np.int64), grams["n"].to_numpy().astype(np.float64)
     langs = sorted(set(lang.tolist()))
@@ -116,10 +117,10 @@ def _build(grams: pa.Table, model_bytes: int) -> PpmModel:
     ctx2 = parts[1] * size + parts[2]
     ctx3 = parts[0] * size * size + ctx2
 
-    room = max(0, model_bytes // (4 * size * max(1, len(langs))) - 1 - size)
+    room = max(0, bytes_per_lang // (4 * size) - 1 - size)
     total2, total3 = np.bincount(ctx2, n, size**2), np.bincount(ctx3, n, size**3)
     kept2 = np.argsort(-total2, kind="stable")[: min(room, int((total2 > 0).sum()))]
-    kept3 = np.argsort(-total3, kind="stable")[: min(room - len(kept2), int((total3 > 1).sum()))]
+    kept3 = np.argsort(-total3, kind="stable")[: min(room - len(kept2), int((total3 > 0).sum()))]
 
     node1 = 1 + np.arange(size)
     node2 = np.tile(node1, size)

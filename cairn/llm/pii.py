@@ -19,18 +19,39 @@ their separators, so a card number with and without spaces stays linked.  Values
 check, such as a 16-digit number with a wrong check digit, are left as they are.
 
 The permutation is a Feistel network of `ROUNDS` rounds over two parts of the value, whose round
-function is SHA-256 of key, kind, round and the other part.  The key is a literal in the query plan:
-keep plans and event logs as safe as the key, or redact them with spark.sql.redaction.string.regex.
+function is SHA-256 of key, kind, round and the other part; `Cipher(key, back=True)` undoes it.  The
+key is a literal in the query plan: keep plans and event logs as safe as the key, or redact them with
+spark.sql.redaction.string.regex.  The registered query takes it from the session (`KEY_CONF`).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import read
 
 ROUNDS = 8
+#: Session setting with the key of the registered query; where it is unset, a key that is no secret serves for trials.
+KEY_CONF, TRIAL_KEY = "spark.cairn.pseudonym.key", "trial"
+
+
+@dataclass(frozen=True)
+class Cipher:
+    """SQL for the key, and whether pseudonyms are made or turned back into values."""
+
+    key: str
+    back: bool = False
+
+    @property
+    def sign(self) -> str:
+        return "-" if self.back else "+"
+
+    @property
+    def turns(self) -> str:
+        return f"sequence({ROUNDS}, 1)" if self.back else f"sequence(1, {ROUNDS})"
 
 # Shapes of the kinds; the first that matches at a place is tried.
 SHAPES = {
@@ -48,18 +69,18 @@ USUAL_CARD = "^[ -]?(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9
 ANY = "|".join(SHAPES.values())
 
 
-def _digest(key: str, kind: str, turn: str, value: str) -> str:
+def _digest(key: Cipher, kind: str, turn: str, value: str) -> str:
     """SQL for a 60-bit number from the key, the kind, the round and a value."""
-    return f"cast(conv(substring(sha2(concat_ws('|', {key}, '{kind}', {turn}, {value}), 256), 1, 15), 16, 10) as bigint)"
+    return f"cast(conv(substring(sha2(concat_ws('|', {key.key}, '{kind}', {turn}, {value}), 256), 1, 15), 16, 10) as bigint)"
 
 
-def feistel(key: str, kind: str, left: str, right: str, n_left: str, n_right: str) -> str:
+def feistel(key: Cipher, kind: str, left: str, right: str, n_left: str, n_right: str) -> str:
     """SQL for a struct (l, r): the permutation of (left, right) on [0, n_left) x [0, n_right)."""
     start = f"named_struct('l', cast({left} as bigint), 'r', cast({right} as bigint))"
-    new_l = f"pmod(s.l + {_digest(key, kind, 't', 's.r')} % {n_left}, {n_left})"
-    new_r = f"pmod(s.r + {_digest(key, kind, 't', 's.l')} % {n_right}, {n_right})"
+    new_l = f"pmod(s.l {key.sign} {_digest(key, kind, 't', 's.r')} % {n_left}, {n_left})"
+    new_r = f"pmod(s.r {key.sign} {_digest(key, kind, 't', 's.l')} % {n_right}, {n_right})"
     step = f"if(t % 2 = 0, named_struct('l', cast({new_l} as bigint), 'r', s.r), named_struct('l', s.l, 'r', cast({new_r} as bigint)))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, t) -> {step})"
+    return f"aggregate({key.turns}, {start}, (s, t) -> {step})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -71,7 +92,7 @@ def _digits(m: str) -> str:
     return f"regexp_replace({m}, '[^0-9]', '')"
 
 
-def _permute_digits(key: str, kind: str, d: str, tag: str) -> str:
+def _permute_digits(key: Cipher, kind: str, d: str, tag: str) -> str:
     """SQL for a string of as many digits as d (2 to 36), permuted among those."""
     h = f"cast(length({d}) div 2 as int)"
     n_l, n_r = f"cast(rpad('1', {h} + 1, '0') as bigint)", f"cast(rpad('1', length({d}) - {h} + 1, '0') as bigint)"
@@ -91,7 +112,7 @@ def _luhn_sum(d: str, odd: int) -> str:
     return f"aggregate(sequence(1, length({d})), 0, (a, j) -> a + if(j % 2 = {odd}, {x}, if({x} > 4, 2 * {x} - 9, 2 * {x})))"
 
 
-def _card(m: str, key: str) -> str:
+def _card(m: str, key: Cipher) -> str:
     """The cards of a run of digits: of its windows of whole groups with 13 to 19 digits that pass Luhn, the usual
     formats first, else the leftmost and longest, none overlapping another."""
     def window(i: str, k: str) -> str:
@@ -120,7 +141,7 @@ def _mod97(s: str) -> str:
     return f"aggregate(sequence(1, length({s})), 0, (a, j) -> if({c} rlike '[0-9]', (a * 10 + cast(if({c} rlike '[0-9]', {c}, '0') as int)) % 97, (a * 100 + ascii({c}) - 55) % 97))"
 
 
-def _iban(m: str, key: str) -> str:
+def _iban(m: str, key: Cipher) -> str:
     flat = f"replace({m}, ' ', '')"
     valid = _mod97("concat(substring(f, 5), substring(f, 1, 4))")
     account = f"substring({m}, 5)"
@@ -130,7 +151,7 @@ def _iban(m: str, key: str) -> str:
     return _let(flat, "f", f"if(length(f) between 15 and 34 and ({valid}) = 1, {out}, cast(null as string))")
 
 
-def _ssn(m: str, key: str) -> str:
+def _ssn(m: str, key: Cipher) -> str:
     # areas 001-665 and 667-899 (898 of them), groups 01-99, serials 0001-9999
     a, g, s = (f"cast(substring({m}, {p}, {n}) as int)" for p, n in ((1, 3), (5, 2), (8, 4)))
     perm = feistel(key, "ssn", f"({a} - if({a} > 666, 2, 1)) * 99 + {g} - 1", f"{s} - 1", "88902", "9999")
@@ -139,14 +160,14 @@ def _ssn(m: str, key: str) -> str:
     return f"if({a} between 1 and 899 and {a} <> 666 and {g} > 0 and {s} > 0, {out}, cast(null as string))"
 
 
-def _ip(m: str, key: str) -> str:
+def _ip(m: str, key: Cipher) -> str:
     o = [f"cast(split({m}, '[.]')[{k}] as int)" for k in range(4)]
     perm = feistel(key, "ip", f"{o[0]} * 256 + {o[1]}", f"{o[2]} * 256 + {o[3]}", "65536", "65536")
     out = _let(perm, "p", "concat_ws('.', cast(p.l div 256 as string), cast(p.l % 256 as string), cast(p.r div 256 as string), cast(p.r % 256 as string))")
     return f"if({' and '.join(f'{x} <= 255' for x in o)}, {out}, cast(null as string))"
 
 
-def _phone(m: str, key: str) -> str:
+def _phone(m: str, key: Cipher) -> str:
     # the permuted part: the last ten digits of a +1 or bare number, all but two digits of another
     keep = f"if({m} rlike '^[+]1|^[^+]', length(d) - 10, 2)"
     perm = _permute_digits(key, "phone", "u", "h")
@@ -154,7 +175,7 @@ def _phone(m: str, key: str) -> str:
     return _let(_digits(m), "d", f"if(length(d) between 10 and 15, {out}, cast(null as string))")
 
 
-def _date(m: str, key: str) -> str:
+def _date(m: str, key: Cipher) -> str:
     parts = {"iso": ("yyyy-MM-dd", "-"), "dot": ("dd.MM.yyyy", "."), "mdy": ("MM/dd/yyyy", "/"), "dmy": ("dd/MM/yyyy", "/")}
     order = {"iso": (1, 6, 9), "dot": (7, 4, 1), "mdy": (7, 1, 4), "dmy": (7, 4, 1)}
 
@@ -172,7 +193,7 @@ def _date(m: str, key: str) -> str:
     return _let(value, "v", f"if(v between date'1900-01-01' and date'2099-12-31', {_let(new, 'w', f'case {style} {shown} end')}, cast(null as string))")
 
 
-def _email(m: str, key: str) -> str:
+def _email(m: str, key: Cipher) -> str:
     """Each letter or digit of the name moves within its kind by a stream from the other half, in turns."""
     name = f"substring_index({m}, '@', 1)"
 
@@ -181,22 +202,22 @@ def _email(m: str, key: str) -> str:
         # one byte of the digest per character, reused beyond 32 characters
         shift = "cast(conv(substring(h, 1 + 2 * ((i - 1) % 32), 2), 16, 10) as int)"
         def within(first: int, n: int) -> str:
-            return f"chr({first} + pmod(ascii({c}) - {first} + {shift}, {n}))"
+            return f"chr({first} + pmod(ascii({c}) - {first} {key.sign} {shift}, {n}))"
         one = f"case when {c} rlike '[a-z]' then {within(97, 26)} when {c} rlike '[A-Z]' then {within(65, 26)} when {c} rlike '[0-9]' then {within(48, 10)} else {c} end"
-        stream = f"sha2(concat_ws('|', {key}, 'email', t, {other}), 256)"
+        stream = f"sha2(concat_ws('|', {key.key}, 'email', t, {other}), 256)"
         return f"if(length({half}) = 0, '', {_let(stream, 'h', f'array_join(transform(sequence(1, length({half})), i -> {one}), {chr(39)}{chr(39)})')})"
 
     h = f"cast(length({name}) div 2 as int)"
     start = f"named_struct('l', substring({name}, 1, {h}), 'r', substring({name}, {h} + 1))"
     step = f"if(t % 2 = 0, named_struct('l', {moved('s.l', 's.r')}, 'r', s.r), named_struct('l', s.l, 'r', {moved('s.r', 's.l')}))"
-    body = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, t) -> {step})"
+    body = f"aggregate({key.turns}, {start}, (s, t) -> {step})"
     return _let(body, "e", f"concat(e.l, e.r, substring({m}, instr({m}, '@')))")
 
 
 _KINDS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonym(match: str, key: str) -> str:
+def pseudonym(match: str, key: Cipher) -> str:
     """SQL for struct (kind, value, n): the first kind whose shape and check the string in SQL expression match passes, with how many values it replaces; nulls and 0 if none does."""
     tries = []
     for kind, make in _KINDS.items():
@@ -207,24 +228,26 @@ def pseudonym(match: str, key: str) -> str:
     return f"coalesce(get({found}, 0), named_struct('kind', cast(null as string), 'value', cast(null as string), 'n', 0))"
 
 
-def pseudonymise(docs: DataFrame, key: str = "cairn", text: str = "text", out: str = "text", counts: str = "n_replaced") -> DataFrame:
-    """docs with `out` (the text with every validated value replaced) and `counts` (how many were).
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "text", counts: str = "n_replaced", kinds: str = "kinds", back: bool = False) -> DataFrame:
+    """docs with `out` (the text with every validated value replaced), `counts` (how many were) and `kinds` (of which kinds).
 
-    A null text stays null with count 0; texts without personal data come back unchanged.
+    A null text stays null with count 0; texts without personal data come back unchanged.  Columns of these names in docs
+    are replaced.  With back, pseudonyms made with the same key are turned into the values again.
     """
     source = F.col(text).cast("string")
     some = F.coalesce(source.rlike("[0-9@]"), F.lit(False)) & F.coalesce(source.rlike(ANY), F.lit(False))
     quoted = F.lit(key)
     d = docs.withColumn("__source", source).withColumn("__key", quoted)
     d = d.withColumn("__found", F.when(some, F.regexp_extract_all("__source", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', '__key')})"))
+    d = d.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', Cipher('__key', back))})"))
     gaps = F.split(F.col("__source"), ANY, -1)
     filled = F.zip_with(gaps, F.zip_with("__found", "__new", lambda m, p: F.coalesce(p["value"], m)), lambda g, v: F.concat(g, F.coalesce(v, F.lit(""))))
     n = F.aggregate("__new", F.lit(0), lambda a, p: a + p["n"])
     changed = F.when(n > 0, F.array_join(filled, "")).otherwise(F.col("__source"))
-    kept = [c for c in docs.columns if c not in (out, counts)]
-    return d.select(*kept, changed.alias(out), n.cast("long").alias(counts), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform("__new", lambda p: p["kind"])))), ",").alias("kinds"))
+    kept = [c for c in docs.columns if c not in (out, counts, kinds)]
+    return d.select(*kept, changed.alias(out), n.cast("long").alias(counts), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform("__new", lambda p: p["kind"])))), ",").alias(kinds))
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_replaced", "kinds")
+    key = spark.conf.get(KEY_CONF, TRIAL_KEY)
+    return pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key).select("doc_id", "text", "n_replaced", "kinds")

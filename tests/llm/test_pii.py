@@ -1,8 +1,9 @@
 import datetime
+import hashlib
 import re
 
 from cairn.llm import pii
-from tests.llm.fixtures import frame, rows, with_clashes
+from tests.llm.fixtures import folder, frame, rows, with_clashes
 
 
 def luhn(s):
@@ -99,8 +100,57 @@ def test_permutations_are_one_to_one(spark):
 
 def test_clean_texts_unchanged_and_native(spark):
     df = with_clashes(frame(spark))
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, "k")
     assert {(r.doc_id, r.text) for r in out.collect()} == {(r[0], r[1]) for r in rows()}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), "k").count() == 0
+
+
+def feistel(key, kind, left, right, n_left, n_right):
+    draw = lambda t, x: int(hashlib.sha256(f"{key}|{kind}|{t}|{x}".encode()).hexdigest()[:15], 16)
+    for t in range(1, pii.ROUNDS + 1):
+        if t % 2:
+            right = (right + draw(t, left)) % n_right
+        else:
+            left = (left + draw(t, right)) % n_left
+    return left, right
+
+
+def test_values_equal_a_plain_feistel(spark):
+    ips, days = ["10.0.0.1", "255.255.255.255", "0.0.0.0"], ["1900-01-01", "2099-12-31", "2024-02-29"]
+    cards = ["4111111111111111", "378282246310005"]
+    want = []
+    for s in ips:
+        a, b, c, d = map(int, s.split("."))
+        x, y = feistel("k", "ip", a * 256 + b, c * 256 + d, 65536, 65536)
+        want.append(f"{x // 256}.{x % 256}.{y // 256}.{y % 256}")
+    first = datetime.date(1900, 1, 1)
+    for s in days:
+        n = (datetime.date.fromisoformat(s) - first).days
+        x, y = feistel("k", "date", n // 4297, n % 4297, 17, 4297)
+        want.append((first + datetime.timedelta(x * 4297 + y)).isoformat())
+    for s in cards:
+        h = (len(s) - 1) // 2
+        x, y = feistel("k", "card", int(s[:h]), int(s[h:-1]), 10**h, 10 ** (len(s) - 1 - h))
+        pay = f"{x:0{h}}{y:0{len(s) - 1 - h}}"
+        want.append(pay + next(c for c in "0123456789" if luhn(pay + c)))
+    assert [t for t, _ in replaced(spark, ips + days + cards)] == want
+
+
+def test_pseudonyms_turn_back(spark):
+    texts = ["4111-1111-1111-1111", "FR7630006000011234567890189", "1984-02-29 and 31.12.2001", "ssn 123-45-6789", "ip 10.0.0.1", "+1 (212) 555-0100 or +44 20 7946 0958", "mail John.Doe99@example.com"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
+    there = pii.pseudonymise(df, "k")
+    assert there.columns == ["doc_id", "text", "n_replaced", "kinds"] and all(a.text != b for a, b in zip(there.orderBy("doc_id").collect(), texts))
+    assert [r.text for r in pii.pseudonymise(there, "k", back=True).orderBy("doc_id").collect()] == texts
+
+
+def test_registered_query_takes_the_key_from_the_session(spark, tmp_path):
+    path = folder(spark, tmp_path, [(1, "ip 10.0.0.1", "en", "s", 0)])
+    spark.conf.set(pii.KEY_CONF, "k")
+    try:
+        got = pii.op10_pii_pseudonyms(spark, path).first()
+    finally:
+        spark.conf.unset(pii.KEY_CONF)
+    assert (got.text, got.n_replaced, got.kinds) == (*replaced(spark, ["ip 10.0.0.1"])[0], "ip")
