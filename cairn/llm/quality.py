@@ -1,14 +1,17 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant (MCD).
 
 Each text gets a vector of transformed statistics.  Per language and source the MCD estimate of
-centre and scatter is found by concentration steps: from medians and quartile scales, each step
-keeps the `share` of rows nearest to the current estimate (by Mahalanobis distance) and takes their
-mean and covariance.  Every step is two grouped aggregations over all rows, so no group is ever
-gathered.  A text is rejected when its distance, given its length, exceeds the chi-square quantile;
-length itself is in the estimate but is no ground for rejection.
+centre and scatter is found by concentration steps: each keeps the `share` of rows nearest to the
+current estimate, by Mahalanobis distance, and takes their mean and covariance.  Steps go on until no
+determinant falls any more, from three starts: medians and quartile scales, all rows, and the half
+nearest to the first; the estimate of least determinant is kept.  A step is one grouped aggregation
+of all rows by classes of distance about two percent wide, so no group is ever gathered, and the rows
+kept are those of whole classes, which do not depend on how the rows are dealt out.  A text is
+rejected when its distance, given its length, exceeds the chi-square quantile; length itself is in the
+estimate but is no ground for rejection.
 
 Groups with fewer than `min_group` rows are pooled by language, then over all; a pool of under
-`min_group` rows rejects nothing.
+`min_group` rows rejects nothing.  A row at the quantile is kept.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,7 +90,7 @@ def _count(kept: list[str]):
 
 def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The columns `keep` with the counts STATS of each whole text; a null text counts as empty."""
-    kept = list(keep)
+    kept = [c for c in keep if c not in STATS]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(s, T.LongType()) for s in STATS])
     return docs.select(*kept, text_bytes(text).alias("__bytes")).transform(map_arrow, _count(kept), schema)
 
@@ -105,12 +108,13 @@ def _vector() -> list[Column]:
 
 
 X = [f"x{i}" for i in range(DIM)]
-_ESTIMATE = T.StructType().add("mu", T.ArrayType(T.DoubleType())).add("inv", T.ArrayType(T.DoubleType())).add("var0", T.DoubleType())
+_PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+_ESTIMATE = T.StructType().add("mu", T.ArrayType(T.DoubleType())).add("inv", T.ArrayType(T.DoubleType())).add("var0", T.DoubleType()).add("log_det", T.DoubleType())
 
 
 @F.pandas_udf(_ESTIMATE)
 def _estimate(n: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
-    """Mean, inverse covariance and variance of the first entry, from sums and sums of products."""
+    """Mean, inverse covariance, variance of the first entry and log determinant, from sums and sums of products."""
     out = []
     for m, a, b in zip(n, s1, s2):
         mu = np.array(a) / m
@@ -118,8 +122,8 @@ def _estimate(n: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.DataFrame:
         cov[np.triu_indices(DIM)] = np.array(b) / m
         cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mu, mu)
         cov += np.diag(np.maximum(np.array(FLOORS) ** 2 - np.diag(cov), 0) + 1e-9)
-        out.append((mu.tolist(), np.linalg.pinv(cov, hermitian=True).ravel().tolist(), float(cov[0, 0])))
-    return pd.DataFrame(out, columns=["mu", "inv", "var0"])
+        out.append((mu.tolist(), np.linalg.pinv(cov, hermitian=True).ravel().tolist(), float(cov[0, 0]), float(np.linalg.slogdet(cov)[1])))
+    return pd.DataFrame(out, columns=["mu", "inv", "var0", "log_det"])
 
 
 def _distance(given_length: bool) -> Column:
@@ -133,33 +137,82 @@ def chi_square_quantile(p: float, df: int) -> float:
     return df * (1 - 2 / (9 * df) + NormalDist().inv_cdf(p) * (2 / (9 * df)) ** 0.5) ** 3
 
 
-def mcd_estimates(vectors: DataFrame, group: list[str], share: float = 0.75, steps: int = 4) -> DataFrame:
-    """MCD estimate (mu, inv, var0) of each group, with the scale that makes its median distance that of a chi-square."""
-    quart = vectors.groupBy(*group).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in X])
+def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df marked for broadcast where its rows, a few hundred bytes each, have been counted and are few."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _class_of(d: Column, per_octave: int) -> Column:
+    return F.floor(F.log2(1.0 + F.greatest(d, F.lit(0.0))) * per_octave)
+
+
+def _sums(n: Column) -> list[Column]:
+    return [F.sum(n).alias("n"), *[F.sum(F.col(x)).alias(x) for x in X], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}_{j}") for i, j in _PAIRS]]
+
+
+def _estimates(sums: DataFrame, key: list[str]) -> DataFrame:
+    e = _estimate("n", F.array(*X), F.array(*[f"p{i}_{j}" for i, j in _PAIRS]))
+    return sums.select(*key, e.alias("e")).select(*key, "e.*")
+
+
+def _step(vectors: DataFrame, now: DataFrame, key: list[str], share: Column) -> DataFrame:
+    """The estimates of the share of rows nearest to each estimate in now, taken in whole classes of distance."""
+    at = vectors.join(_small(now), key[:-1]).withColumn("class", _class_of(_distance(False), 32))
+    classes = at.groupBy(*key, "class").agg(*_sums(F.lit(1)))
+    own = Window.partitionBy(*key)
+    before = F.sum("n").over(own.orderBy("class").rowsBetween(Window.unboundedPreceding, -1))
+    near = classes.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("all", F.sum("n").over(own)).where(F.col("before") < share * F.col("all"))
+    added = [F.sum(c).alias(c) for c in ("n", *X, *[f"p{i}_{j}" for i, j in _PAIRS])]
+    return stage(_estimates(near.groupBy(*key).agg(*added), key), "mcd")
+
+
+def mcd_estimates(vectors: DataFrame, group: list[str], share: float = 0.75, most_steps: int = 30) -> DataFrame:
+    """MCD estimate (mu, inv, var0, log_det) of each group, with the scale that makes its median distance that of a chi-square.
+
+    most_steps only guards against rounding: each step's determinants are no higher than the last's but for the classes' width.
+    """
+    key = [*group, "start"]
+    # quartiles from counts of values in steps of a thousandth
+    tall = vectors.select(*group, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(x, 3).alias("v")) for i, x in enumerate(X)])).alias("s")).select(*group, "s.*")
+    quart = tall.groupBy(*group, "i", "v").agg(F.count("*").alias("n")).groupBy(*group, "i").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"))
+    wide = quart.groupBy(*group).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(x) for i, x in enumerate(X)])
     var = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in zip(X, FLOORS)]
     inv = F.array(*[1 / (var[i] * var[i]) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
-    now = stage(quart.select(*group, F.array(*[F.col(x)[1] for x in X]).alias("mu"), inv.alias("inv"), (var[0] * var[0]).alias("var0")), "mcd")
-    for _ in range(steps):
-        at = vectors.join(now, group).withColumn("d", _distance(False))
-        near = at.groupBy(*group).agg(F.percentile_approx("d", share, 2000).alias("cut"))
-        half = at.join(near, group).where(F.col("d") <= F.col("cut"))
-        pairs = [F.sum(F.col(X[i]) * F.col(X[j])) for i in range(DIM) for j in range(i, DIM)]
-        sums = half.groupBy(*group).agg(F.count("*").alias("n"), F.array(*[F.sum(x) for x in X]).alias("s1"), F.array(*pairs).alias("s2"))
-        then = stage(sums.select(*group, _estimate("n", "s1", "s2").alias("e")).select(*group, "e.*"), "mcd")
+    robust = wide.select(*group, F.array(*[F.col(x)[1] for x in X]).alias("mu"), inv.alias("inv"), (var[0] * var[0]).alias("var0"))
+    first = [robust.withColumn("start", F.lit(k)).withColumn("log_det", F.lit(float("inf"))).select(*key, "mu", "inv", "var0", "log_det") for k in (0, 2)]
+    plain = _estimates(vectors.withColumn("start", F.lit(1)).groupBy(*key).agg(*_sums(F.lit(1))), key)
+    now = stage(first[0].unionByName(first[1]).unionByName(plain), "mcd")
+    for turn in range(most_steps):
+        then = _step(vectors, now, key, F.when(F.col("start") == 2, 0.5).otherwise(share) if turn == 0 else F.lit(share))
+        fell = now.select(*key, F.col("log_det").alias("last")).join(then, key).where(F.col("log_det") < F.col("last") - 1e-3)
+        going = turn < 2 or bool(fell.take(1))
         release(now)
         now = then
-    middle = vectors.join(now, group).groupBy(*group).agg(F.percentile_approx(_distance(True), 0.5, 2000).alias("mid"))
-    scaled = stage(now.join(middle.withColumn("scale", F.greatest(F.col("mid") / chi_square_quantile(0.5, DIM - 1), F.lit(1.0))), group), "mcd")
+        if not going:
+            break
+    best = now.groupBy(*group).agg(F.min(F.struct("log_det", "start", "mu", "inv", "var0")).alias("e")).select(*group, "e.mu", "e.inv", "e.var0", "e.log_det")
+    best = stage(best, "mcd")
     release(now)
+    fine = 256
+    middle = vectors.join(_small(best), group).groupBy(*group, _class_of(_distance(True), fine).alias("class")).agg(F.count("*").alias("n")).groupBy(*group).agg(F.percentile("class", F.lit(0.5), F.col("n")).alias("mid"))
+    mid = F.pow(F.lit(2.0), (F.col("mid") + 0.5) / fine) - 1.0
+    scaled = stage(best.join(middle.withColumn("scale", F.greatest(mid / chi_square_quantile(0.5, DIM - 1), F.lit(1.0))), group), "mcd")
+    release(best)
     return scaled
 
 
-def quality_rules(stats: DataFrame, min_words: int = 50, min_group: int = 100, alpha: float = 1e-6, share: float = 0.75, steps: int = 4) -> DataFrame:
+_OWN = ("base_failed", "distance", "kept", "mu", "inv", "var0", "log_det", "mid", "scale", "g1", "g2", "n", "m", "start", "class", "before", "all", "__lang", "__source", "__group2")
+
+
+def quality_rules(stats: DataFrame, min_words: int = 50, min_group: int = 100, alpha: float = 1e-6, share: float = 0.75) -> DataFrame:
     """stats (from text_statistics, with lang and source) with base_failed, distance and kept.
 
     Null languages and sources are groups of their own.  distance is null where a row failed the base
-    rule or had no group large enough; such rows are kept unless the base rule fails them.
+    rule or had no group large enough; such rows are kept unless the base rule fails them.  Columns of stats with the names
+    of the result's or of internal ones (x0, mu, g1, n and the like) are not kept.
     """
+    ids = [c for c in stats.columns if c not in {*_OWN, *X}]
+    stats = stats.select(*[F.col(f"`{c}`") for c in ids])
     words = F.col("n_words")
     base = (words < min_words) | (100 * F.col("n_repeat_words") > 50 * words)
     key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("lang", "source")]
@@ -175,10 +228,10 @@ def quality_rules(stats: DataFrame, min_words: int = 50, min_group: int = 100, a
     total = placed.groupBy("g1", "g2").agg(F.sum("n").alias("m")).where(F.col("m") >= min_group)
     placed = stage(placed.join(total, ["g1", "g2"]).select("__lang", "__source", "g1", "g2"), "groups")
 
-    vectors = good.join(placed, ["__lang", "__source"]).select("g1", "g2", *X)
-    found = mcd_estimates(vectors, ["g1", "g2"], share, steps)
+    vectors = good.join(_small(placed), ["__lang", "__source"]).select("g1", "g2", *X)
+    found = mcd_estimates(vectors, ["g1", "g2"], share)
     cut = chi_square_quantile(1 - alpha, DIM - 1)
-    judged = base_rows.join(placed.join(found, ["g1", "g2"]), ["__lang", "__source"], "left")
+    judged = base_rows.join(_small(placed.join(_small(found), ["g1", "g2"])), ["__lang", "__source"], "left")
     distance = F.when(~F.col("base_failed"), F.sqrt(F.greatest(_distance(True) / F.col("scale"), F.lit(0.0))))
     kept = ~F.col("base_failed") & F.coalesce(distance <= float(np.sqrt(cut)), F.lit(True))
     return judged.select(*stats.columns, "base_failed", distance.alias("distance"), kept.alias("kept"))

@@ -1,6 +1,8 @@
 import collections
 import re
 
+import numpy as np
+
 from cairn.llm import quality
 from tests.llm.fixtures import folder, frame, rows, with_clashes
 
@@ -44,3 +46,59 @@ def test_empty_table_and_clashing_columns(spark):
     stats = quality.text_statistics(with_clashes(frame(spark, [])))
     assert quality.quality_rules(stats).count() == 0
     assert quality.text_statistics(with_clashes(frame(spark))).count() == len(rows())
+
+
+def plain_mcd(x, share=0.75):
+    """Distances of the rows of x given their length, by the same concentration steps in numpy."""
+    floors = np.array(quality.FLOORS)
+
+    def estimate(rows):
+        mu, cov = rows.mean(0), np.cov(rows.T, bias=True)
+        cov = cov + np.diag(np.maximum(floors**2 - np.diag(cov), 0) + 1e-9)
+        return mu, np.linalg.pinv(cov, hermitian=True), cov[0, 0], np.linalg.slogdet(cov)[1]
+
+    def distance(e, length=False):
+        d = x - e[0]
+        full = np.einsum("ni,ij,nj->n", d, e[1], d)
+        return full - d[:, 0] ** 2 / e[2] if length else full
+
+    def step(e, part):
+        c = np.floor(np.log2(1 + np.maximum(distance(e), 0)) * 32)
+        below = np.array([(c < v).sum() for v in c])
+        return estimate(x[below < part * len(x)])
+
+    q = np.percentile(np.round(x, 3), [25, 50, 75], axis=0)
+    sd = np.maximum((q[2] - q[0]) / 1.349, floors)
+    robust = (q[1], np.diag(1 / sd**2), sd[0] ** 2, np.inf)
+    now = [robust, estimate(x), robust]
+    for turn in range(30):
+        then = [step(e, 0.5 if k == 2 and turn == 0 else share) for k, e in enumerate(now)]
+        fell = any(b[3] < a[3] - 1e-3 for a, b in zip(now, then))
+        now = then
+        if turn >= 2 and not fell:
+            break
+    best = min(now, key=lambda e: e[3])
+    d = distance(best, True)
+    mid = 2 ** ((np.median(np.floor(np.log2(1 + np.maximum(d, 0)) * 256)) + 0.5) / 256) - 1
+    return np.sqrt(np.maximum(d / max(mid / quality.chi_square_quantile(0.5, 5), 1), 0))
+
+
+def test_distances_equal_a_plain_mcd_and_ties_share_a_verdict(spark):
+    data = [(i, t + "\n" + "extra words in it " * (i % 9) + "#" * (i % 5), "en", "s0", 0) for i, (_, t, lang, *_) in enumerate(rows(n=600)) if lang == "en" and t and 300 < len(t) < 5000]
+    data += [(9000 + i, data[0][1] + " ###" * 90, "en", "s0", 0) for i in range(3)]  # repeated texts
+    stats = quality.text_statistics(frame(spark, data)).repartition(3).selectExpr("*", "'x' AS kept", "'y' AS x0", "'z' AS scale")
+    out = quality.quality_rules(stats, min_group=50)
+    assert out.columns == ["doc_id", "lang", "source", *quality.STATS, "base_failed", "distance", "kept"]
+    got = {r.doc_id: r for r in out.collect()}
+    good = [i for i, r in got.items() if not r.base_failed]
+    raw = np.array([[got[i][c] for c in quality.STATS] for i in good], float)
+    words, chars = raw[:, 0] + 1, raw[:, 1] + 1
+    x = np.stack([np.log(words), np.log(chars / words), np.sqrt(raw[:, 2] / chars), np.sqrt(raw[:, 3] / (raw[:, 5] + 1)), np.sqrt(raw[:, 4] / words), np.sqrt(raw[:, 6] / chars)], 1)
+    assert len(good) > 100 and np.allclose([got[i].distance for i in good], plain_mcd(x), rtol=1e-5, atol=1e-5)
+    assert len({(got[9000 + i].distance, got[9000 + i].kept) for i in range(3)}) == 1 and not got[9000].kept
+
+
+def test_a_mass_of_equal_rows_and_null_groups(spark):
+    same = rows()[0][1]
+    out = quality.quality_rules(quality.text_statistics(frame(spark, [(i, same, None, None, 0) for i in range(150)])), min_group=50).collect()
+    assert len(out) == 150 and all(r.kept and r.distance < 1 for r in out)
