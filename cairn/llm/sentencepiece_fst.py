@@ -1,21 +1,24 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three transducers are compiled from a BPE model file and composed with each input:
+Three transducers are compiled from a BPE model file into tables of arcs (output, weight):
 
-* the normaliser maps space to U+2581 and puts one before the text;
-* the pieces map characters to a piece.  A state is the last piece put out.  The arc from piece p to
-  piece q has weight 0 where byte-pair merging of their joint text gives p and q again, and infinite
-  weight otherwise, so that in the tropical semiring the one path of finite weight spells exactly the
-  pieces that merging would give;
-* byte fallback maps a character without a piece to the pieces of its UTF-8 bytes, at a weight above
-  any path of pieces.
+* `normal`, with an arc for each character that the normaliser changes (others map to themselves at
+  weight 0): space to U+2581; its initial arc puts one before the text;
+* `arcs`, a trie from characters to pieces, and `weight`, from the state to the piece put out next.  A
+  state is the last piece put out.  The arc from piece p to piece q has weight 0 where byte-pair
+  merging of their joint text gives p and q again, and infinite weight otherwise, so that in the
+  tropical semiring the path of least weight spells exactly the pieces that merging would give;
+* `fallback`, with an arc from a character without a piece to the pieces of its UTF-8 bytes, at weight 1.
 
 The weight between p and q follows from the merges that built them: going up the right edge of p and
 the left edge of q in the order of merge priorities, the pair is ruled out if some two symbols met on
-the way could have merged before either was used.  Composition is lazy: a shortest path is found by
-dynamic programming over the positions of one segment (a word with the U+2581 before it, which no
-piece extends beyond), and segments are remembered.  Runs of several spaces have equal priorities in
-the models, where the leftmost goes first; they are merged directly.
+the way could have merged before either was used.  Composition is lazy: the arcs of the composed
+machine are made as the shortest path meets them and remembered.  The path is found over the positions
+of one segment (a word with the U+2581 before it, which no piece extends beyond) by relaxing arcs with
+(min, +); of paths of equal weight that meet in a position the one whose last piece began first stays,
+and as weights are not negative an arc into a position is looked at only if it can lower its weight.
+Segments are remembered.  Runs of several spaces have equal priorities in the models, where the
+leftmost goes first; they are merged directly.
 
 Ids equal those of the SentencePiece library for BPE models with identity normalisation.
 """
@@ -40,6 +43,7 @@ SPACE = "▁"
 _SPACE = SPACE.encode()
 _CACHED = 200_000
 _BYTE = -1
+_NEVER = float("inf")
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -83,7 +87,9 @@ class Model:
     parts_lines: bool
     arcs: dict[str, int]
     joined: frozenset[str]
-    weight: dict[tuple[int, int], bool] = field(default_factory=dict)
+    normal: dict[int, str] = field(default_factory=lambda: {ord(" "): SPACE})
+    weight: dict[tuple[int, int], float] = field(default_factory=dict)
+    fallback: dict[str, tuple[list[int], float]] = field(default_factory=dict)
 
 
 def load(path: str) -> Model:
@@ -103,6 +109,8 @@ def load(path: str) -> Model:
             norm = dict(_fields(value))
     if trainer.get(3) != 2 or norm.get(2) or norm.get(4, 1) or not norm.get(3, 1):
         raise ValueError("only BPE models with identity normalisation, kept spaces and a leading space are handled")
+    if any(k == 1 and SPACE in n.lstrip(SPACE) for n, k in zip(names, kinds)):
+        raise ValueError("only models whose pieces hold U+2581 at their start alone are handled")
     id_of = {n: i for i, (n, k) in enumerate(zip(names, kinds)) if k == 1}
     byte_id = [0] * 256
     for i, (n, k) in enumerate(zip(names, kinds)):
@@ -142,14 +150,10 @@ def _edge(m: Model, piece: int, side: int) -> list[int]:
     return out[::-1]
 
 
-def follows(m: Model, p: int, q: int) -> bool:
-    """Whether the arc from piece p to piece q has finite weight."""
-    known = m.weight.get((p, q))
-    if known is not None:
-        return known
+def follow_weight(m: Model, p: int, q: int) -> float:
+    """Weight of the arc that puts out piece q in the state of piece p."""
     left, right = _edge(m, p, 1), _edge(m, q, 0)
     i = j = 0
-    ok = True
     name = m.pieces
     while True:
         both = m.id_of.get((name[left[i]] + name[right[j]]).decode())
@@ -159,50 +163,61 @@ def follows(m: Model, p: int, q: int) -> bool:
             s = m.score[both]
             # of equal priorities the leftmost goes first: p's own merge before theirs, theirs before q's
             if (use_l is None or s > use_l) and (use_r is None or s >= use_r):
-                ok = False
-                break
+                return _NEVER
         if use_l is None and use_r is None:
-            break
+            return 0.0
         if use_r is None or (use_l is not None and use_l >= use_r):
             i += 1
         else:
             j += 1
-    m.weight[p, q] = ok
-    return ok
+
+
+def fallback_arc(m: Model, char: str) -> tuple[list[int], float]:
+    """Output and weight of the arc from a character to its bytes; infinite where it has a piece."""
+    found = m.fallback.get(char)
+    if found is None:
+        found = m.fallback[char] = ([], _NEVER) if char in m.id_of else ([m.byte_id[x] for x in char.encode()], 1.0)
+    return found
 
 
 def shortest_path(m: Model, segment: str) -> list[int]:
-    """Piece ids of the path of finite weight through a segment."""
+    """Output of the path of least weight through the composition with a segment, as normalised."""
     n = len(segment)
-    last: list[int | None] = [None] * (n + 1)
+    least = [_NEVER] * (n + 1)
+    state = [_BYTE] * (n + 1)
     begin = [0] * (n + 1)
-    last[0] = _BYTE
+    least[0] = 0.0
     get, weight = m.arcs.get, m.weight
     for b in range(n):
-        p = last[b]
-        if p is None:
+        so_far, p = least[b], state[b]
+        if so_far == _NEVER:
             continue
         for e in range(b + 1, n + 1):
             q = get(segment[b:e])
             if q is None:  # no piece reaches further
                 break
-            if q == _BYTE or last[e] is not None:
+            if q == _BYTE or least[e] <= so_far:
                 continue
-            if p != _BYTE:
-                ok = weight.get((p, q))
-                if not (follows(m, p, q) if ok is None else ok):
-                    continue
-            last[e], begin[e] = q, b
-        if last[b + 1] is None and segment[b] not in m.id_of:
-            last[b + 1], begin[b + 1] = _BYTE, b
+            total = so_far
+            if p != _BYTE:  # bytes merge with nothing
+                w = weight.get((p, q))
+                if w is None:
+                    w = weight[p, q] = follow_weight(m, p, q)
+                total += w
+            if total < least[e]:
+                least[e], state[e], begin[e] = total, q, b
+        if least[b + 1] > so_far:
+            total = so_far + fallback_arc(m, segment[b])[1]
+            if total < least[b + 1]:
+                least[b + 1], state[b + 1], begin[b + 1] = total, _BYTE, b
     out: list[int] = []
     e = n
     while e:
         b = begin[e]
-        if last[e] == _BYTE:
-            out += [m.byte_id[x] for x in reversed(segment[b:e].encode())]
+        if state[e] == _BYTE:
+            out += fallback_arc(m, segment[b])[0][::-1]
         else:
-            out.append(last[e])
+            out.append(state[e])
         e = b
     return out[::-1]
 
@@ -244,7 +259,7 @@ class Encoder:
             ids = self._path(text)
         else:
             word = text.lstrip(" ")
-            spaces, ids = len(text) - len(word), self._path(SPACE + word)
+            spaces, ids = len(text) - len(word), self._path(SPACE + word.translate(self.m.normal))
             if spaces and word and ids[0] != self.m.id_of[SPACE]:
                 ids = _spaces(self.m, spaces) + ids
             elif spaces:
@@ -280,8 +295,9 @@ class Encoder:
         docs = [self._keys(t) if t else [] for t in texts]
         self.ids.age()
         self.paths.age()
-        if len(self.m.weight) > 2 * _CACHED:
-            self.m.weight.clear()
+        for arcs in (self.m.weight, self.m.fallback):
+            if len(arcs) > 2 * _CACHED:
+                arcs.clear()
         get = self.ids.__getitem__
         return [b"".join(map(get, d)) for d in docs]
 

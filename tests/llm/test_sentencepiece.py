@@ -34,7 +34,7 @@ def test_weights_equal_merging(model):
     for _ in range(3000):
         p, q = rng.choice(ids), rng.choice(ids)
         both = (model.pieces[p] + model.pieces[q]).decode()
-        assert sp.follows(model, p, q) == (sp.merge(model, both)[0] == [model.pieces[p].decode(), model.pieces[q].decode()]), both
+        assert (sp.follow_weight(model, p, q) == 0.0) == (sp.merge(model, both)[0] == [model.pieces[p].decode(), model.pieces[q].decode()]), both
 
 
 def test_query_columns(spark, model):
@@ -43,3 +43,27 @@ def test_query_columns(spark, model):
     assert len(got) == len(rows()) and all(r.round_trip for r in got)
     assert all(r.decoded == (r.text or "") and len(r.pieces) == r.n_pieces for r in got)
     assert sp.encode_and_decode(frame(spark, []), model).count() == 0
+
+
+def test_path_is_the_least_of_all(model):
+    """Against every way to spell a segment in pieces, and against byte-pair merging."""
+    m = model
+    inf = float("inf")
+
+    def paths(s, last=sp._BYTE):
+        if not s:
+            yield 0.0, ()
+        for e in range(1, len(s) + 1):
+            q = m.arcs.get(s[:e])
+            if q is None:
+                break
+            if q != sp._BYTE:
+                w = 0.0 if last == sp._BYTE else sp.follow_weight(m, last, q)
+                yield from ((w + v, (q, *rest)) for v, rest in paths(s[e:], q))
+
+    for word in ("the", "walking", "unhappily", "Straße", "aaaa", "x1y2", "theeee"):
+        s = sp.SPACE + word
+        ends = sorted(paths(s))
+        assert ends[0][0] == 0.0 and all(w == inf for w, _ in ends[1:])
+        assert list(ends[0][1]) == sp.shortest_path(m, s) == [m.id_of[x] for x in sp.merge(m, s)[0]]
+    assert sp.fallback_arc(m, "a")[1] == inf and sp.fallback_arc(m, "\U0001f9ff")[1] == 1.0
