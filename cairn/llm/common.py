@@ -8,6 +8,7 @@ its longest document and not its partition.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch for Python tasks, where the session sets none; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _WS = np.zeros(256, bool)
@@ -71,12 +72,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers outlive tasks, and the executor's JVM needs it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with batches of bounded bytes: rows have no bound, and the JVM holds a batch outside its heap."""
+    """df.mapInArrow with batches of bounded bytes: rows have no bound, and the JVM holds a batch outside its heap.
+
+    Tasks give the memory back that they have freed, in and outside Arrow.
+    """
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
     conf = df.sparkSession.conf
     if conf.get(_BATCH_KEY, None) is None:
         conf.set(_BATCH_KEY, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean, schema)
 
 
 def text_bytes(text: Column | str = "text") -> Column:

@@ -116,7 +116,7 @@ def _prefix(n: int, percent: int) -> int:
     return n - _least_overlap(n, percent) + 1
 
 
-def _count(size: int, percent: int, buckets: int, flush: int = 1_000_000):
+def _count(size: int, percent: int, buckets: int, flush: int = 500_000):
     """Rows (bucket, codes): counted codes, sorted, as byte planes of their differences and of their numbers of sets."""
 
     def pack(held: list[np.ndarray]) -> pa.RecordBatch:

@@ -78,7 +78,7 @@ def _count_letter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
     for c in chunks(batches):
         held.update(c.buf.tobytes().lower().split() if len(c.off) == 2 else b" ".join(c.texts()).lower().split())
-        if len(held) > 300_000:
+        if len(held) > 100_000:
             yield out()
             held.clear()
     yield out()

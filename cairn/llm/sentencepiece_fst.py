@@ -41,7 +41,7 @@ from cairn.llm.common import Remembered, chunks, map_arrow, read, text_bytes
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
-_CACHED = 200_000
+_CACHED = 120_000
 _BYTE = -1
 _NEVER = float("inf")
 
