@@ -75,6 +75,19 @@ def add_term(terms: DataFrame, name: str, users: DataFrame, owner_id: int | None
     return terms.unionByName(new, allowMissingColumns=True)
 
 
+def update_term(terms: DataFrame, term_id: int, **fields: str) -> DataFrame:
+    """S-6: terms with the given fields of one term replaced; it has to exist, and its name to be given and new."""
+    if "name" in fields:
+        if not (fields["name"] or "").strip():
+            raise RuleError("a term needs a name")
+        if terms.where((F.col("name") == fields["name"]) & (F.col("id") != term_id)).take(1):
+            raise RuleError(f"{fields['name']} exists")
+    if not terms.where(F.col("id") == term_id).take(1):
+        raise RuleError(f"no term {term_id}")
+    own = F.col("id") == term_id
+    return terms.withColumns({c: F.when(own, F.lit(v)).otherwise(F.col(c)).cast(terms.schema[c].dataType) for c, v in fields.items()})
+
+
 def delete_term(terms: DataFrame, refs: DataFrame, term_id: int) -> tuple[DataFrame, DataFrame]:
     """Terms and references without the term and what refers to it."""
     return terms.where(F.col("id") != term_id), refs.where(F.col("term_id") != term_id)

@@ -136,6 +136,12 @@ def same_column_targets(edges: DataFrame) -> DataFrame:
     return edges.where("to_asset_id is not null").groupBy("from_column").agg(F.countDistinct("to_asset_id").alias("n_targets")).where("n_targets > 1")
 
 
+def name_differences(found: DataFrame, documented: DataFrame) -> DataFrame:
+    """I-5: (name, missing_in) of table names that only one side has, as often as it has more of them; none when both agree."""
+    a, b = found.select("name"), documented.select("name")
+    return a.exceptAll(b).withColumn("missing_in", F.lit("documented")).unionByName(b.exceptAll(a).withColumn("missing_in", F.lit("found")))
+
+
 # ---------------------------------------------------------------- inferred keys
 
 

@@ -40,10 +40,16 @@ def tree(edges: DataFrame, root: int, direction: str = "DOWNSTREAM", depth: int
     """
     depth = max(1, min(MOST_DEPTH, depth))
     steps = _steps(edges, direction)
-    return _by_paths(steps, root, depth) if form == "cte" else _by_levels(steps, root, depth)
+    return _nearest(_paths(steps, root, depth)) if form == "cte" else _by_levels(steps, root, depth)
 
 
-def _by_paths(steps: DataFrame, root: int, depth: int) -> DataFrame:
+def _nearest(rows: DataFrame) -> DataFrame:
+    best = rows.groupBy("node").agg(F.min(F.struct("depth", "edge_id", "parent")).alias("m"))
+    return best.select("node", "m.depth", "m.parent", "m.edge_id")
+
+
+def _paths(steps: DataFrame, root: int, depth: int) -> DataFrame:
+    """(node, depth, parent, edge_id), a row for each path without repeated nodes."""
     walk = f"""
         WITH RECURSIVE walk(node, depth, parent, edge_id, path) AS (
           SELECT CAST({int(root)} AS BIGINT), 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), array(CAST({int(root)} AS BIGINT))
@@ -52,9 +58,7 @@ def _by_paths(steps: DataFrame, root: int, depth: int) -> DataFrame:
           FROM walk w JOIN {{steps}} s ON s.here = w.node
           WHERE w.depth < {depth} AND NOT array_contains(w.path, s.there))
         SELECT node, depth, parent, edge_id FROM walk"""
-    rows = steps.sparkSession.sql(walk, steps=steps)
-    best = rows.groupBy("node").agg(F.min(F.struct("depth", "edge_id", "parent")).alias("m"))
-    return best.select("node", "m.depth", "m.parent", "m.edge_id")
+    return steps.sparkSession.sql(walk, steps=steps)
 
 
 def _by_levels(steps: DataFrame, root: int, depth: int) -> DataFrame:
@@ -74,16 +78,24 @@ def _by_levels(steps: DataFrame, root: int, depth: int) -> DataFrame:
 def trace(edges: DataFrame, assets: DataFrame, root: int, direction: str = "DOWNSTREAM", depth: int = 6, limit: int = NODE_LIMIT, form: str = "cte") -> Trace:
     """The first `limit` nodes by (depth, id), those of them in the catalog, and every edge among these.
 
-    The limit counts ids before the catalog is asked.  It is the view's size, as the feature wants it.
+    The limit counts ids before the catalog is asked.  It is the view's size, as the feature wants it.  Form `cte` also
+    has a budget of 4 (limit + 1) paths, the shortest ones, beyond which a trace counts as truncated; `levels` has none.
     """
-    reached = tree(edges, root, direction, depth, form)
-    first = reached.orderBy("depth", "node").limit(limit + 1)
-    kept = reached.orderBy("depth", "node").limit(limit)
+    _checkpoint_dir(edges)
+    most, over = 4 * (limit + 1), False
+    if form == "cte":
+        paths = _paths(_steps(edges, direction), root, max(1, min(MOST_DEPTH, depth))).orderBy("depth", "node", "edge_id").limit(most + 1).checkpoint()
+        over = paths.count() > most
+        reached = _nearest(paths.orderBy("depth", "node", "edge_id").limit(most))
+    else:
+        reached = tree(edges, root, direction, depth, form)
+    first = reached.orderBy("depth", "node").limit(limit + 1).checkpoint()
+    kept = first.orderBy("depth", "node").limit(limit)
     nodes = kept.join(assets.select(F.col("id").alias("node"), "name"), "node").select(F.col("node").alias("id"), "name", "depth", F.col("parent").alias("parent_id"), "edge_id")
     # at most `limit` rows, so they are sent to the edges
     ends = lambda side: F.broadcast(nodes.select(F.col("id").alias(f"{side}_asset_id")))
     among = edges.join(ends("from"), "from_asset_id", "left_semi").join(ends("to"), "to_asset_id", "left_semi")
-    return Trace(nodes.orderBy("depth", F.asc_nulls_last("name")), among.orderBy("id"), first.count() > limit)
+    return Trace(nodes.orderBy("depth", F.asc_nulls_last("name")), among.orderBy("id"), over or first.count() > limit)
 
 
 def find_root(assets: DataFrame, name: str) -> tuple[int, str]:
@@ -93,15 +105,26 @@ def find_root(assets: DataFrame, name: str) -> tuple[int, str]:
     return row["id"], row["name"]
 
 
+def lookup(edges: DataFrame, assets: DataFrame, name: str, direction: str = "DOWNSTREAM", depth: int = 6, limit: int = NODE_LIMIT) -> Trace:
+    """L-3: the trace of the asset of that name, whatever its case; NotFound or ValueError where name or direction is wrong."""
+    return trace(edges, assets, find_root(assets, name)[0], direction, depth, limit)
+
+
 def paths(nodes: DataFrame, depth: int) -> DataFrame:
-    """nodes with `path`, the names from the root along the parents; nodes are as few as a trace's limit."""
-    level = nodes.where("depth = 0").select("id", F.col("name").alias("path"))
-    out = level
-    for d in range(1, max(1, min(MOST_DEPTH, depth)) + 1):
-        up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.where(F.col("depth") == d).join(up, "parent_id").select("id", F.concat_ws(" → ", "above", "name").alias("path"))
-        out = out.unionByName(level)
-    return nodes.join(out, "id", "left")
+    """nodes with `path`, the names from the root along the parents; nodes are as few as a trace's limit.
+
+    A chain that a node outside the catalog breaks begins with the root's name and an ellipsis.
+    """
+    root = nodes.where("depth = 0").select("name").first()
+    start = F.lit(root["name"] if root else "")
+    above = nodes.select(F.col("id").alias("_up"), F.col("name").alias("_name"), F.col("parent_id").alias("_next"))
+    rows = nodes.select("id", F.col("name").alias("path"), F.col("parent_id").alias("_at"))
+    for _ in range(max(1, min(MOST_DEPTH, depth)) + 1):
+        one = rows.join(above, F.col("_at") == F.col("_up"), "left")
+        broken = F.col("_at").isNotNull() & F.col("_up").isNull()
+        path = F.when(broken, F.concat(start, F.lit("… → "), "path")).when(F.col("_up").isNotNull(), F.concat_ws(" → ", "_name", "path")).otherwise(F.col("path"))
+        rows = one.select("id", path.alias("path"), F.col("_next").alias("_at"))
+    return nodes.join(rows.select("id", "path"), "id")
 
 
 IMPACT = ["affected_asset", "domain_code", "grading", "depth", "via_parent", "via_column", "impact_path", "cardinality", "evidence_level", "confidence", "origin"]

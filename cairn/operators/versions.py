@@ -11,6 +11,10 @@ ALGORITHM = 2
 MARK = "\x01"
 
 
+class NoVersion(LookupError):
+    """No version of that number."""
+
+
 def signatures(assets: DataFrame, columns: DataFrame) -> DataFrame:
     """(asset_urn, asset_name, signature, schema_hash): name|TYPE|NULLABLE of each column, sorted and joined.
 
@@ -39,6 +43,33 @@ def snapshot(now: DataFrame, before: DataFrame | None, before_algorithm: int | N
     return o.join(n, "asset_urn", "full_outer").select("asset_urn", pick("asset_name"), change.alias("change_type"), pick("signature"), pick("schema_hash"))
 
 
+def header(items: DataFrame, number: int, before: DataFrame | None, note: str | None = None, before_algorithm: int | None = ALGORITHM) -> DataFrame:
+    """V-3: one row about a version: its number, FULL or INCREMENT, note, signature algorithm and counts of changes."""
+    full = before is None or before_algorithm != ALGORITHM
+    n = lambda x: F.count_if(F.col("change_type") == x).alias(x.lower())
+    counts = items.agg(n("ADDED"), n("RETAINED"), n("CHANGED"), n("DROPPED"))
+    about = [F.lit(number).cast("long").alias("version_no"), F.lit("FULL" if full else "INCREMENT").alias("kind"), F.lit(note).cast("string").alias("note"), F.lit(ALGORITHM).cast("long").alias("signature_algo")]
+    return counts.select(*about, "added", "retained", "changed", "dropped")
+
+
+def history(headers: DataFrame) -> DataFrame:
+    """V-7: all versions, the newest first."""
+    return headers.orderBy(F.desc("version_no"))
+
+
+def get(headers: DataFrame, number: int) -> DataFrame:
+    """V-7: the header of one version; NoVersion where there is none."""
+    one = headers.where(F.col("version_no") == number)
+    if not one.take(1):
+        raise NoVersion(number)
+    return one
+
+
+def changes(items: DataFrame) -> DataFrame:
+    """V-7: the items of a version that are not RETAINED, by kind and name."""
+    return items.where("change_type <> 'RETAINED'").select("asset_urn", "asset_name", "change_type").orderBy("change_type", "asset_name")
+
+
 def summary(items: DataFrame) -> DataFrame:
     return items.groupBy("change_type").agg(F.count("*").alias("n")).orderBy("change_type")
 

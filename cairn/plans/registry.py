@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return add
 
 
-from cairn.plans import documents, graph, store  # noqa: E402, F401  they register their queries
+from cairn.plans import catalog, documents, graph, store  # noqa: E402, F401  they register their queries
