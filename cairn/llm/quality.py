@@ -17,6 +17,7 @@ Groups with fewer than `min_group` rows are pooled by language, then over all; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -163,13 +164,13 @@ def _step(vectors: DataFrame, now: DataFrame, key: list[str], share: Column) ->
     before = F.sum("n").over(own.orderBy("class").rowsBetween(Window.unboundedPreceding, -1))
     near = classes.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("all", F.sum("n").over(own)).where(F.col("before") < share * F.col("all"))
     added = [F.sum(c).alias(c) for c in ("n", *X, *[f"p{i}_{j}" for i, j in _PAIRS])]
-    return stage(_estimates(near.groupBy(*key).agg(*added), key), "mcd")
+    return _estimates(near.groupBy(*key).agg(*added), key)
 
 
 def mcd_estimates(vectors: DataFrame, group: list[str], share: float = 0.75, most_steps: int = 30) -> DataFrame:
     """MCD estimate (mu, inv, var0, log_det) of each group, with the scale that makes its median distance that of a chi-square.
 
-    most_steps only guards against rounding: each step's determinants are no higher than the last's but for the classes' width.
+    A start goes on while its determinant falls by a thousandth; most_steps is far above what that takes.
     """
     key = [*group, "start"]
     # quartiles from counts of values in steps of a thousandth
@@ -179,20 +180,27 @@ def mcd_estimates(vectors: DataFrame, group: list[str], share: float = 0.75, mos
     var = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in zip(X, FLOORS)]
     inv = F.array(*[1 / (var[i] * var[i]) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
     robust = wide.select(*group, F.array(*[F.col(x)[1] for x in X]).alias("mu"), inv.alias("inv"), (var[0] * var[0]).alias("var0"))
-    first = [robust.withColumn("start", F.lit(k)).withColumn("log_det", F.lit(float("inf"))).select(*key, "mu", "inv", "var0", "log_det") for k in (0, 2)]
     plain = _estimates(vectors.withColumn("start", F.lit(1)).groupBy(*key).agg(*_sums(F.lit(1))), key)
-    now = stage(first[0].unionByName(first[1]).unionByName(plain), "mcd")
+    starts = [robust.withColumn("start", F.lit(0)), plain, robust.withColumn("start", F.lit(2))]
+    columns = ["mu", "inv", "var0", "log_det"]
+    now = stage(reduce(DataFrame.unionByName, [x.withColumn("log_det", F.lit(float("inf"))).select(*key, *columns) for x in starts]), "mcd")
+    written, done = [now], []
     for turn in range(most_steps):
         then = _step(vectors, now, key, F.when(F.col("start") == 2, 0.5).otherwise(share) if turn == 0 else F.lit(share))
-        fell = now.select(*key, F.col("log_det").alias("last")).join(then, key).where(F.col("log_det") < F.col("last") - 1e-3)
-        going = turn < 2 or bool(fell.take(1))
-        release(now)
-        now = then
-        if not going:
+        falls = F.col("t.log_det") < F.col("log_det") - 1e-3
+        moved = now.join(then.select(*key, F.struct(*columns).alias("t")), key).select(*key, *[F.when(falls, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c) for c in columns], falls.alias("falls"))
+        if turn == 0:  # the half is a way to start, its determinant no measure of the share
+            moved = moved.withColumn("log_det", F.when(F.col("start") == 2, float("inf")).otherwise(F.col("log_det")))
+        moved = stage(moved, "mcd")
+        written.append(moved)
+        done.append(moved.where("not falls").select(*key, *columns))
+        now = moved.where("falls").select(*key, *columns)
+        if not now.take(1):
             break
+    now = reduce(DataFrame.unionByName, [*done, now])
     best = now.groupBy(*group).agg(F.min(F.struct("log_det", "start", "mu", "inv", "var0")).alias("e")).select(*group, "e.mu", "e.inv", "e.var0", "e.log_det")
     best = stage(best, "mcd")
-    release(now)
+    release(*written)
     fine = 256
     middle = vectors.join(_small(best), group).groupBy(*group, _class_of(_distance(True), fine).alias("class")).agg(F.count("*").alias("n")).groupBy(*group).agg(F.percentile("class", F.lit(0.5), F.col("n")).alias("mid"))
     mid = F.pow(F.lit(2.0), (F.col("mid") + 0.5) / fine) - 1.0

@@ -70,13 +70,13 @@ def plain_mcd(x, share=0.75):
     q = np.percentile(np.round(x, 3), [25, 50, 75], axis=0)
     sd = np.maximum((q[2] - q[0]) / 1.349, floors)
     robust = (q[1], np.diag(1 / sd**2), sd[0] ** 2, np.inf)
-    now = [robust, estimate(x), robust]
-    for turn in range(30):
-        then = [step(e, 0.5 if k == 2 and turn == 0 else share) for k, e in enumerate(now)]
-        fell = any(b[3] < a[3] - 1e-3 for a, b in zip(now, then))
-        now = then
-        if turn >= 2 and not fell:
-            break
+    now = []
+    for k, e in enumerate((robust, estimate(x), robust)):
+        e = step(e, 0.5 if k == 2 else share)
+        low = np.inf if k == 2 else e[3]
+        while (then := step(e, share))[3] < low - 1e-3:
+            e, low = then, then[3]
+        now.append(e)
     best = min(now, key=lambda e: e[3])
     d = distance(best, True)
     mid = 2 ** ((np.median(np.floor(np.log2(1 + np.maximum(d, 0)) * 256)) + 0.5) / 256) - 1
