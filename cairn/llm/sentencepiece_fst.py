@@ -41,7 +41,7 @@ from cairn.llm.common import Remembered, chunks, map_arrow, read, text_bytes
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
-_CACHED = 120_000
+_CACHED = 200_000
 _BYTE = -1
 _NEVER = float("inf")
 
@@ -259,7 +259,7 @@ class Encoder:
             ids = self._path(text)
         else:
             word = text.lstrip(" ")
-            spaces, ids = len(text) - len(word), self._path(SPACE + word.translate(self.m.normal))
+            spaces, ids = len(text) - len(word), self._path(SPACE + (word.translate(self.m.normal) if " " in word else word))
             if spaces and word and ids[0] != self.m.id_of[SPACE]:
                 ids = _spaces(self.m, spaces) + ids
             elif spaces:
