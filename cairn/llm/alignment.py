@@ -12,6 +12,7 @@ for each pair of ids the documents that hold it linked, one scores every documen
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,8 @@ from cairn.llm.common import chunks, map_arrow, read, release, shared_dir, stage
 
 #: Texts are encoded in chunks of about so many bytes; an encoding takes some hundred bytes a token.
 ENCODE_BYTES = 1 << 19
+# Fixed value: the pattern by which byte-level vocabularies of this kind part a text.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pairs that a task adds up before it hands them on.
 TASK_PAIRS = 2_000_000
 #: Groups that each pair's counts are spread over before they meet.
@@ -46,22 +49,44 @@ def _byte_values() -> dict[str, int]:
 
 
 class Tokenizers:
-    """A byte-level tokenizer file (A) and a SentencePiece model (B), with the bytes of every token of both."""
+    """A byte-level tokenizer file (A) and a SentencePiece model (B), with the bytes of every token of both.
+
+    Where A's merges are in the order of their ids, and it parts text by the usual pattern alone, its ids
+    are those of a rank vocabulary, and the faster library for these encodes; else the file's own.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share the cores
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        a = Tokenizer.from_file(a_path)
+        a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        value = _byte_values()
-        size = max(self.a.get_vocab().values()) + 1
-        entries = [self.a.id_to_token(i) or "" for i in range(size)]
-        special = self.a.get_added_tokens_decoder()
+        value, special = _byte_values(), a.get_added_tokens_decoder()
+        entries = [a.id_to_token(i) or "" for i in range(max(a.get_vocab().values()) + 1)]
         self.a_bytes = [t.encode() if i in special else bytes(value[c] for c in t) for i, t in enumerate(entries)]
         self.b_bytes = [self._piece(i) for i in range(self.b.piece_size())]
+        self.a_length, self.b_length = (np.array([len(t) for t in ts], np.int64) for ts in (self.a_bytes, self.b_bytes))
+        ranks = self._ranks(json.loads(a.to_str()), special)
+        if ranks:
+            import tiktoken
+
+            by_rank = tiktoken.Encoding("ranks", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
+            self.a_ids = lambda texts: [by_rank.encode_ordinary(t) for t in texts]
+        else:
+            self.a_ids = lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ranks(self, file: dict, special: dict) -> dict[bytes, int] | None:
+        """Bytes and rank of all entries, if the file is no more than a byte-level vocabulary whose ids are its merges' ranks."""
+        model, before = file["model"], file["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not file["normalizer"]
+        odd = model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if odd or not plain:
+            return None
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        ordered = all(model["vocab"].get(m) == 256 + i for i, m in enumerate(merged)) and {model["vocab"].get(c) for c in _byte_values()} == set(range(256))
+        return {t: i for i, t in enumerate(self.a_bytes) if i not in special} if ordered and len(merged) + 256 == len(model["vocab"].keys() - {t.content for t in special.values()}) else None
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -75,14 +100,11 @@ class Tokenizers:
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text by A, with a space before it, and by B; none where the text is empty or either's bytes are not the text's."""
-        read = [t.decode("utf-8", "replace") for t in texts]
-        by_a = self.a.encode_batch_fast([" " + t for t in read], add_special_tokens=False)
-        by_b = self.b.encode(read, num_threads=1)
-        out = []
-        for text, a, b in zip(texts, by_a, by_b):
-            a, whole = a.ids, b" " + text
+        read, out = [t.decode("utf-8", "replace") for t in texts], []
+        for text, a, b in zip(texts, self.a_ids([" " + t for t in read]), self.b.encode(read, num_threads=1)):
+            whole = b" " + text
             same = text and b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            out.append((np.array(a if same else [], np.uint32), np.array(b if same else [], np.uint32)))
+            out.append((np.array(a if same else [], "<u4"), np.array(b if same else [], "<u4")))
         return out
 
 
@@ -177,7 +199,7 @@ def _encode(a_path: str, b_path: str):
         tokenizers = Tokenizers.at(a_path, b_path)
         for c in chunks(batches, limit=ENCODE_BYTES):
             ids = tokenizers.encode(c.texts())
-            yield pa.record_batch([c.column("doc_id"), *(pa.array([x[k].astype("<u4").tobytes() for x in ids], pa.binary()) for k in (0, 1))], ["doc_id", "a_ids", "b_ids"])
+            yield pa.record_batch([c.column("doc_id"), *(pa.array([x[k].tobytes() for x in ids], pa.binary()) for k in (0, 1))], ["doc_id", "a_ids", "b_ids"])
 
     return run
 
@@ -275,7 +297,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, with_ids: bool = True, most
     spark = docs.sparkSession
     shared_dir(spark)
     tokenizers = Tokenizers.at(a_path, b_path)
-    vocabulary = Vocabulary(*(np.array([len(t) for t in ts], np.int64) for ts in (tokenizers.a_bytes, tokenizers.b_bytes)))
+    vocabulary = Vocabulary(tokenizers.a_length, tokenizers.b_length)
     held = spark.sparkContext.broadcast(vocabulary)
     texts = docs.select("doc_id", text_bytes().alias("text"))
     encoded = stage(map_arrow(texts, _encode(a_path, b_path), "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", a_ids binary, b_ids binary"), "token_ids")

@@ -97,6 +97,21 @@ def test_slices_and_small_chunks_change_nothing(spark, data, monkeypatch):
     assert got(alignment.align(frame(spark, data).repartition(3), A, B, with_ids=False, most_pairs=60)) == brute(data)
 
 
+def test_ranks_and_the_files_own_library_agree():
+    import random
+
+    rng, own = random.Random(4), Tokenizer.from_file(A)
+    own.encode_special_tokens = True
+    some = ["a", "B", " ", "  ", "\n", "\t", ".", "'s", "'LL", "1", "é", "漢", "\u00a0", "\x1c", "<|endoftext|>", "😀", "!!", "ß", "word", "\x00", "²", "٣"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    assert alignment.Tokenizers.at(A, B).a_ids(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_file_of_another_kind_is_read_by_its_own_library():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert alignment.Tokenizers._ranks(None, __import__("json").loads(Tokenizer.from_file(other).to_str()), {}) is None
+
+
 def test_ids_come_back(spark):
     r = alignment.align(frame(spark, [(1, "two words", "en", None, 9)]), A, B).first()
     assert np.frombuffer(r["a_ids"], "<u4").tolist() == Tokenizer.from_file(A).encode(" two words").ids and r["n_links"] == r["n_groups"] == 2
