@@ -1,8 +1,11 @@
-"""New surrogate keys and connected components, without a task that sees every row."""
+"""New surrogate keys without a task that sees every row, and staged tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -20,26 +23,25 @@ def numbered(rows: DataFrame, keys: list[str], after: Column | int = 0, name: st
     return put.withColumn("_n", own).join(F.broadcast(starts), "_b").withColumn(name, (F.lit(after) + F.col("_s") + F.col("_n")).cast("long")).drop("_b", "_s", "_n")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b): each takes the least label around it, and then its label's label.
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of the warehouse serves."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: its rows are computed once, later plans know their size, lost executors are survived.
 
-    Labels are checkpointed every round, into the folder that Spark's checkpoint directory names.
+    The table is deleted when the driver's program ends.
     """
-    _checkpoint_dir(edges)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).select(F.col("a").alias("node"), "component").checkpoint()
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("was"), F.least("component", "least").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        then = lower.join(jump, "to", "left").select("node", "was", F.least("to", "far").alias("component")).checkpoint()
-        labels = then.select("node", "component")
-        if not then.where("was <> component").take(1):
-            return labels
-
-
-def _checkpoint_dir(df: DataFrame) -> None:
-    """Takes spark.checkpoint.dir; only where it is unset, as in tests, a folder of the warehouse serves."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may have ended; the table is then only left behind
+        pass

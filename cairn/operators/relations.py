@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import CONFIRMED, LEVELS, ORIGIN_DIAGRAM, ORIGIN_LOGICAL, PENDING, REJECTED, cut
+from cairn.functions.text import CONFIRMED, ORIGIN_DIAGRAM, ORIGIN_LOGICAL, PENDING, REJECTED, cut, rank_of
 from cairn.operators.documents import CANDIDATES, candidates_replace
-from cairn.operators.keys import _checkpoint_dir, components, numbered
+from cairn.operators.keys import numbered, staged
 
 EDGE = (
     "id long, from_asset_id long, from_column string, to_asset_id long, to_column string, target_raw string, evidence_level string, origin string, is_inferred boolean, confidence double, "
@@ -160,169 +159,166 @@ def before_overlay(store: DataFrame) -> DataFrame:
     )
 
 
-def _rank(level: str) -> int:
-    return LEVELS.index(level) + 1 if level in LEVELS else 5
-
-
-class _Fold:
-    """One component's lines in order over its edges: later lines see what earlier ones did."""
-
-    def __init__(self, edges: list[dict]):
-        self.at: dict[tuple, list[dict]] = {}
-        self.made, self.counts = [], {}
-        for e in edges:
-            self.at.setdefault((e["from_asset_id"], (e["from_column"] or "").lower()), []).append(e)
-
-    def count(self, what: str) -> None:
-        self.counts[what] = self.counts.get(what, 0) + 1
-
-    @staticmethod
-    def note(e: dict, text: str) -> None:
-        if text not in (e["ingest_trace"] or ""):
-            e["ingest_trace"] = (e["ingest_trace"] or "") + text
-
-    @staticmethod
-    def propose(e: dict, parent: str, doc: str | None, why: str) -> None:
-        one = {"target": parent, "source": ORIGIN_DIAGRAM, "doc": doc and doc[:200], "why": why}
-        if one not in e["candidate_targets"]:
-            e["candidate_targets"].append(one)
-
-    def enrich(self, e: dict, w: dict) -> None:
-        if e["cardinality"] is None:
-            e["cardinality"] = w["cardinality"]
-            self.count("cardinality_filled")
-        if e["to_column"] is None:
-            e["to_column"] = w["to_col"]
-        if _rank(w["evidence_level"]) < _rank(e["evidence_level"]):
-            e["evidence_level"], e["confidence"] = w["evidence_level"], w["confidence"]
-            self.note(e, f"｜ER:{w['doc']}")
-            self.count("evidence_upgraded")
-
-    def resolve(self, e: dict, w: dict) -> None:
-        denied, several = any(x in (w["label"] or "") for x in DENIALS), w["n_parents"] > 1
-        if denied or several:
-            why = "自证否认" if denied else "多父候选"
-            self.note(e, f"｜ER候选:{w['parent_name']}({why},未消解)")
-            self.propose(e, w["parent_name"], w["doc"], why)
-            e["conflict_flag"] = bool(e["conflict_flag"]) or not denied
-            self.count("deferred_denial" if denied else "deferred_multi")
-            return
-        e["to_asset_id"], e["to_column"] = w["parent"], w["to_col"] or e["to_column"]
-        self.note(e, f"｜ER消解:{w['parent_name']}@{w['doc']}")
-        self.enrich(e, w)
-        self.count("resolved_prose")
-
-    def consumes(self, w: dict) -> bool:
-        """One orientation of a line; False: try the next one."""
-        if w["fk"] is None:
-            return False
-        fk, clear = w["fk"].lower(), w["kind"] != "ONE_TO_ONE"
-        here = self.at.setdefault((w["child"], fk), [])
-        exact = next((e for e in here if e["to_asset_id"] == w["parent"]), None)
-        prose = next((e for e in here if e["to_asset_id"] is None), None)
-        if any(e["confirm_status"] == REJECTED for e in here):
-            return True
-        if exact is not None or prose is not None:
-            self.count("matched")
-            if exact is not None:
-                self.enrich(exact, w)
-            elif clear:
-                self.resolve(prose, w)
-            return True
-        if here:
-            here[0]["conflict_flag"] = True
-            self.note(here[0], f"｜ER冲突目标:{w['parent_name']}")
-            self.propose(here[0], w["parent_name"], None, "目标冲突")
-            self.count("conflicts")
-            return True
-        if clear and any(e["to_asset_id"] == w["child"] for e in self.at.get((w["parent"], fk), [])):
-            self.count("skipped_reverse")
-        elif clear:
-            e = dict.fromkeys(NAMES) | {c: w[c] for c in ("evidence_level", "confidence", "cardinality", "cross_domain")}
-            e |= {"from_asset_id": w["child"], "from_column": w["fk"], "to_asset_id": w["parent"], "to_column": w["to_col"], "target_raw": w["parent_name"], "origin": ORIGIN_DIAGRAM, "is_inferred": True, "confirm_status": PENDING, "conflict_flag": False}
-            e |= {"basis_raw": w["label"] and w["label"][:300], "ingest_trace": f"｜ER:{w['doc']}", "source_doc": w["doc"][:200], "candidate_targets": []}
-            here.append(e)
-            self.made.append(e)
-            self.count("new_edges")
-        return clear
-
-    def line(self, ways: list[dict]) -> None:
-        if any(self.consumes(w) for w in ways):
-            return
-        w = ways[0]
-        self.count("skipped_ambiguous" if w["kind"] == "ONE_TO_ONE" else "skipped_not_owned" if w["n_candidates"] else "skipped_no_column")
-
-
-def _records(frame: pd.DataFrame) -> list[dict]:
-    """Plain Python rows: missing values are None and ids are whole numbers."""
-    whole = {"id", "from_asset_id", "to_asset_id", "child", "parent", "attempt", "n_parents", "n_candidates", "line_no"}
-    out = []
-    for row in frame.to_dict("records"):
-        for k, v in row.items():
-            if k == "candidate_targets":
-                row[k] = [dict(x) for x in v] if v is not None else []
-            elif v is None or v is pd.NaT or (isinstance(v, float) and v != v):
-                row[k] = None
-            elif k in whole:
-                row[k] = int(v)
-        out.append(row)
-    return out
-
-
-def _fold_groups(ways: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    rows = _records(edges.sort_values("id"))
-    fold = _Fold(rows)
-    lines: dict[tuple, list[dict]] = {}
-    for w in _records(ways.sort_values(["doc", "line_no", "attempt"])):
-        lines.setdefault((w["doc"], w["line_no"]), []).append(w)
-    for each in lines.values():
-        fold.line(each)
-    out = [e | {"counter": None, "n": None} for e in rows + fold.made]
-    out += [dict.fromkeys(NAMES) | {"counter": k, "n": v} for k, v in fold.counts.items()]
-    made = pd.DataFrame(out, columns=[*NAMES, "counter", "n"])
-    return made.astype({c: "Int64" for c in ("id", "from_asset_id", "to_asset_id", "n")} | {c: "boolean" for c in ("is_inferred", "conflict_flag")})
-
-
-BUCKET_LINES = 5000
+
+
+def _positions(ways: DataFrame, store: DataFrame) -> DataFrame:
+    """ways with what the store holds at their position (child, fk_key): rejected, n edges, the first of them, the first
+    without target (prose) and how many such, and the one to the parent (exact)."""
+    key = [F.col("from_asset_id").alias("child"), F.lower(F.coalesce("from_column", F.lit(""))).alias("fk_key")]
+    edges = store.select(*key, "id", "to_asset_id", "confirm_status").join(ways.select("child", "fk_key").distinct(), ["child", "fk_key"], "left_semi")
+    open_end = F.col("to_asset_id").isNull()
+    held = edges.groupBy("child", "fk_key").agg(
+        F.bool_or(F.coalesce(F.col("confirm_status") == REJECTED, F.lit(False))).alias("rejected"), F.count("*").alias("n"), F.min("id").alias("first"), F.min(F.when(open_end, F.col("id"))).alias("prose"), F.count_if(open_end).alias("n_prose"),
+    )
+    exact = edges.where(~open_end).groupBy("child", "fk_key", F.col("to_asset_id").alias("parent")).agg(F.min("id").alias("exact"))
+    found = ways.join(held, ["child", "fk_key"], "left").join(exact, ["child", "fk_key", "parent"], "left")
+    return found.withColumns({"rejected": F.coalesce("rejected", F.lit(False)), "n": F.coalesce("n", F.lit(0)), "n_prose": F.coalesce("n_prose", F.lit(0))})
+
+
+def _resolving(placed: DataFrame) -> DataFrame:
+    """(child, fk_key, event_at, target): the line that gives a position's first edge without target the position's only parent."""
+    fit = ~F.col("rejected") & F.col("clear") & F.col("prose").isNotNull() & F.col("exact").isNull() & ~F.col("denied") & (F.col("n_parents") <= 1)
+    first = placed.where(fit).groupBy("child", "fk_key").agg(F.min(F.struct("at", "parent")).alias("m"))
+    return first.select("child", "fk_key", F.col("m.at").alias("event_at"), F.col("m.parent").alias("target"))
+
+
+def _creating(placed: DataFrame, store: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(child, fk_key, event_at, target): the line that makes the first edge of each position without edges.
+
+    A line is barred while an edge leads the other way, from its parent by the same column to its child.  Such
+    an edge is stored, or comes from an earlier line; so in each round every position whose first line is
+    barred by no line still open is settled.  The earliest open line always is one, so rounds end, and a
+    position is open beyond the first only where lines disagree about its direction.
+    """
+    other = lambda df, name: df.select(F.col("child").alias("parent"), "fk_key", F.col("target").alias("child"), F.col("event_at").alias(name))
+    stored = store.where(F.col("to_asset_id").isNotNull()).select(F.col("from_asset_id").alias("parent"), F.lower(F.coalesce("from_column", F.lit(""))).alias("fk_key"), F.col("to_asset_id").alias("child")).distinct()
+    open_ = placed.where(F.col("fk").isNotNull() & F.col("clear") & (F.col("n") == 0)).select("child", "fk_key", "parent", "at").join(stored, ["parent", "fk_key", "child"], "left_anti")
+    open_ = staged(open_.join(other(resolved, "barred"), ["parent", "fk_key", "child"], "left").where("barred IS NULL OR barred > at").drop("barred"))
+    rounds = []
+    while open_.take(1):
+        head = open_.groupBy("child", "fk_key").agg(F.min(F.struct("at", "parent")).alias("m")).select("child", "fk_key", "m.at", "m.parent")
+        against = open_.select(F.col("child").alias("parent"), "fk_key", F.col("parent").alias("child"), F.col("at").alias("before"))
+        bars = head.where("child <> parent").join(against, ["child", "fk_key", "parent"]).where("before < at").select("child", "fk_key").distinct()
+        new = staged(head.join(bars, ["child", "fk_key"], "left_anti").select("child", "fk_key", F.col("at").alias("event_at"), F.col("parent").alias("target")))
+        rounds.append(new)
+        left = open_.join(new.select("child", "fk_key"), ["child", "fk_key"], "left_anti").join(other(new, "barred"), ["parent", "fk_key", "child"], "left")
+        open_ = staged(left.where("barred IS NULL OR barred > at").drop("barred"))
+    return reduce(DataFrame.unionByName, rounds) if rounds else resolved.limit(0)
+
+
+def _verdicts(placed: DataFrame, resolved: DataFrame, created: DataFrame) -> DataFrame:
+    """One row a line, by the first orientation that its position takes up: verdict, and the edge it acts on (`edge`: a stored id, or null for the one made there).
+
+    Whatever a position held before its one event (a target found for an open edge, or a first edge made), and after
+    it, is known for each line by whether it comes later.  verdict: silent, exact, resolve, denied, several, seen,
+    conflict, reverse, create; none where no orientation is taken up.
+    """
+    events = resolved.withColumn("made", F.lit(False)).unionByName(created.withColumn("made", F.lit(True)))
+    x = placed.join(events, ["child", "fk_key"], "left")
+    own, later = F.col("event_at") == F.col("at"), F.coalesce(F.col("event_at") < F.col("at"), F.lit(False))
+    to_event = later & (F.col("target") == F.col("parent"))
+    prose_left = F.col("n_prose") > F.when(later & ~F.col("made"), 1).otherwise(0)
+    made_here = later & F.col("made")
+    verdict = (
+        F.when(F.col("fk").isNull(), "none").when(F.col("rejected"), "silent").when(own & F.col("clear"), F.when(F.col("made"), "create").otherwise("resolve"))
+        .when(F.col("exact").isNotNull() | to_event, "exact").when(prose_left, F.when(~F.col("clear"), "seen").when(F.col("denied"), "denied").otherwise("several"))
+        .when((F.col("n") > 0) | made_here, "conflict").when(F.col("clear"), "reverse").otherwise("none")
+    )
+    x = x.withColumn("verdict", verdict)
+    exact = F.coalesce("exact", F.when(~F.col("made"), F.col("prose")))
+    edge = F.when(F.col("verdict") == "exact", exact).when(F.col("verdict").isin("resolve", "denied", "several"), F.col("prose")).when(F.col("verdict") == "conflict", F.col("first"))
+    taken = F.struct((F.col("verdict") == "none").alias("last"), "attempt")
+    facts = ["verdict", "child", "fk_key", "fk", "parent", "parent_name", "to_col", "kind", "cardinality", "evidence_level", "confidence", "cross_domain", "label", "n_candidates", edge.alias("edge")]
+    return x.groupBy("at").agg(F.min_by(F.struct(*facts), taken).alias("w")).select("at", "w.*")
+
+
+def _effects(lines: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges (ref and the columns of an edge) after what lines (ref, at, verdict and facts) do to them, with how many facts each gained.
+
+    Every effect of a line depends on the order of lines only through firsts: the first cardinality and column, the
+    first line of each evidence level, the first place of each note.
+    """
+    gives = lines.where(F.col("verdict").isin("exact", "resolve", "create"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v"))))
+    base = edges.select("ref", rank_of("evidence_level").alias("had"))
+    # a level counts where it is stronger than the stored one and none as strong came before it
+    levels = gives.groupBy("ref", rank_of("evidence_level").alias("rank")).agg(F.min(F.struct("at", "evidence_level", "confidence")).alias("l")).join(base, "ref").where("rank < had")
+    stronger = Window.partitionBy("ref").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("sooner", F.min("l.at").over(stronger)).where("sooner IS NULL OR l.at < sooner")
+    best = levels.groupBy("ref").agg(F.min_by("l", "rank").alias("best"), F.count("*").alias("upgrades"))
+    given = gives.groupBy("ref").agg(first("cardinality").alias("card"), first("to_col").alias("col"), F.min(F.when(F.col("verdict") == "resolve", F.struct("parent", "to_col"))).alias("found"))
+
+    doc, name = F.col("at.doc"), F.col("parent_name")
+    why = F.when(F.col("verdict") == "denied", "自证否认").when(F.col("verdict") == "several", "多父候选").otherwise("目标冲突")
+    said = F.when(F.col("verdict") == "resolve", F.concat(F.lit("｜ER消解:"), name, F.lit("@"), doc)).when(F.col("verdict") == "conflict", F.concat(F.lit("｜ER冲突目标:"), name)).otherwise(F.concat(F.lit("｜ER候选:"), name, F.lit("("), why, F.lit(",未消解)")))
+    open_ = lines.where(F.col("verdict").isin("denied", "several", "conflict"))
+    notes = lines.where(F.col("verdict").isin("resolve", "denied", "several", "conflict")).select("ref", "at", F.lit(0).alias("nth"), said.alias("text"))
+    notes = notes.unionByName(levels.select("ref", F.col("l.at").alias("at"), F.lit(1).alias("nth"), F.concat(F.lit("｜ER:"), F.col("l.at.doc")).alias("text")))
+    notes = notes.groupBy("ref", "text").agg(F.min(F.struct("at", "nth")).alias("p")).groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("p", "text"))).alias("notes"))
+    proposal = F.struct(name.alias("target"), F.lit(ORIGIN_DIAGRAM).alias("source"), F.when(F.col("verdict") != "conflict", cut(doc, 200)).alias("doc"), why.alias("why"))
+    proposals = open_.groupBy("ref", proposal.alias("c")).agg(F.min("at").alias("at")).groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("proposals"))
+    flags = open_.groupBy("ref").agg(F.bool_or(F.col("verdict") != "denied").alias("flag"))
+
+    e = edges
+    for more in (given, best, notes, proposals, flags):
+        e = e.join(more, "ref", "left")
+    noted = F.when(F.col("notes").isNull(), F.col("ingest_trace")).otherwise(F.aggregate("notes", F.col("ingest_trace"), lambda t, x: _noted(t, x["text"])))
+    filled = F.col("cardinality").isNull() & F.col("card").isNotNull()
+    return e.withColumns({
+        "cardinality_filled": filled, "evidence_upgraded": F.coalesce("upgrades", F.lit(0)), "cardinality": F.coalesce("cardinality", F.col("card.v")), "to_asset_id": F.coalesce("to_asset_id", F.col("found.parent")),
+        "to_column": F.coalesce(F.col("found.to_col"), "to_column", F.col("col.v")), "evidence_level": F.coalesce(F.col("best.evidence_level"), "evidence_level"), "confidence": F.when(F.col("best").isNotNull(), F.col("best.confidence")).otherwise(F.col("confidence")),
+        "ingest_trace": noted, "candidate_targets": F.when(F.col("proposals").isNotNull(), F.concat("candidate_targets", F.transform("proposals", lambda x: x["c"]))).otherwise(F.col("candidate_targets")), "conflict_flag": F.coalesce("flag", F.lit(False)) | F.col("conflict_flag"),
+    }).select("ref", *NAMES, "cardinality_filled", "evidence_upgraded")
 
 
 def overlay(store: DataFrame, lines: DataFrame, catalog: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The store after the diagrams' evidence, and (counter, n).
+    """The store after the diagrams' evidence, and (counter, n) of the counters that are not 0.
 
-    Lines act on positions (child, column), and a new edge looks at the reverse position; positions that
-    lines tie together form a component, which is folded in order of lines.  Components don't touch each
-    other, so a group folds many: about BUCKET_LINES lines, or one component of more.
+    Lines act in order of (doc, line_no) on positions (child, column), later ones on what earlier ones left.  A position
+    changes for others at most once, so lines are not replayed: the line that changes each position is found
+    first, then every line is judged at once by what its position held before or after that, and effects are
+    aggregated by edge.  Asset names are unique, whatever their case; of equal (doc, line_no) one line counts.
     """
-    clean = before_overlay(store).select(*NAMES)
-    trusted = lines.where(F.col("kind").isin("ONE_TO_MANY", "MANY_TO_ONE", "ONE_TO_ONE"))
-    _checkpoint_dir(store)
-    ways = oriented(trusted, catalog, columns).withColumn("fk_key", F.lower("fk"))
-    ways = ways.join(parents_at(ways), ["child", "fk_key"], "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0))).withColumn("n_candidates", F.size("from_columns")).checkpoint()
-    position = lambda a: F.concat_ws("\x01", F.col(a).cast("string"), F.coalesce("fk_key", F.lit("")))
-    line = F.concat_ws("\x02", "doc", F.col("line_no").cast("string"))
-    ties = ways.where("fk is not null").select(line.alias("a"), F.explode(F.array(position("child"), position("parent"))).alias("b"))
-    alone = ways.where("fk is null").select(line.alias("a"), line.alias("b"))
-    groups = components(ties.unionByName(alone))
-    grouped = ways.withColumn("node", line).join(groups, "node").select("component", "doc", "line_no", "attempt", "kind", "child", "parent", "parent_name", "fk", "to_col", "cardinality", "evidence_level", "confidence", "cross_domain", "label", "n_parents", "n_candidates")
-    spot = F.concat_ws("\x01", F.col("from_asset_id").cast("string"), F.lower(F.coalesce("from_column", F.lit(""))))
-    placed = clean.withColumn("node", spot).join(groups.select("node", F.col("component").alias("part")), "node", "left").drop("node")
-    touched, rest = placed.where("part is not null"), placed.where("part is null").drop("part")
-    buckets = max(1, -(-ways.count() // BUCKET_LINES))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket")
-    folded = grouped.groupBy(bucket("component")).cogroup(touched.groupBy(bucket("part"))).applyInPandas(_without_component, f"{EDGE}, counter string, n long").checkpoint()
-    edges, counts = folded.where("counter is null").drop("counter", "n"), folded.where("counter is not null")
+    clean = staged(before_overlay(store).select(*NAMES).withColumn("conflict_flag", F.coalesce("conflict_flag", F.lit(False))))
+    trusted = lines.where(F.col("kind").isin("ONE_TO_MANY", "MANY_TO_ONE", "ONE_TO_ONE")).dropDuplicates(["doc", "line_no"])
+    ways = staged(oriented(trusted, catalog, columns).withColumn("fk_key", F.lower("fk")))
+    denied = reduce(lambda a, b: a | b, [F.contains(F.coalesce("label", F.lit("")), F.lit(x)) for x in DENIALS])
+    ways = ways.join(parents_at(ways), ["child", "fk_key"], "left").withColumns({"n_parents": F.coalesce("n_parents", F.lit(0)), "n_candidates": F.size("from_columns"), "clear": F.col("kind") != "ONE_TO_ONE", "denied": denied})
+    placed = staged(_positions(ways.withColumn("at", F.struct("doc", "line_no")), clean))
+    resolved = staged(_resolving(placed))
+    created = _creating(placed, clean, resolved)
+    made_key = F.concat_ws("\x01", F.lit("new"), F.col("child").cast("string"), "fk_key")
+    judged = staged(_verdicts(placed, resolved, created).withColumn("ref", F.coalesce(F.col("edge").cast("string"), made_key)))
+
+    make = {"id": None, "to_column": F.col("to_col"), "target_raw": F.col("parent_name"), "origin": F.lit(ORIGIN_DIAGRAM), "is_inferred": F.lit(True), "confirm_status": F.lit(PENDING), "conflict_flag": F.lit(False)}
+    make |= {"basis_raw": cut("label", 300), "ingest_trace": F.concat(F.lit("｜ER:"), F.col("at.doc")), "source_doc": cut(F.col("at.doc"), 200), "candidate_targets": F.array().cast(CANDIDATES), "discriminator": None, "from_asset_id": F.col("child"), "from_column": F.col("fk"), "to_asset_id": F.col("parent")}
+    kinds = {f.name: f.dataType for f in clean.schema.fields}
+    fresh = judged.where("verdict = 'create'").select("ref", *[(F.lit(None) if c in make and make[c] is None else make.get(c, F.col(c))).cast(kinds[c]).alias(c) for c in NAMES])
+    acted = judged.where(F.col("verdict").isin("exact", "resolve", "create", "denied", "several", "conflict"))
+    touched = clean.withColumn("ref", F.col("id").cast("string")).join(acted.select("ref").distinct(), "ref", "left_semi").unionByName(fresh)
+    changed = staged(_effects(acted, touched))
+
+    rest = clean.join(changed.where("id IS NOT NULL").select("id"), "id", "left_anti")
     top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    new = numbered(edges.where("id is null").drop("id"), ["from_asset_id", "from_column", "to_asset_id"], top)
-    after = rest.unionByName(edges.where("id is not null")).unionByName(new.select(*NAMES))
-    return after, counts.select("counter", "n").unionByName(_dropped(lines, ways)).groupBy("counter").agg(F.sum("n").alias("n"))
+    new = numbered(changed.where("id IS NULL").select(*[c for c in NAMES if c != "id"]), ["from_asset_id", "from_column", "to_asset_id"], top)
+    after = rest.unionByName(changed.where("id IS NOT NULL").select(*NAMES)).unionByName(new.select(*NAMES))
+    return after, _counters(judged, changed).unionByName(_dropped(lines, ways)).groupBy("counter").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def _without_component(ways: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    return _fold_groups(ways.drop(columns="component"), edges.drop(columns="part"))
+def _counters(judged: DataFrame, changed: DataFrame) -> DataFrame:
+    """(counter, n) of verdicts, of lines that nothing takes up, and of facts that edges gained."""
+    v = F.col("verdict")
+    left = F.when(F.col("kind") == "ONE_TO_ONE", "skipped_ambiguous").when(F.col("n_candidates") > 0, "skipped_not_owned").otherwise("skipped_no_column")
+    names = {"resolve": "resolved_prose", "denied": "deferred_denial", "several": "deferred_multi", "conflict": "conflicts", "create": "new_edges", "reverse": "skipped_reverse"}
+    named = reduce(lambda c, x: c.when(v == x, names[x]), names, F.when(v == "none", left))
+    both = F.array_compact(F.array(named, F.when(v.isin("exact", "resolve", "denied", "several", "seen"), "matched")))
+    of_lines = judged.select(F.explode(both).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
+    gains = changed.agg(F.count_if("cardinality_filled").alias("cardinality_filled"), F.coalesce(F.sum("evidence_upgraded"), F.lit(0)).alias("evidence_upgraded"))
+    return of_lines.unionByName(gains.unpivot([], ["cardinality_filled", "evidence_upgraded"], "counter", "n"))
 
 
 def _dropped(lines: DataFrame, ways: DataFrame) -> DataFrame:
-    """Lines counted and left out before the fold: untrusted kinds, and ends that the catalog lacks."""
+    """Lines counted and left out before: untrusted kinds, and ends that the catalog lacks."""
     why = F.when(F.col("kind") == "UNSUPPORTED_SYMBOL", "skipped_unsupported").when(F.col("kind") == "AMBIGUOUS", "cardinality_clash").when(F.col("kind") == "MANY_TO_MANY", "skipped_multi").otherwise("skipped_endpoint")
     out = lines.join(ways.select("doc", "line_no").distinct(), ["doc", "line_no"], "left_anti")
     return out.groupBy(why.alias("counter")).agg(F.count("*").alias("n"))
@@ -334,8 +330,3 @@ def relations_of(edges: DataFrame, catalog: DataFrame, asset_id: int) -> DataFra
     into = edges.where(F.col("to_asset_id") == asset_id).withColumn("direction", F.lit("in"))
     name = lambda side: catalog.select(F.col("id").alias(f"{side}_asset_id"), F.col("name").alias(f"{side}_name"))
     return out.unionByName(into).join(name("from"), "from_asset_id", "left").join(name("to"), "to_asset_id", "left")
-
-
-def in_order(changes: DataFrame) -> Iterator:
-    """The rows of a small frame of edges, by id."""
-    return changes.orderBy("id").toLocalIterator()

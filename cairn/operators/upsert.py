@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import cut
-from cairn.operators.keys import numbered
+from cairn.operators.keys import numbered, staged
+from cairn.sources.sinks import Store
 
 STRUCTURE = ["prefix_family", "has_pk", "table_comment", "charset", "collate_name", "column_count"]
 COLUMN_FACTS = ["ordinal", "type", "nullable", "default_val", "key_hint", "meaning"]
@@ -77,6 +78,42 @@ def applied(old: DataFrame, changes: DataFrame, schema: str, source_id: int) ->
     return same.unionByName(new, allowMissingColumns=True).withColumn("source_id", F.lit(source_id).cast("long"))
 
 
+def applied_columns(old: DataFrame, changes: DataFrame, assets: DataFrame) -> DataFrame:
+    """The columns after the upsert, of the assets (id, name) that it leaves: ids pinned, facts that changed taken over.
+
+    Columns whose table is gone go with it, whatever `changes` says of them; another spelling of a name changes nothing.
+    """
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    owner = assets.select(F.col("id").alias("asset_id"), F.lower("name").alias("table_key"))
+    live = changes.where("change <> 'evicted'").join(owner, "table_key")
+    made = numbered(live.where("change = 'created'").drop("id"), ["table_key", "key"], top)
+    kept = live.where("change <> 'created'").select("id", *COLUMN_FACTS)
+    rest = [c for c in old.columns if c not in COLUMN_FACTS]
+    same = old.select(*rest).join(kept, "id")
+    return same.unionByName(made.select("id", "asset_id", "name", *COLUMN_FACTS), allowMissingColumns=True).select(*old.columns)
+
+
+def ddl_upsert(store: Store, tables: DataFrame, columns: DataFrame, source: str, schema: str) -> DataFrame:
+    """U-1 as one commit: assets, columns and sources of a DDL file over a store's tables `asset`, `column` and `source`; (entity, change, n).
+
+    tables (name and STRUCTURE) and columns (table, name, COLUMN_FACTS) are what the file holds.  Names match without
+    case; assets that the file lacks go, with their columns.  All of it is visible at once or, if a task or another writer comes between, nothing.
+    """
+    base = store.generation()
+    assets, owned = store.read("asset", base), store.read("column", base)
+    asset_diff = staged(asset_changes(assets, tables))
+    named = owned.join(assets.select(F.col("id").alias("asset_id"), F.col("name").alias("table")), "asset_id")
+    column_diff = staged(column_changes(named, columns))
+    known = store.read("source", base) if "source" in store.tables(base) else None
+    number = (known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"] if known is not None else 0) + 1
+    after = staged(applied(assets, asset_diff, schema, number))
+    n_tables, n_columns = tables.select(F.countDistinct(F.lower("name"))).first()[0], columns.count()
+    one = store.spark.createDataFrame([(number, source, "DDL", n_tables, n_columns)], "id long, name string, type string, table_count long, column_count long")
+    store.commit({"asset": after, "column": applied_columns(owned, column_diff, after)}, {"source": one}, base)
+    reports = [upsert_report(d).select(F.lit(e).alias("entity"), "change", "n") for e, d in (("asset", asset_diff), ("column", column_diff))]
+    return reports[0].unionByName(reports[1])
+
+
 def reorder_columns(columns: DataFrame, asset_id: int, ids: list[int]) -> DataFrame:
     """U-4: ordinals of one asset's columns as ids lists them; it has to list exactly that asset's columns."""
     order = columns.sparkSession.createDataFrame([(int(x), i) for i, x in enumerate(ids)], "id long, _at int")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import trim
+from cairn.operators.keys import staged
+from cairn.sources.sinks import Store
 
 ALGORITHM = 2
 MARK = "\x01"
@@ -52,6 +54,29 @@ def header(items: DataFrame, number: int, before: DataFrame | None, note: str |
     return counts.select(*about, "added", "retained", "changed", "dropped")
 
 
+def create(store: Store, assets: DataFrame, columns: DataFrame, note: str | None = None, tries: int = 5) -> int:
+    """V-3: a snapshot as the store's next version: `version` gets its header and `version_item` its items in one commit; its number.
+
+    The number is one more than the last that the store holds.  Writers that take the same number at once meet in
+    the commit: all but one make their snapshot anew against the winner's, with growing pauses.
+    """
+    now, numbers = staged(signatures(assets, columns)), []
+
+    def make(store: Store, base: int):
+        held = store.tables(base)
+        headers = store.read("version", base) if "version" in held else None
+        last = headers.orderBy(F.desc("version_no")).select("version_no", "signature_algo").first() if headers is not None else None
+        number = (last["version_no"] if last else 0) + 1
+        before = store.read("version_item", base).where(F.col("version_no") == last["version_no"]).drop("version_no") if last else None
+        algorithm = last["signature_algo"] if last else None
+        items = staged(snapshot(now, before, algorithm))
+        numbers.append(number)
+        return {}, {"version": header(items, number, before, note, algorithm), "version_item": items.select(F.lit(number).cast("long").alias("version_no"), "*")}
+
+    store.update(make, tries)
+    return numbers[-1]
+
+
 def history(headers: DataFrame) -> DataFrame:
     """V-7: all versions, the newest first."""
     return headers.orderBy(F.desc("version_no"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import lineage, relations, versions
+from cairn.operators.keys import staged
 from cairn.plans.registry import query
 from cairn.plans.tables import Tables
 
@@ -38,9 +39,9 @@ def lineage_upstream(t: Tables) -> DataFrame:
     return _rows(lineage.tree(t.edge, 1500, "UPSTREAM"))
 
 
-@query(f"{DOWN} {ROWS}")
+@query(f"{_walk('to_asset_id', 'from_asset_id', 1, 10)} {ROWS}")
 def lineage_levels(t: Tables) -> DataFrame:
-    return _rows(lineage.tree(t.edge, 1, form="levels"))
+    return _rows(lineage.tree(t.edge, 1, depth=10))
 
 
 CAPPED = ", kept AS (SELECT * FROM tree ORDER BY depth, node LIMIT 50)"
@@ -56,6 +57,24 @@ def lineage_edges(t: Tables) -> DataFrame:
     return lineage.trace(t.edge, t.asset, 1, limit=50).edges.select("id")
 
 
+# which nations' suppliers deliver to which: nearly every pair, so simple paths abound and the budget of 404 ends the walk in its second level
+DENSE = """, dense(id, f, g) AS (SELECT DISTINCT s_nationkey * 25 + c_nationkey, CAST(c_nationkey AS BIGINT), CAST(s_nationkey AS BIGINT) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey),
+    ways AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS BIGINT) AS edge_id UNION ALL SELECT f, 1, g, id FROM dense WHERE g = 1
+      UNION ALL SELECT b.f, 2, b.g, b.id FROM dense a JOIN dense b ON b.g = a.f WHERE a.g = 1 AND b.f <> 1),
+    some AS (SELECT * FROM ways ORDER BY depth, node, edge_id LIMIT 404), firsts AS (SELECT * FROM some QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth, edge_id) = 1)"""
+
+
+@query(f"{DENSE} SELECT node AS id, n_name AS name, CAST(depth AS BIGINT) AS depth, CAST(parent_id AS BIGINT) AS parent_id, CAST(edge_id AS BIGINT) AS edge_id, (SELECT count(*) > 404 FROM ways) AS truncated FROM firsts JOIN nation ON n_nationkey = node")
+def lineage_dense(t: Tables) -> DataFrame:
+    line, orders = t.raw("lineitem").select("l_orderkey", "l_suppkey"), t.raw("orders").select("o_orderkey", "o_custkey")
+    customer, supplier = t.raw("customer").select("c_custkey", "c_nationkey"), t.raw("supplier").select("s_suppkey", "s_nationkey")
+    pairs = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = pairs.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").cast("long").alias("from_asset_id"), F.col("s_nationkey").cast("long").alias("to_asset_id")).distinct()
+    edges = staged(pairs.withColumn("id", F.col("to_asset_id") * 25 + F.col("from_asset_id")))
+    seen = lineage.trace(edges, t.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), 1, depth=10, limit=100)
+    return seen.nodes.withColumns({"depth": F.col("depth").cast("long"), "truncated": F.lit(seen.truncated)})
+
+
 @query(f"{DOWN} SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM tree GROUP BY 1")
 def lineage_depth_histogram(t: Tables) -> DataFrame:
     return lineage.tree(t.edge, 1).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import ORIGIN_LOGICAL
 from cairn.operators import classify, documents, relations, upsert
+from cairn.operators.keys import delete, shared_dir
 from cairn.plans.registry import query
 from cairn.plans.tables import Tables
 from cairn.sources import sinks
@@ -46,6 +50,50 @@ def column_upsert_diff(t: Tables) -> DataFrame:
     return upsert.column_changes(c.where("k % 11 <> 0"), new).select("table_key", "key", "change")
 
 
+def _ddl_applied(t: Tables) -> tuple[sinks.Store, int, DataFrame]:
+    """A store with assets and columns, and over it a DDL file that makes, changes and leaves out some of both: the store, its generation before, the report."""
+    store = sinks.Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    atexit.register(delete, t.spark, store.root)
+    names = t.asset.select(F.col("id").alias("asset_id"), F.col("name").alias("table"))
+    c = t.col.join(names, "asset_id").withColumns({x: F.lit(None).cast("string") for x in ("default_val", "key_hint", "meaning")})
+    held = _facts(t.asset.where("id % 20 <> 0")).withColumns({"asset_urn": F.concat(F.lit("mysql:shop:"), "name"), "source_id": F.lit(7).cast("long")})
+    base = store.commit({"asset": held, "column": c.where("asset_id % 20 <> 0 AND k % 11 <> 0").select("id", "asset_id", "name", *upsert.COLUMN_FACTS)})
+    tables = _facts(t.asset.where("id % 23 <> 0")).drop("id").withColumn("charset", F.when(F.col("column_count") % 5 == 0, "gbk").otherwise(F.col("charset")))
+    new = c.where("asset_id % 23 <> 0 AND k % 13 <> 0").withColumns({"name": F.upper("name"), "type": F.when(F.col("k") % 15 == 0, "json").otherwise(F.col("type"))})
+    return store, base, upsert.ddl_upsert(store, tables, new, "shop.sql", "shop")
+
+
+@query("""
+    SELECT lower(a.name) AS table_key, lower(c.name) AS key, CASE WHEN k % 15 = 0 THEN 'json' ELSE type END AS type, CASE WHEN a.id % 20 <> 0 AND k % 11 <> 0 THEN c.id END AS kept_id, true AS owned
+    FROM col c JOIN asset a ON a.id = c.asset_id WHERE a.id % 23 <> 0 AND k % 13 <> 0""")
+def ddl_apply_columns(t: Tables) -> DataFrame:
+    """Columns as the commit leaves them: pinned ids, changed types, new ones under their asset's id, whether that was there or is new."""
+    store, base, _ = _ddl_applied(t)
+    before = store.read("column", base).select(F.col("id").alias("kept_id"))
+    after = store.read("column").join(store.read("asset").select(F.col("id").alias("asset_id"), F.lower("name").alias("table_key")), "asset_id", "left")
+    after = after.join(before, F.col("id") == F.col("kept_id"), "left")
+    return after.select("table_key", F.lower("name").alias("key"), "type", "kept_id", F.col("table_key").isNotNull().alias("owned"))
+
+
+@query("""
+    SELECT 'asset' AS entity, id, CAST(NULL AS BIGINT) AS asset_id FROM asset WHERE id % 20 <> 0 AND id % 23 = 0
+    UNION ALL SELECT 'column', id, asset_id FROM col WHERE asset_id % 20 <> 0 AND k % 11 <> 0 AND (asset_id % 23 = 0 OR k % 13 = 0)""")
+def ddl_apply_evictions(t: Tables) -> DataFrame:
+    """What the commit takes away: assets that the file lacks with all their columns, and columns it lacks."""
+    store, base, _ = _ddl_applied(t)
+    gone = lambda table: store.read(table, base).join(store.read(table).select("id"), "id", "left_anti")
+    return gone("asset").select(F.lit("asset").alias("entity"), "id", F.lit(None).cast("long").alias("asset_id")).unionByName(gone("column").select(F.lit("column").alias("entity"), "id", "asset_id"))
+
+
+@query("""
+    SELECT e.entity, v.change, count(x.change) AS n FROM (VALUES ('asset'), ('column')) e(entity) CROSS JOIN (VALUES ('created'), ('updated'), ('unchanged'), ('evicted')) v(change) LEFT JOIN (
+      SELECT 'asset' AS entity, CASE WHEN id % 20 = 0 THEN 'created' WHEN id % 23 = 0 THEN 'evicted' WHEN n_columns % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM asset WHERE id % 20 <> 0 OR id % 23 <> 0
+      UNION ALL SELECT 'column', CASE WHEN NOT old THEN 'created' WHEN NOT new THEN 'evicted' WHEN k % 15 = 0 THEN 'updated' ELSE 'unchanged' END FROM (SELECT k, asset_id % 20 <> 0 AND k % 11 <> 0 AS old, asset_id % 23 <> 0 AND k % 13 <> 0 AS new FROM col) c WHERE old OR new
+    ) x ON x.entity = e.entity AND x.change = v.change GROUP BY 1, 2""")
+def ddl_apply_report(t: Tables) -> DataFrame:
+    return _ddl_applied(t)[2]
+
+
 @query("SELECT id, CAST(CASE WHEN asset_id = 3 THEN max(ordinal) OVER (PARTITION BY asset_id) - ordinal ELSE ordinal END AS INT) AS ordinal FROM col")
 def columns_reorder(t: Tables) -> DataFrame:
     ids = [r["id"] for r in t.col.where("asset_id = 3").orderBy(F.desc("ordinal")).select("id").collect()]  # the columns of one table

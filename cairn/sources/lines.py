@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Environment variables and relative places that are tried in this order.
-DDL_VARIABLE, DDL_PLACES = "DAM_DDL_PATH", ["test_erp.sql", "../test_erp.sql", "../../test_erp.sql", "data/test_erp.sql"]
-MODEL_VARIABLE, MODEL_PLACES = "DAM_ERMODEL_DIR", ["er-model", "../er-model", "../../er-model"]
+from cairn.operators.keys import staged
+
+#: Environment variables, and relative places that are tried after them in this order.
+DDL_VARIABLE, DDL_PLACES = "CAIRN_DDL_PATH", ["test_erp.sql", "../test_erp.sql", "../../test_erp.sql", "data/test_erp.sql"]
+MODEL_VARIABLE, MODEL_PLACES = "CAIRN_MODEL_PATH", ["er-model", "../er-model", "../../er-model"]
 CENSUS_FILE = "00-总览与分组清单.md"
 
 
@@ -50,10 +52,16 @@ def split_lines(texts: DataFrame, doc: str = "doc", text: str = "text") -> DataF
 
 
 def read_lines(spark: SparkSession, path: str, folder: str = "") -> DataFrame:
-    """SRC-3, SRC-4: the lines of one file, or of each *.md below a folder; doc is folder/name and sorts by path."""
-    files = spark.read.text(path, wholetext=True)
-    name = F.col("_metadata.file_name")
-    return split_lines(files.select((F.concat(F.lit(f"{folder}/"), name) if folder else name).alias("doc"), F.col("value").alias("text")))
+    """SRC-3, SRC-4: (doc, line_no, line) of one file, or of each that a pattern names; doc is folder/name and sorts by path.
+
+    Files are read in byte ranges by as many tasks as Spark cuts them into; a range's first line number is the count of
+    lines in the ranges before it.  Lines end at LF, CR or CRLF.
+    """
+    place = {"doc": F.concat(F.lit(f"{folder}/" if folder else ""), F.col("_metadata.file_name")), "file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start")}
+    rows = staged(spark.read.text(path).select(F.col("value").alias("line"), *[c.alias(n) for n, c in place.items()], F.monotonically_increasing_id().alias("at")))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n")).select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
+    return rows.join(ranges, ["file", "start"]).select("doc", (F.col("at") - F.col("first") + F.col("lines") + 1).cast("int").alias("line_no"), "line")
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:

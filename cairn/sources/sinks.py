@@ -5,13 +5,18 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
+import random
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.lineage import IMPACT
 
-SCHEMA_NAME = "dam-meta/1"
+SCHEMA_NAME = "cairn-meta/1"
 
 
 # ---------------------------------------------------------------- catalog document
@@ -91,11 +96,17 @@ def side_file(rows: DataFrame, path: str) -> None:
 # ---------------------------------------------------------------- store
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first; nothing of this commit is visible."""
+
+
 class Store:
-    """Tables as Parquet generations under one folder: <table>/gen=N, the latest complete one being current.
+    """Tables as Parquet under one folder, in generations that each commit several tables at once.
 
-    A generation is complete once Spark has put its _SUCCESS mark there, so readers see the old or the
-    new one.  One writer at a time; two that take the same number meet in the second one's error.
+    Data goes to new folders <table>/<random name>.  Generation N is one file, _manifest/N.json, which lists the folders
+    of every table; it is written aside and then takes its place in one step that fails where the place is
+    taken (a hard link on local disks, elsewhere a rename as HDFS does it).  So readers see all of a
+    generation or none of it, a write that fails leaves the old one, and of two writers one gets Conflict.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -103,21 +114,77 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def generation(self, table: str) -> int:
-        at = self._path(f"{self.root}/{table}")
+    def generation(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        at = self._path(f"{self.root}/_manifest")
         if not self._fs.exists(at):
             return 0
-        done = [s.getPath() for s in self._fs.listStatus(at) if self._fs.exists(self._path(s.getPath(), "_SUCCESS"))]
-        return max([0, *(int(p.getName().removeprefix("gen=")) for p in done)])
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
+        return max([0, *(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())])
+
+    def tables(self, generation: int | None = None) -> dict[str, list[str]]:
+        """The folders of every table in a generation, the current one if none is named."""
+        n = self.generation() if generation is None else generation
+        if n == 0:
+            return {}
+        with_lines = self._fs.open(self._path(f"{self.root}/_manifest/{n}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(with_lines, "UTF-8"))
+        finally:
+            with_lines.close()
 
     def read(self, table: str, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}/gen={generation or self.generation(table)}")
-
-    def replace(self, table: str, rows: DataFrame) -> int:
-        """Writes the next generation; rows may read the current one."""
-        n = self.generation(table) + 1
-        rows.write.mode("errorifexists").parquet(f"{self.root}/{table}/gen={n}")
-        return n
-
-    def append(self, table: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{table}/gen={max(1, self.generation(table))}")
+        return self.spark.read.parquet(*(f"{self.root}/{folder}" for folder in self.tables(generation)[table]))
+
+    def commit(self, replaced: dict[str, DataFrame], appended: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
+        """The next generation: some tables replaced, some with more rows, all others as they are; its number.
+
+        Rows may read the generation `base` (the current one), on which the commit rests: Conflict if there is a later one by now.
+        """
+        base = self.generation() if base is None else base
+        now = self.tables(base)
+        for table, rows in (replaced or {}).items():
+            now[table] = [self._write(table, rows)]
+        for table, rows in (appended or {}).items():
+            now[table] = [*now.get(table, []), self._write(table, rows)]
+        self._claim(base + 1, json.dumps(now))
+        return base + 1
+
+    def update(self, make: Callable[[Store, int], tuple[dict[str, DataFrame], dict[str, DataFrame]]], tries: int = 5, pause: float = 0.02) -> int:
+        """Commits what make(store, base) gives (replaced, appended); after a Conflict it is made anew, up to `tries` times, after longer and longer pauses."""
+        for turn in range(1, tries + 1):
+            base = self.generation()
+            try:
+                return self.commit(*make(self, base), base=base)
+            except Conflict:
+                if turn == tries:
+                    raise
+                time.sleep(pause * 2**turn * random.uniform(0.5, 1.5))
+        raise ValueError("tries has to be 1 or more")
+
+    def _write(self, table: str, rows: DataFrame) -> str:
+        folder = f"{table}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _claim(self, n: int, text: str) -> None:
+        aside, place = (self._path(f"{self.root}/_manifest/{x}") for x in (f".{uuid.uuid4().hex}", f"{n}.json"))
+        out = self._fs.create(aside, False)
+        try:
+            out.write(text.encode())
+        finally:
+            out.close()
+        try:
+            if self._fs.exists(place) or not self._take(aside, place):
+                raise Conflict(f"generation {n} is there already")
+        finally:
+            self._fs.delete(aside, False)
+
+    def _take(self, aside, place) -> bool:
+        if self._fs.getUri().getScheme() != "file":
+            return self._fs.rename(aside, place)
+        try:
+            os.link(aside.toUri().getPath(), place.toUri().getPath())
+        except FileExistsError:
+            return False
+        return True

@@ -1,5 +1,8 @@
 """Calls that raise, and plain cases that the registered queries do not meet."""
 
+import random
+import time
+
 import pytest
 
 from cairn.operators import catalog, dq, lineage, versions
@@ -34,7 +37,42 @@ def test_budget_of_paths_truncates(spark):
     few = lineage.trace(_edges(spark, pairs[:13]), assets, 1, limit=13)
     assert few.truncated is True and few.nodes.count() == 13
     assert lineage.trace(_edges(spark, [(k, 1) for k in (2, 3)] + [(9, 2), (9, 3)] + [(30 + j, 9) for j in range(3)]), assets, 1, limit=1).truncated is True
-    assert lineage.trace(_edges(spark, pairs), assets, 1, form="levels").nodes.count() == 15
+    late = lineage.trace(_edges(spark, pairs), assets, 1, seconds=0)
+    assert late.truncated is True and [r.id for r in late.nodes.collect()] == [1]
+
+
+def test_a_dense_graph_ends(spark):
+    n = 300
+    edges = spark.range(n * n).selectExpr("id", "id div 300 + 1 AS from_asset_id", "id % 300 + 1 AS to_asset_id", "'c' AS from_column", "'1:N' AS cardinality", "'x' AS evidence_level", "0.5D AS confidence", "'o' AS origin")
+    edges = edges.where("from_asset_id <> to_asset_id")
+    began = time.monotonic()
+    seen = lineage.trace(edges, _assets(spark, range(1, n + 1)), 1, depth=10)
+    assert seen.truncated is True and [(r.id, r.depth) for r in seen.nodes.orderBy("depth", "id").collect()] == [(1, 0), *((i, 1) for i in range(2, 201))]
+    assert lineage.tree(edges, 1, depth=10).groupBy("depth").count().orderBy("depth").collect() == [(0, 1), (1, n - 1)]
+    assert time.monotonic() - began < 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_trace_keeps_the_first_paths_of_all(spark, seed):
+    """Small random graphs: nodes, parents and truncation as from all simple paths, listed and cut afterwards."""
+    rng, limit = random.Random(seed), 6
+    pairs = [(rng.randint(1, 9), rng.randint(1, 9)) for _ in range(22)]
+    every, ways = [(0, 1, -1, None)], [(1, (1,))]
+    for d in range(1, 7):
+        ways, found = [], [(b, path) for b, path in ways]
+        for node, path in found:
+            for e, (a, b) in enumerate(pairs):
+                if b == node and a not in path:
+                    every.append((d, a, e, node))
+                    ways.append((a, (*path, a)))
+    every.sort(key=lambda r: r[:3])
+    budget, nodes = 4 * (limit + 1), {}
+    for d, node, e, parent in every[:budget]:
+        if len(nodes) < limit:
+            nodes.setdefault(node, (d, parent, e if d else None))
+    got = lineage.trace(_edges(spark, pairs), _assets(spark, range(1, 10)), 1, limit=limit)
+    assert {r.id: (r.depth, r.parent_id, r.edge_id) for r in got.nodes.collect()} == nodes
+    assert got.truncated == (len(every) > budget or len({r[1] for r in every[:budget]}) > limit)
 
 
 def test_a_chain_broken_by_the_catalog(spark):

@@ -1,13 +1,15 @@
 """Upserts, edge passes and the generation store: idempotence, pinned ids, surviving verdicts, ordered evidence."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions.text import CONFIRMED, ORIGIN_LOGICAL, PENDING, REJECTED
-from cairn.operators import documents, relations, upsert
-from cairn.operators.keys import components, numbered
+from cairn.operators import documents, relations, upsert, versions
+from cairn.operators.keys import numbered
 from cairn.sources.lines import split_lines
-from cairn.sources.sinks import Store
+from cairn.sources.sinks import Conflict, Store
 
 CATALOG = [(1, "jf_order"), (2, "jf_customer"), (3, "jf_a"), (4, "jf_b"), (5, "jf_note")]
 DOC = "## jf_order — x\n| customer_id | bigint | FK[jf_customer·注释明示] | x | y |\n| ref_id | bigint | FK[jf_a/jf_b·x] | x | y |\n| memo | text | FK[外部·x] | x | y |\n"
@@ -111,21 +113,83 @@ def test_guards(spark):
             upsert.reorder_columns(columns, 7, wrong)
 
 
-def test_numbers_and_components(spark):
+def test_numbers(spark):
     got = [r["id"] for r in numbered(spark.range(500).withColumnRenamed("id", "k"), ["k"], 10).collect()]
     assert sorted(got) == list(range(11, 511))
-    pairs = [(str(i), str(i + 1)) for i in range(30) if i != 11] + [("z", "z")]
-    parts = {}
-    for r in components(spark.createDataFrame(pairs, "a string, b string")).collect():
-        parts.setdefault(r["component"], set()).add(r["node"])
-    assert sorted(map(len, parts.values())) == [1, 12, 19]
+
+
+def ids(df):
+    return sorted(r["id"] for r in df.collect())
 
 
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    assert store.generation("t") == 0
-    store.replace("t", spark.range(3))
-    store.replace("t", store.read("t").where("id > 0"))
-    store.append("t", spark.range(9, 10))
-    assert store.generation("t") == 2 and sorted(r["id"] for r in store.read("t").collect()) == [1, 2, 9]
-    assert store.read("t", 1).count() == 3
+    assert store.generation() == 0 and store.tables() == {}
+    store.commit({"t": spark.range(3), "u": spark.range(1)})
+    store.commit({"t": store.read("t").where("id > 0")}, {"u": spark.range(5, 6)})
+    store.commit({}, {"t": spark.range(9, 10)})
+    assert store.generation() == 3 and ids(store.read("t")) == [1, 2, 9] and ids(store.read("u")) == [0, 5]
+    assert ids(store.read("t", 1)) == [0, 1, 2] and ids(store.read("t", 2)) == [1, 2]
+
+
+def test_a_commit_is_whole_or_not_there(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.commit({"t": spark.range(3), "u": spark.range(1)})
+    with pytest.raises(Exception, match="no such row"):
+        store.commit({"t": spark.range(7), "u": spark.range(5).selectExpr("if(id = 4, cast(raise_error('no such row') AS long), id) AS id")})
+    assert store.generation() == 1 and ids(store.read("t")) == [0, 1, 2]
+    with pytest.raises(Conflict):
+        store.commit({"t": spark.range(7)}, base=0)
+    assert ids(store.read("t")) == [0, 1, 2] and [x.name for x in (tmp_path / "_manifest").iterdir() if not x.name.endswith(".crc")] == ["1.json"]
+
+
+def test_eight_writers_get_eight_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assets = spark.createDataFrame([(1, "u:a", "a"), (2, "u:b", "b")], "id long, asset_urn string, name string")
+    columns = spark.createDataFrame([(1, "x", "int", "N"), (2, "y", "int", "Y")], "asset_id long, name string, type string, nullable string")
+
+    def write(i):
+        return versions.create(Store(spark, str(tmp_path)), assets.where(f"id <= {1 + i % 2}"), columns, f"writer {i}", tries=40)
+
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(write, range(8)))
+    heads = store.read("version").orderBy("version_no").collect()
+    assert sorted(numbers) == [h["version_no"] for h in heads] == list(range(1, 9)) and len({h["note"] for h in heads}) == 8
+    assert [h["kind"] for h in heads] == ["FULL"] + ["INCREMENT"] * 7
+    # each version's items are those against the one before it
+    items, held = store.read("version_item").collect(), set()
+    for n in range(1, 9):
+        own = {r["asset_urn"]: r["change_type"] for r in items if r["version_no"] == n}
+        now = {u for u, c in own.items() if c != "DROPPED"}
+        assert {u for u, c in own.items() if c == "ADDED"} == now - held and {u for u, c in own.items() if c == "DROPPED"} == held - now
+        held = now
+    with pytest.raises(Conflict):
+        versions.create(_Behind(spark, str(tmp_path)), assets, columns, tries=2)
+
+
+class _Behind(Store):
+    """A writer that always comes too late."""
+
+    def generation(self):
+        return super().generation() - 1
+
+
+def test_ddl_upsert_is_one_commit(spark, tmp_path):
+    facts = "name string, prefix_family string, has_pk boolean, table_comment string, charset string, collate_name string, column_count int"
+    columns = "id long, asset_id long, name string, ordinal int, type string, nullable string, default_val string, key_hint string, meaning string, note string"
+    store = Store(spark, str(tmp_path))
+    store.commit({
+        "asset": spark.createDataFrame([(1, "A_x", "A_", True, "c", "u", None, 2, "owner", 9), (2, "gone", "g", True, None, None, None, 1, None, 9)], "id long, " + facts + ", steward string, source_id long"),
+        "column": spark.createDataFrame([(1, 1, "Id", 0, "int", "N", None, None, None, "kept"), (2, 1, "old", 1, "int", "N", None, None, None, None), (3, 2, "lost", 0, "int", "N", None, None, None, None)], columns),
+    })
+    tables = spark.createDataFrame([("a_X", "A_", True, "c", "u", None, 2), ("fresh", "f", None, None, None, None, 1)], facts)
+    new = spark.createDataFrame([("a_x", "ID", 0, "bigint", "N", None, None, None), ("a_x", "more", 1, "int", "Y", None, None, None), ("fresh", "id", 0, "int", "N", None, None, None)], "table string, name string, ordinal int, type string, nullable string, default_val string, key_hint string, meaning string")
+    report = {(r["entity"], r["change"]): r["n"] for r in upsert.ddl_upsert(store, tables, new, "f.sql", "db").collect()}
+    assert report == {("asset", "created"): 1, ("asset", "updated"): 0, ("asset", "unchanged"): 1, ("asset", "evicted"): 1, ("column", "created"): 2, ("column", "updated"): 1, ("column", "unchanged"): 0, ("column", "evicted"): 2}
+    assert {(r["id"], r["name"], r["source_id"], r["steward"]) for r in store.read("asset").collect()} == {(1, "A_x", 1, "owner"), (3, "fresh", 1, None)}
+    rows = {(r["id"], r["asset_id"], r["name"], r["type"], r["note"]) for r in store.read("column").collect()}
+    assert {(1, 1, "Id", "bigint", "kept")} < rows and {r[1:] for r in rows} == {(1, "Id", "bigint", "kept"), (1, "more", "int", None), (3, "id", "int", None)} and {r[0] for r in rows} == {1, 4, 5}
+    assert [tuple(r) for r in store.read("source").collect()] == [(1, "f.sql", "DDL", 2, 3)]
+    again = upsert.ddl_upsert(store, tables, new, "f.sql", "db")
+    assert {(r["entity"], r["change"]): r["n"] for r in again.collect() if r["n"]} == {("asset", "unchanged"): 2, ("column", "unchanged"): 3}
+    assert {r["source_id"] for r in store.read("asset").collect()} == {2} and store.generation() == 3
