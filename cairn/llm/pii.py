@@ -164,7 +164,8 @@ def _ip(m: str, key: Cipher) -> str:
     o = [f"cast(split({m}, '[.]')[{k}] as int)" for k in range(4)]
     perm = feistel(key, "ip", f"{o[0]} * 256 + {o[1]}", f"{o[2]} * 256 + {o[3]}", "65536", "65536")
     out = _let(perm, "p", "concat_ws('.', cast(p.l div 256 as string), cast(p.l % 256 as string), cast(p.r div 256 as string), cast(p.r % 256 as string))")
-    return f"if({' and '.join(f'{x} <= 255' for x in o)}, {out}, cast(null as string))"
+    # an octet with a leading zero has no place in the result, so such an address is none
+    return f"if({m} not rlike '(^|[.])0[0-9]' and {' and '.join(f'{x} <= 255' for x in o)}, {out}, cast(null as string))"
 
 
 def _phone(m: str, key: Cipher) -> str:
@@ -187,10 +188,14 @@ def _date(m: str, key: Cipher) -> str:
     style = f"case when {m} rlike '^[0-9]{{4}}-' then 'yyyy-MM-dd' when {m} rlike '^..[.]' then 'dd.MM.yyyy' when {day('mdy')} is not null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
     value = f"case when {m} rlike '^[0-9]{{4}}-' then {day('iso')} when {m} rlike '^..[.]' then {day('dot')} else coalesce({day('mdy')}, {day('dmy')}) end"
     # 73,049 days from 1900 to 2099: 17 x 4,297
-    perm = feistel(key, "date", "datediff(v, date'1900-01-01') div 4297", "datediff(v, date'1900-01-01') % 4297", "17", "4297")
-    new = _let(perm, "p", "date_add(date'1900-01-01', cast(p.l * 4297 + p.r as int))")
+    perm = feistel(key, "date", "datediff(w, date'1900-01-01') div 4297", "datediff(w, date'1900-01-01') % 4297", "17", "4297")
+    step = _let(perm, "p", "date_add(date'1900-01-01', cast(p.l * 4297 + p.r as int))")
+    # a day that reads as dd/mm only has to become such a one again, or it would meet an mm/dd value: on along its cycle,
+    # of which two in five days are passed over, so that 64 steps do not end before one is found
+    walk = f"aggregate(sequence(1, 64), v, (w, i) -> if(i > 1 and (f <> 'dd/MM/yyyy' or dayofmonth(w) > 12), w, {step}))"
     shown = " ".join(f"when '{f}' then date_format(w, '{f}')" for f, _ in parts.values())
-    return _let(value, "v", f"if(v between date'1900-01-01' and date'2099-12-31', {_let(new, 'w', f'case {style} {shown} end')}, cast(null as string))")
+    new = _let(style, "f", _let(walk, "w", f"case f {shown} end"))
+    return _let(value, "v", f"if(v between date'1900-01-01' and date'2099-12-31', {new}, cast(null as string))")
 
 
 def _email(m: str, key: Cipher) -> str:
