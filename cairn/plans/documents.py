@@ -16,13 +16,39 @@ BIG = "CAST({} AS BIGINT)".format
 # ---------------------------------------------------------------- DDL text
 
 
-@query("""
+PARSED = """
     SELECT a.name AS table_name, CAST(c.ordinal AS BIGINT) AS ordinal, c.name, c.type, c.nullable,
       CASE WHEN c.nullable = 'N' AND c.k % 4 = 1 THEN concat('v', CAST(c.k AS STRING)) END AS default_val,
       CASE WHEN a.has_pk AND c.name = 'col_1' THEN 'PK' END AS key_hint, CASE WHEN c.k % 5 = 0 THEN concat('it''s column ', CAST(c.k AS STRING)) END AS meaning
-    FROM asset a JOIN col c ON c.asset_id = a.id""")
+    FROM asset a JOIN col c ON c.asset_id = a.id"""
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    return ddl.columns(lines).select(F.col("table").alias("table_name"), F.col("ordinal").cast("long").alias("ordinal"), "name", "type", "nullable", "default_val", "key_hint", "meaning")
+
+
+@query(PARSED)
 def ddl_parse_columns(t: Tables) -> DataFrame:
-    return ddl.columns(t.ddl_lines).select(F.col("table").alias("table_name"), F.col("ordinal").cast("long").alias("ordinal"), "name", "type", "nullable", "default_val", "key_hint", "meaning")
+    return _parsed(t.ddl_lines)
+
+
+@query(PARSED)
+def ddl_parse_dump(t: Tables) -> DataFrame:
+    """All tables in one document, which is cut into chunks of lines for as many tasks."""
+    number = F.substring("doc", 4, 9).cast("long") * 10_000_000 + F.col("line_no")
+    return _parsed(t.ddl_lines.select(F.lit("dump").alias("doc"), number.alias("line_no"), "line"))
+
+
+@query("SELECT concat('ddl', CAST(id % 64 AS STRING)) AS doc, name FROM asset WHERE NOT coalesce(has_pk, false)")
+def ddl_tables_without_key(t: Tables) -> DataFrame:
+    return ddl.tables_without_key(t.ddl_lines)
+
+
+@query("SELECT concat('ddl', CAST(id % 64 AS STRING)) AS doc, name, CAST(2 AS BIGINT) AS n FROM asset WHERE id % 50 = 0")
+def ddl_names_created_twice(t: Tables) -> DataFrame:
+    """A DDL file to which some tables have been added a second time at its end."""
+    again = t.asset.where("id % 50 = 0").select(F.concat(F.lit("ddl"), (F.col("id") % 64).cast("string")).alias("doc"), F.explode(F.array(F.struct((F.col("id") * 2 + 10**8).alias("line_no"), F.concat(F.lit("CREATE TABLE `"), "name", F.lit("` (")).alias("line")), F.struct((F.col("id") * 2 + 10**8 + 1).alias("line_no"), F.lit(");").alias("line")))).alias("x")).select("doc", "x.*")
+    return ddl.names_created_twice(t.ddl_lines.withColumn("line_no", F.col("line_no").cast("long")).unionByName(again))
 
 
 @query("""

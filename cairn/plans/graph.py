@@ -61,7 +61,7 @@ def lineage_edges(t: Tables) -> DataFrame:
 DENSE = """, dense(id, f, g) AS (SELECT DISTINCT s_nationkey * 25 + c_nationkey, CAST(c_nationkey AS BIGINT), CAST(s_nationkey AS BIGINT) FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey),
     ways AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS BIGINT) AS edge_id UNION ALL SELECT f, 1, g, id FROM dense WHERE g = 1
       UNION ALL SELECT b.f, 2, b.g, b.id FROM dense a JOIN dense b ON b.g = a.f WHERE a.g = 1 AND b.f <> 1),
-    some AS (SELECT * FROM ways ORDER BY depth, node, edge_id LIMIT 404), firsts AS (SELECT * FROM some QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth, edge_id) = 1)"""
+    near AS (SELECT * FROM ways ORDER BY depth, node, edge_id LIMIT 404), firsts AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth, edge_id) = 1)"""
 
 
 @query(f"{DENSE} SELECT node AS id, n_name AS name, CAST(depth AS BIGINT) AS depth, CAST(parent_id AS BIGINT) AS parent_id, CAST(edge_id AS BIGINT) AS edge_id, (SELECT count(*) > 404 FROM ways) AS truncated FROM firsts JOIN nation ON n_nationkey = node")

@@ -161,33 +161,71 @@ def er_overlay_multi_parent(t: Tables) -> DataFrame:
     return relations.parents_at(relations.oriented(lines, t.asset.select("id", "name"), _own_columns(t)))
 
 
+#: Lines of the overlay's fixture: classes of id % 20, place at the position, kind, left and right end, evidence, label, columns.
+#: Odd classes are not stored; 6, 8, 10 and 14 are stored without target; up to two lines meet at a position.
+DRAWN = [
+    ((0, 1, 2, 3, 4, 5, 6, 7, 10), 0, "ONE_TO_MANY", "to", "from", "注释明示", "x", "own"),
+    ((3,), 1, "ONE_TO_ONE", "to", "from", "注释明示", "x", "own"),
+    ((5,), 1, "ONE_TO_MANY", "from", "to", "注释明示", "x", "own"),
+    ((7, 10), 1, "ONE_TO_MANY", "from", "from", "注释明示", "x", "own"),
+    ((8,), 0, "MANY_TO_ONE", "from", "to", "注释明示", "弱关联", "own"),
+    ((9,), 0, "ONE_TO_MANY", "to", "from", "注释明示", "x", "none"),
+    ((11,), 0, "ONE_TO_MANY", "to", "from", "注释明示", "x", "other"),
+    ((12,), 0, "ONE_TO_MANY", "from", "from", "注释明示", "x", "own"),
+    ((13, 14), 0, "ONE_TO_ONE", "to", "from", "注释明示", "x", "own"),
+    ((15,), 0, "AMBIGUOUS", "to", "from", "注释明示", "x", "own"),
+    ((16, 18), 0, "ONE_TO_MANY", "to", "from", "索引佐证", "x", "own"),
+    ((16, 18), 1, "MANY_TO_ONE", "from", "to", "注释明示", "x", "own"),
+    ((17,), 0, "MANY_TO_MANY", "to", "from", "注释明示", "x", "own"),
+    ((19,), 0, "UNSUPPORTED_SYMBOL", "to", "from", "注释明示", "x", "own"),
+    ((19,), 1, "ONE_TO_MANY", "nowhere", "from", "注释明示", "x", "own"),
+]
+
+
 def _overlay(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Half of the edges are stored; a line for each, every position on its own."""
+    """Every edge with two different ends takes part in one of twenty ways, on a position of its own."""
     own = F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("_id"))
-    ends = t._ends().where("to_name is not null").withColumn("from_column", own)
-    lines = ends.select(
-        F.lit("01/e").alias("doc"), F.col("id").cast("int").alias("line_no"), F.col("to_name").alias("left_table"), F.col("from_name").alias("right_table"), F.lit("ONE_TO_MANY").alias("kind"), F.lit("1:N").alias("cardinality"), F.lit("注释明示").alias("evidence_level"),
-        F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("cross_domain"), F.array("from_column").alias("from_columns"), F.lit("id").alias("to_column"), F.lit("1:N [注释明示]").alias("label"),
-    )
-    store = _store(t).withColumn("from_column", own).where("id % 2 = 0")
-    columns = ends.select(F.col("from_asset_id").alias("asset_id"), F.col("from_column").alias("name"))
-    return relations.overlay(store, lines, t.asset.select("id", "name"), columns)
+    ends = t._ends().where("to_name IS NOT NULL AND from_asset_id <> to_asset_id").withColumns({"from_column": own, "r": F.col("id") % 20})
+    end = {"to": F.col("to_name"), "from": F.col("from_name"), "nowhere": F.lit("no_such_table")}
+    names = {"own": F.array("from_column"), "other": F.array(F.lit("nope_id")), "none": F.array().cast("array<string>")}
+    cardinality = {"ONE_TO_MANY": "1:N", "MANY_TO_ONE": "1:N", "ONE_TO_ONE": "1:1"}
+
+    def drawn(nth, kind, left, right, level, label, columns, late):
+        level = F.when(F.col("r").isin(*late), "待确认").otherwise(level)
+        facts = {"line_no": (F.col("id") * 2 + nth).cast("int"), "left_table": end[left], "right_table": end[right], "kind": F.lit(kind), "cardinality": F.lit(cardinality.get(kind)).cast("string"), "evidence_level": level}
+        facts |= {"confidence": F.lit(0.8), "cross_domain": F.lit(None).cast("string"), "from_columns": names[columns], "to_column": F.lit("id"), "label": F.lit(label)}
+        return F.struct(F.lit("01/e").alias("doc"), *[c.alias(n) for n, c in facts.items()])
+
+    each = F.array_compact(F.array(*[F.when(F.col("r").isin(*classes), drawn(*rest, (3,) if rest[0] == 0 else ())) for classes, *rest in DRAWN]))
+    lines = ends.select(F.inline(each))
+    store = _store(t).withColumn("from_column", own).where("id % 2 = 0").withColumn("to_asset_id", F.when((F.col("id") % 20).isin(6, 8, 10, 14), None).otherwise(F.col("to_asset_id")))
+    owners = ends.select(F.explode(F.when(F.col("r") == 5, F.array("from_asset_id", "to_asset_id")).otherwise(F.array("from_asset_id"))).alias("asset_id"), F.col("from_column").alias("name"))
+    return relations.overlay(store, lines, t.asset.select("id", "name"), owners)
 
 
 @query("""
-    SELECT from_asset_id, to_asset_id, concat('c', CAST(id AS STRING), '_id') AS from_column, 'ER证据摘录' AS origin, '1:N' AS cardinality FROM edge WHERE id % 2 = 1 AND to_asset_id IS NOT NULL""")
+    SELECT from_asset_id, to_asset_id, concat('c', CAST(id AS STRING), '_id') AS from_column, 'ER证据摘录' AS origin, '1:N' AS cardinality, '注释明示' AS evidence_level, id % 20 = 7 AS conflict_flag
+    FROM edge WHERE id % 20 IN (1, 3, 5, 7) AND to_asset_id IS NOT NULL AND to_asset_id <> from_asset_id""")
 def er_overlay_new_edges(t: Tables) -> DataFrame:
     after, _ = _overlay(t)
-    return after.where("origin <> '逻辑FK列'").select("from_asset_id", "to_asset_id", "from_column", "origin", "cardinality")
+    return after.where("origin <> '逻辑FK列'").select("from_asset_id", "to_asset_id", "from_column", "origin", "cardinality", "evidence_level", "conflict_flag")
 
 
-@query("""
-    SELECT counter, n FROM (
-      SELECT 'new_edges' AS counter, count(*) FILTER (WHERE id % 2 = 1) AS n FROM edge WHERE to_asset_id IS NOT NULL
-      UNION ALL SELECT 'matched', count(*) FILTER (WHERE id % 2 = 0 AND confirm_status <> '驳回') FROM edge WHERE to_asset_id IS NOT NULL
-      UNION ALL SELECT 'cardinality_filled', count(*) FILTER (WHERE id % 2 = 0 AND confirm_status <> '驳回' AND cardinality IS NULL) FROM edge WHERE to_asset_id IS NOT NULL
-      UNION ALL SELECT 'evidence_upgraded', count(*) FILTER (WHERE id % 2 = 0 AND confirm_status <> '驳回' AND evidence_level <> '注释明示') FROM edge WHERE to_asset_id IS NOT NULL) x WHERE n > 0""")
+COUNTED = """, e AS (SELECT id % 20 AS r, id % 2 = 0 AND confirm_status <> '驳回' AS live, cardinality IS NULL AS bare, CASE evidence_level WHEN '注释明示' THEN 1 WHEN '索引佐证' THEN 2 ELSE 3 END AS rank
+      FROM edge WHERE to_asset_id IS NOT NULL AND to_asset_id <> from_asset_id),
+    c AS (
+      SELECT 'new_edges' AS counter, count(*) FILTER (WHERE r IN (1, 3, 5, 7)) AS n FROM e
+      UNION ALL SELECT 'matched', count(*) FILTER (WHERE r = 3 OR live AND r <> 12) + count(*) FILTER (WHERE live AND r IN (10, 16, 18)) FROM e
+      UNION ALL SELECT 'cardinality_filled', count(*) FILTER (WHERE live AND bare AND r IN (0, 2, 4, 6, 16, 18)) FROM e
+      UNION ALL SELECT 'evidence_upgraded', count(*) FILTER (WHERE r = 3 OR live AND rank > 1 AND r IN (0, 2, 4, 6, 16, 18)) + count(*) FILTER (WHERE live AND rank > 2 AND r IN (16, 18)) FROM e
+      UNION ALL SELECT 'resolved_prose', count(*) FILTER (WHERE live AND r = 6) FROM e UNION ALL SELECT 'deferred_denial', count(*) FILTER (WHERE live AND r = 8) FROM e
+      UNION ALL SELECT 'deferred_multi', 2 * count(*) FILTER (WHERE live AND r = 10) FROM e UNION ALL SELECT 'conflicts', count(*) FILTER (WHERE r = 7 OR live AND r = 12) FROM e
+      UNION ALL SELECT v.counter, count(e.r) FROM (VALUES ('skipped_reverse', 5), ('skipped_no_column', 9), ('skipped_not_owned', 11), ('skipped_ambiguous', 13), ('cardinality_clash', 15), ('skipped_multi', 17), ('skipped_unsupported', 19), ('skipped_endpoint', 19)) v(counter, r) LEFT JOIN e ON e.r = v.r GROUP BY 1)"""
+
+
+@query(f"{COUNTED} SELECT counter, n FROM c WHERE n > 0")
 def er_overlay_counters(t: Tables) -> DataFrame:
+    """All sixteen counters, with lines that meet at one position."""
     return _overlay(t)[1]
 
 
