@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import catalog, dq, lineage, upsert, versions
+from cairn.operators.keys import delete, shared_dir
 from cairn.plans.graph import ASSETS, DOWN, S12, _diff_sql, _items, _signature_sql
 from cairn.plans.registry import query
 from cairn.plans.tables import Tables
+from cairn.streaming import audit
 
 # ---------------------------------------------------------------- traces
 
@@ -134,3 +139,21 @@ def asset_by_name(t: Tables) -> DataFrame:
 def documented_names(t: Tables) -> DataFrame:
     ghost = t.spark.createDataFrame([("ghost_table",)], "name string")
     return dq.name_differences(t.asset, t.asset.where("id % 50 <> 0").select("name").unionByName(ghost))
+
+
+# ---------------------------------------------------------------- the audit trail as a stream
+
+
+@query("SELECT date_trunc('hour', at_ts) AS window_start, action, count(*) AS n FROM audit GROUP BY 1, 2 HAVING date_trunc('hour', at_ts) + INTERVAL 1 HOUR <= (SELECT max(at_ts) FROM audit) - INTERVAL 10 MINUTE")
+def audit_stream_counts(t: Tables) -> DataFrame:
+    """Counts of closed hours after the stream was stopped and started again, with a tenth of the earlier entries sent a second time."""
+    root = f"{shared_dir(t.spark)}/audit-{uuid.uuid4().hex}"
+    atexit.register(delete, t.spark, root)
+    ends = t.audit.agg(F.min("at_ts").cast("double").alias("a"), F.max("at_ts").cast("double").alias("b")).first()
+    middle = F.lit((ends["a"] + ends["b"]) / 2).cast("timestamp")
+    rows = t.audit.withColumns({c: F.lit(None).cast("string") for c in ("target", "detail")})
+    earlier, later = rows.where(F.col("at_ts") < middle), rows.where(F.col("at_ts") >= middle)
+    for part in (earlier, later.unionByName(earlier.where("id % 10 = 0"))):
+        audit.record(part, f"{root}/in")
+        audit.write(audit.action_counts(audit.entries(t.spark, f"{root}/in")), f"{root}/out", f"{root}/state").awaitTermination()
+    return t.spark.read.schema("window_start timestamp, action string, n long").parquet(f"{root}/out")

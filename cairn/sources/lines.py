@@ -68,6 +68,25 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return read_lines(spark, f"{folder}/*.md", folder.rstrip("/").rpartition("/")[2])
 
 
-def read_store(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """SRC-6: a table of an existing metadata store over JDBC; its driver has to be on Spark's class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_store(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, **options: str) -> DataFrame:
+    """SRC-6: a table of an existing metadata store over JDBC; its driver has to be on Spark's class path.
+
+    With a numeric key the table is read by that many tasks.  Their bounds are quantiles of the key, for which its column alone
+    is read first, so keys that crowd together are shared out as well; a task also reads the rows without key.
+    """
+    source = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    if key is None:
+        return source(dbtable=table).load()
+    key = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    keys = source(query=f"SELECT {key} FROM {table}").load().toDF("k")
+    cuts = keys.select(F.percentile_approx(F.col("k"), [i / partitions for i in range(1, partitions)], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    if not cuts:
+        return source(dbtable=table).load()
+    ranges = [f"{key} < {cuts[0]} OR {key} IS NULL", *(f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:])), f"{key} >= {cuts[-1]}"]
+    return spark.read.jdbc(url, table, predicates=ranges, properties=options)
+
+
+def write_store(rows: DataFrame, url: str, table: str, mode: str = "append", partitions: int = 8, **options: str) -> None:
+    """Writes rows to a table of the store, over at most `partitions` connections at once."""
+    rows.write.format("jdbc").options(url=url, dbtable=table, numPartitions=str(partitions), **options).mode(mode).save()

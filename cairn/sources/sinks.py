@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.lineage import IMPACT
+from cairn.operators.keys import staged
+from cairn.operators.lineage import IMPACT, MOST_DEPTH, find_root, impact
 
 SCHEMA_NAME = "cairn-meta/1"
 
@@ -53,6 +54,24 @@ def export_catalog(assets: DataFrame, columns: DataFrame, edges: DataFrame, path
     relation_slice(edges, assets, chosen).orderBy("id").write.json(f"{path}/relations")
 
 
+def catalog_document(assets: DataFrame, columns: DataFrame, edges: DataFrame, path: str, domain: str | None = None, grading: str | None = None) -> None:
+    """SNK-1: one JSON document of any size as text parts under path; the parts in order of their names, one behind the other, are the document.
+
+    Its lines are sorted by range: the head, assets by name, the relations' head, relations by id, the end.  Tasks write them; the
+    driver sees no line.
+    """
+    chosen = asset_documents(assets, columns, domain, grading)
+    line = lambda part, rows, key: rows.select(F.lit(part).alias("part"), key.cast("string").alias("key"), F.col("id").alias("id"), F.to_json(F.struct(*rows.columns)).alias("text"))
+    relations = relation_slice(edges, assets, chosen)
+    body = staged(line(1, chosen, F.lower("name")).unionByName(line(3, relations, F.lpad(F.col("id").cast("string"), 20, "0"))))
+    first = body.groupBy("part").agg(F.min(F.struct("key", "id")).alias("least"))
+    comma = F.when((F.struct("key", "id") == F.col("least")), "").otherwise(",")
+    lines = body.join(F.broadcast(first), "part").select("part", "key", "id", F.concat(comma, "text").alias("value"))
+    head = chosen.agg(F.lit(0).alias("part"), F.lit("").alias("key"), F.lit(0).cast("long").alias("id"), F.concat(F.lit(f'{{"schema": "{SCHEMA_NAME}", "generatedAt": "'), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('", "assetCount": '), F.count("*").cast("string"), F.lit(', "assets": [')).alias("value"))
+    rest = assets.sparkSession.createDataFrame([(2, "", 0, '], "relations": ['), (4, "", 0, "]}")], "part int, key string, id long, value string")
+    head.unionByName(lines).unionByName(rest).orderBy("part", "key", "id").select("value").write.text(path)
+
+
 def catalog_text(assets: DataFrame, columns: DataFrame, edges: DataFrame, domain: str | None = None, grading: str | None = None, form: str = "json", most: int = 10_000) -> str:
     """One JSON or YAML document of a slice of at most `most` assets; larger ones go through export_catalog."""
     chosen = asset_documents(assets, columns, domain, grading)
@@ -68,10 +87,12 @@ def catalog_text(assets: DataFrame, columns: DataFrame, edges: DataFrame, domain
 def _text(tree: dict, form: str) -> str:
     if form == "json":
         return json.dumps(tree, ensure_ascii=False, indent=2)
+    if form != "yaml":
+        raise ValueError(f"form {form!r}")
     try:
         import yaml
-    except ImportError:  # JSON is YAML too
-        return json.dumps(tree, ensure_ascii=False, indent=2)
+    except ImportError as missing:
+        raise ValueError("form 'yaml' needs the yaml package") from missing
     return yaml.safe_dump(tree, allow_unicode=True, sort_keys=False)
 
 
@@ -88,6 +109,19 @@ def impact_text(rows: DataFrame, root: str, form: str = "csv") -> str:
     return "﻿" + out.getvalue()
 
 
+def impact_file(edges: DataFrame, assets: DataFrame, name: str, depth: int = 6, form: str = "csv") -> tuple[str, str]:
+    """L-4: the file's name and text of the impact list of the asset of that name, whatever its case; NotFound, or ValueError for another form.
+
+    The file is named after the asset as the catalog spells it, in lower case, and the depth that was used.
+    """
+    form = form.strip().lower()
+    if form not in ("csv", "json", "yaml"):
+        raise ValueError(f"form {form!r}")
+    root, name = find_root(assets, name.strip())
+    depth = max(1, min(MOST_DEPTH, depth))
+    return f"impact-{name.lower()}-d{depth}.{form}", impact_text(impact(edges, assets, root, depth), name, form)
+
+
 def side_file(rows: DataFrame, path: str) -> None:
     """SNK-5: a census or comparison as pipe-delimited text."""
     rows.write.csv(path, sep="|", header=False)
