@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.keys import staged
+
 from cairn.functions.text import fully
 
 RULE = "code string, name string, category string, checker string, param string, scope_grading string, severity string, enabled boolean"
@@ -157,3 +159,82 @@ def key_cardinality(child: DataFrame, key: str) -> DataFrame:
     """I-2 on data: 1:1 where no value of the key occurs twice, else 1:N."""
     counts = child.where(F.col(key).isNotNull()).groupBy(key).count()
     return counts.agg(F.when(F.coalesce(F.max("count"), F.lit(0)) > 1, "1:N").otherwise("1:1").alias("cardinality"))
+
+
+#: The steps of evidence for a key, the strongest first.
+STEPS = ["显式外键", "注释明示", "索引佐证", "字段命名", "业务语义推断"]
+#: Names of keys that say nothing about their table.
+GENERIC = ["id", "key", "code", "no", "name"]
+SKETCH = 256
+
+
+def infer_ladder(columns: DataFrame, constraints: DataFrame) -> DataFrame:
+    """I-1: (child, fk, parent, to_column, step): the strongest evidence that a column refers to another table.
+
+    columns: (table, name, meaning, is_key), constraints as ddl.constraints gives them.  The steps, in order: a foreign key;
+    a comment that names a table; a name that means a table's key, on a column that an index begins with; such a name
+    alone; and a name that ends in a table's name.  A name means a key if it is `<table>_id` or `<table>_code`, or
+    has the key's own name behind its prefix, unless that is one that every table may have.  Names match without case.  A column may refer to
+    several tables by evidence of one step; weaker steps are then left out.
+    """
+    low = lambda c: F.lower(F.col(c))
+    bare = lambda c: F.regexp_replace(low(c), r"^[a-z]+_", "")
+    c = columns.select(F.col("table").alias("child"), F.col("name").alias("fk"), "meaning", low("name").alias("_n"), bare("name").alias("_bare"))
+    keys = columns.where("is_key").select(F.col("table").alias("parent"), F.col("name").alias("to_column"), low("table").alias("_t"), bare("name").alias("_key"))
+    foreign = constraints.where("kind = 'FOREIGN'").select(F.col("table").alias("child"), F.col("column").alias("fk"), "parent", F.col("parent_column").alias("to_column"), F.lit(0).alias("rank"))
+    words = c.select("child", "fk", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("meaning", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lower))).alias("_t"))
+    said = words.join(keys, "_t").select("child", "fk", "parent", "to_column", F.lit(1).alias("rank"))
+    stem = c.withColumn("_t", F.regexp_extract("_n", r"^(.+)_(?:id|code)$", 1)).where("_t <> ''").join(keys, "_t")
+    same = c.join(keys.where(~F.col("_key").isin(GENERIC)), F.col("_bare") == F.col("_key"))
+    led = constraints.where("kind <> 'FOREIGN' AND at = 0").select(F.lower("table").alias("_lt"), F.lower("column").alias("_lc")).distinct()
+    named = stem.select("child", "fk", "parent", "to_column").unionByName(same.select("child", "fk", "parent", "to_column")).distinct()
+    named = named.join(led, (F.lower("child") == F.col("_lt")) & (F.lower("fk") == F.col("_lc")), "left").select("child", "fk", "parent", "to_column", F.when(F.col("_lt").isNotNull(), 2).otherwise(3).alias("rank"))
+    ends = c.withColumn("_t", F.regexp_extract("_n", r"^(?:[a-z]+_)?([a-z0-9]+?)(?:_?name)?$", 1)).join(keys, "_t").select("child", "fk", "parent", "to_column", F.lit(4).alias("rank"))
+    every = foreign.unionByName(said).unionByName(named).unionByName(ends).where(F.lower("child") != F.lower("parent"))
+    best = every.groupBy("child", "fk").agg(F.min("rank").alias("best"))
+    rows = every.join(best, ["child", "fk"]).where("rank = best").groupBy("child", "fk", "parent").agg(F.min("to_column").alias("to_column"), F.min("rank").alias("rank"))
+    return rows.select("child", "fk", "parent", "to_column", F.element_at(F.array(*[F.lit(x) for x in STEPS]), F.col("rank") + 1).alias("step"))
+
+
+def sketched(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, bucket, least): of each of SKETCH buckets of a column's hashed values the least hash; sketches of parts merge by minimum."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.xxhash64(F.col(c).cast("string")).alias("h"), F.col(c).isNotNull().alias("some")) for c in columns]))
+    return rows.select(each.alias("v")).select("v.*").where("some").groupBy("column", F.pmod("h", F.lit(SKETCH)).alias("bucket")).agg(F.min("h").alias("least"))
+
+
+def tested_on_rows(candidates: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """candidates (child, fk, parent, to_column, ...) with `refuted_by` (sketch, rows or null) and n_missing, the rows of the child whose value no parent has.
+
+    A value set that lies within another has in no bucket a lesser least hash, so sketches, one pass a table, refute most wrong
+    candidates; n_missing is null for these.  Those left are settled by an anti join each.  Candidates are few: they come from names.
+    """
+    asked = candidates.select("child", "fk", "parent", "to_column").distinct().collect()
+    wanted: dict[str, set[str]] = {}
+    for r in asked:
+        wanted.setdefault(r["child"], set()).add(r["fk"])
+        wanted.setdefault(r["parent"], set()).add(r["to_column"])
+    parts = [sketched(tables[t], sorted(cs)).select(F.lit(t).alias("table"), "*") for t, cs in sorted(wanted.items())]
+    spark = candidates.sparkSession
+    if not parts:
+        return candidates.withColumns({"refuted_by": F.lit(None).cast("string"), "n_missing": F.lit(None).cast("long")})
+    all_ = staged(reduce(DataFrame.unionByName, parts))
+    ours = all_.select(F.col("table").alias("child"), F.col("column").alias("fk"), "bucket", F.col("least").alias("a"))
+    theirs = all_.select(F.col("table").alias("parent"), F.col("column").alias("to_column"), "bucket", F.col("least").alias("b"))
+    pairs = candidates.select("child", "fk", "parent", "to_column").distinct().join(ours, ["child", "fk"]).join(theirs, ["parent", "to_column", "bucket"], "left")
+    broken = {(r["child"], r["fk"], r["parent"], r["to_column"]) for r in pairs.where("b IS NULL OR b > a").select("child", "fk", "parent", "to_column").distinct().collect()}
+    found = []
+    for r in asked:
+        key = (r["child"], r["fk"], r["parent"], r["to_column"])
+        n = None if key in broken else dangling(tables[r["child"]], r["fk"], tables[r["parent"]], r["to_column"]).count()
+        found.append((*key, "sketch" if n is None else "rows" if n else None, n))
+    tested = spark.createDataFrame(found, "child string, fk string, parent string, to_column string, refuted_by string, n_missing long")
+    return candidates.join(F.broadcast(tested), ["child", "fk", "parent", "to_column"])  # a row a candidate
+
+
+def bridge_cardinality(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """I-2: (cardinality, n_pairs) between the tables that columns a and b of a bridge refer to: N:M where values of both meet several of the other."""
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct()
+    most = lambda c: pairs.groupBy(c).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_pairs"))
+    left, right = most(a).first(), most(b).first()
+    kind = {(True, True): "N:M", (True, False): "1:N", (False, True): "N:1", (False, False): "1:1"}[left["most"] > 1, right["most"] > 1]
+    return rows.sparkSession.createDataFrame([(kind, left["n_pairs"])], "cardinality string, n_pairs long")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import carried
 from cairn.operators import catalog, classify, ddl, documents, dq
+from cairn.operators.keys import staged
 from cairn.plans.registry import query
 from cairn.plans.tables import Tables
 
@@ -287,9 +290,11 @@ def edge_column_owned(t: Tables) -> DataFrame:
     return dq.unowned_columns(e, t.col).select("id")
 
 
-@query("SELECT from_asset_id, target, count(*) AS n FROM (SELECT from_asset_id, coalesce(CAST(to_asset_id AS STRING), 'raw:x') AS target FROM edge) e GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT from_asset_id, from_column, coalesce(CAST(to_asset_id AS STRING), concat('raw:', CAST(target AS STRING))) AS target, count(*) AS n FROM (SELECT * FROM edge UNION ALL SELECT * FROM edge WHERE id % 12 = 0 UNION ALL SELECT * FROM edge WHERE id % 24 = 0) e GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def edge_duplicates(t: Tables) -> DataFrame:
-    return dq.duplicate_edges(t.edge.withColumns({"from_column": F.lit("c"), "target_raw": F.lit("x")})).select("from_asset_id", "target", "n")
+    """A store in which some edges were written twice or three times."""
+    again = t.edge.unionByName(t.edge.where("id % 12 = 0")).unionByName(t.edge.where("id % 24 = 0"))
+    return dq.duplicate_edges(again.withColumn("target_raw", F.col("target").cast("string"))).select("from_asset_id", "from_column", "target", "n")
 
 
 @query("SELECT a.id, b.id AS reverse_id FROM edge a JOIN edge b ON a.from_asset_id = b.to_asset_id AND a.to_asset_id = b.from_asset_id WHERE a.from_asset_id < a.to_asset_id")
@@ -309,10 +314,46 @@ def infer_fk_by_name(t: Tables) -> DataFrame:
     return dq.infer_keys(t.spark.createDataFrame(rows, "table string, name string, is_key boolean"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}.{k}' AS reference, CASE WHEN max(n) > 1 THEN '1:N' ELSE '1:1' END AS cardinality FROM (SELECT count(*) AS n FROM {c} GROUP BY {k}) x" for c, k, _, _ in KEYS[:3]))
+@query(" UNION ALL ".join(f"SELECT '{c}.{k}' AS reference, CASE WHEN max(n) > 1 THEN '1:N' ELSE '1:1' END AS cardinality FROM (SELECT count(*) AS n FROM {c} GROUP BY {k}) x" for c, k, _, _ in KEYS))
 def infer_cardinality(t: Tables) -> DataFrame:
-    parts = [dq.key_cardinality(t.raw(c), k).select(F.lit(f"{c}.{k}").alias("reference"), "cardinality") for c, k, _, _ in KEYS[:3]]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [dq.key_cardinality(t.raw(c), k).select(F.lit(f"{c}.{k}").alias("reference"), "cardinality") for c, k, _, _ in KEYS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+BRIDGES = [("lineitem", "l_orderkey", "l_partkey"), ("lineitem", "l_orderkey", "l_suppkey"), ("lineitem", "l_partkey", "l_suppkey"), ("orders", "o_orderkey", "o_custkey")]
+BRIDGE = """SELECT '{0}.{1}.{2}' AS bridge, (SELECT CASE WHEN max(x) > 1 AND max(y) > 1 THEN 'N:M' WHEN max(x) > 1 THEN '1:N' WHEN max(y) > 1 THEN 'N:1' ELSE '1:1' END FROM (
+    SELECT count(*) OVER (PARTITION BY {1}) AS x, count(*) OVER (PARTITION BY {2}) AS y FROM (SELECT DISTINCT {1}, {2} FROM {0}) d) c) AS cardinality, (SELECT count(*) FROM (SELECT DISTINCT {1}, {2} FROM {0}) d) AS n_pairs"""
+
+
+@query(" UNION ALL ".join(BRIDGE.format(*x) for x in BRIDGES))
+def infer_bridges(t: Tables) -> DataFrame:
+    """What tables with two keys say about the tables these refer to."""
+    parts = [dq.bridge_cardinality(t.raw(n).select(a, b), a, b).select(F.lit(f"{n}.{a}.{b}").alias("bridge"), "cardinality", "n_pairs") for n, a, b in BRIDGES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: What a DDL file of the raw tables would say beside their columns' names: comments, an index, a foreign key.  `p_size` is no key of nations.
+SAID = {"l_orderkey": "关联 orders", "p_size": "关联 nation 表"}
+KEY_LINES = {"orders": "  KEY `ix` (`o_custkey`, `o_orderdate`),", "customer": "  CONSTRAINT `f` FOREIGN KEY (`c_nationkey`) REFERENCES `nation` (`n_nationkey`),"}
+LADDER = [
+    ("customer", "c_nationkey", "nation", "n_nationkey", "显式外键"), ("lineitem", "l_orderkey", "orders", "o_orderkey", "注释明示"), ("part", "p_size", "nation", "n_nationkey", "注释明示"), ("orders", "o_custkey", "customer", "c_custkey", "索引佐证"),
+    ("lineitem", "l_partkey", "part", "p_partkey", "字段命名"), ("lineitem", "l_suppkey", "supplier", "s_suppkey", "字段命名"), ("supplier", "s_nationkey", "nation", "n_nationkey", "字段命名"), ("nation", "n_regionkey", "region", "r_regionkey", "字段命名"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS child, '{k}' AS fk, '{p}' AS parent, '{step}' AS step, (SELECT count(*) = 0 FROM {c} WHERE {k} NOT IN (SELECT {pk} FROM {p})) AS holds" for c, k, p, pk, step in LADDER))
+def infer_fk_ladder(t: Tables) -> DataFrame:
+    """Keys of the raw tables by the strongest evidence a DDL file gives, tested on the rows of both tables."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+    text = []
+    for n in names:
+        text.append(f"CREATE TABLE `{n}` (")
+        text += [f"  `{c}` int COMMENT '{SAID.get(c, '')}'," for c in t.raw(n).columns]
+        text += [x for x in [KEY_LINES.get(n)] if x] + ([f"  PRIMARY KEY (`{t.raw(n).columns[0]}`)"] if n != "lineitem" else []) + [");"]
+    lines = t.spark.createDataFrame([("ddl", i, x) for i, x in enumerate(text, 1)], "doc string, line_no int, line string")
+    columns = ddl.columns(lines).select("table", "name", "meaning", F.col("primary_key").alias("is_key"))
+    found = dq.tested_on_rows(staged(dq.infer_ladder(columns, ddl.constraints(lines))), {n: t.raw(n) for n in names})
+    return found.select("child", "fk", "parent", "step", F.col("refuted_by").isNull().alias("holds"))
 
 
 # ---------------------------------------------------------------- three-level model
