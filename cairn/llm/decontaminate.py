@@ -28,6 +28,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +42,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from cairn.llm.common import Chunk, chunks, map_arrow, read, release, stage, text_bytes
 
 K1, B = 1.2, 0.75
+#: Postings whose bounds are added up at a time, some 60 bytes each.
+ENTRIES = 1 << 19
 _TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -96,8 +99,7 @@ class Index:
             self.short.setdefault(w[0], {}).setdefault(len(w), {}).setdefault(tuple(w), []).append(i)
         self.n_terms, self.n_blocks = len(self.term), -(-len(long) // block)
         self.rest = np.zeros(self.n_blocks)
-        postings: list[tuple[int, int, float]] = []
-        top: dict[tuple[int, int], float] = {}
+        term, item, impacts, essential = array("i"), array("i"), array("d"), array("b")
         for i, w in enumerate(words):
             raw = {}
             for t, n in Counter(w).items():
@@ -105,47 +107,61 @@ class Index:
                 raw[t] = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean))
             own, rest = sum(raw.values()), 0.0
             for t in sorted(raw, key=lambda t: (-df[t], t)):
-                impact, k = float(raw[t] / own), (self.term[t], i // block)
-                postings.append((k[1] * self.n_terms + k[0], i, impact))
-                if rest + impact < threshold / 2:
-                    rest += impact
-                else:
-                    top[k] = max(top.get(k, 0.0), impact)
+                impact = float(raw[t] / own)
+                light = rest + impact < threshold / 2
+                rest += impact if light else 0.0
+                term.append(self.term[t])
+                item.append(i)
+                impacts.append(impact)
+                essential.append(not light)
             self.rest[i // block] = max(self.rest[i // block], rest)
-        postings.sort()
-        self.key, self.item, self.impact = np.array([p[0] for p in postings], np.int64), np.array([p[1] for p in postings], np.int32), np.array([p[2] for p in postings])
-        pairs = sorted(top)
-        self.first = np.searchsorted([t for t, _ in pairs], np.arange(self.n_terms + 1))
-        self.blocks = np.array([b for _, b in pairs], np.int32)
-        self.top = np.array([top[p] for p in pairs])
+        term, item, impacts, essential = (np.array(x) for x in (term, item, impacts, essential))
+        key = (item // block).astype(np.int64) * self.n_terms + term
+        order = np.lexsort((item, key))
+        self.key, self.item, self.impact = key[order], item[order].astype(np.int32), impacts[order]
+        # the highest impact of each word in each block where it is essential, in order of word and block
+        at = np.flatnonzero(essential)
+        at = at[np.lexsort((item[at] // block, term[at]))]
+        new = np.flatnonzero(np.diff(key[at], prepend=-1))
+        self.first = np.searchsorted(term[at][new], np.arange(self.n_terms + 1))
+        self.blocks = (item[at][new] // block).astype(np.int32)
+        self.top = np.maximum.reduceat(impacts[at], new) if len(new) else np.zeros(0)
 
     def terms(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.term.get, words, itertools.repeat(-1)), np.int64, len(words))
 
     def passages(self, term: np.ndarray, n_words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, start, end, block) of the passages whose block bound reaches the threshold; rows lie side by side in term."""
+        """(row, start, end, block) of the passages whose block bound reaches the threshold; rows lie side by side in term.
+
+        Bounds are added up for a run of passages at a time, of about ENTRIES postings or one passage, whatever the text's length.
+        """
         at = np.flatnonzero(term >= 0)
         count = self.first[term[at] + 1] - self.first[term[at]]
         at, count = at[count > 0], count[count > 0]
-        if not len(at):
-            return
         step = self.length
         begin = np.concatenate([[0], np.cumsum(n_words)])
         row = np.searchsorted(begin, at, "right") - 1
         base = np.concatenate([[0], np.cumsum(n_words // step + 1)])
-        hit, entry = np.repeat(np.arange(len(at)), count), _ranges(self.first[term[at]], count)
-        window = ((at - begin[row]) // step)[hit]
-        key = (base[row[hit]] + window) * self.n_blocks + self.blocks[entry]
-        also = window > 0
-        key = np.concatenate([key, key[also] - self.n_blocks])
-        found, inv = np.unique(key, return_inverse=True)
-        bound = np.bincount(inv, np.concatenate([self.top[entry], self.top[entry[also]]]))
-        block = found % self.n_blocks
-        ok = bound + self.rest[block] >= self.threshold - 1e-9
-        for w, b in zip((found // self.n_blocks)[ok].tolist(), block[ok].tolist()):
-            r = int(np.searchsorted(base, w, "right")) - 1
-            start = int(begin[r]) + (w - int(base[r])) * step
-            yield r, start, min(start + 2 * step, int(begin[r + 1])), b
+        inner = (at - begin[row]) // step
+        passage, total, s, low = base[row] + inner, np.cumsum(count), 0, 0
+        while s < len(at):
+            e = max(s + 1, int(np.searchsorted(total, total[s] - count[s] + ENTRIES, "right")))
+            high = passage[e - 1]
+            e, beyond = np.searchsorted(passage, [high, high + 1], "right").tolist()
+            # a word counts for the passage that starts at its step and for the one a step before, which reaches over it
+            also = np.arange(s, beyond)
+            also = also[(inner[also] > 0) & (passage[also] > low)]
+            which = np.concatenate([np.arange(s, e), also])
+            entry = _ranges(self.first[term[at[which]]], count[which])
+            key = np.repeat(np.concatenate([passage[s:e], passage[also] - 1]), count[which]) * self.n_blocks + self.blocks[entry]
+            found, inv = np.unique(key, return_inverse=True)
+            block = found % self.n_blocks
+            ok = np.bincount(inv, self.top[entry]) + self.rest[block] >= self.threshold - 1e-9
+            for w, b in zip((found // self.n_blocks)[ok].tolist(), block[ok].tolist()):
+                r = int(np.searchsorted(base, w, "right")) - 1
+                start = int(begin[r]) + (w - int(base[r])) * step
+                yield r, start, min(start + 2 * step, int(begin[r + 1])), b
+            s, low = e, high + 1
 
     def scores(self, term: np.ndarray, block: int) -> np.ndarray:
         """Score of each item of a block for the passage of these words."""

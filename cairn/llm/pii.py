@@ -14,7 +14,8 @@ phone  +1 or bare (ddd) ddd-dddd or ddd-ddd-dddd,  the last ten digits; of other
 date   calendar days 1900-01-01 to 2099-12-31      within those days
 email  name@domain                                 letters and digits of the name, each within its kind
 
-Dates are yyyy-mm-dd, dd.mm.yyyy and mm/dd/yyyy, or dd/mm/yyyy where mm/dd/yyyy is no day.  Digits keep
+Dates are yyyy-mm-dd, dd.mm.yyyy and mm/dd/yyyy, or dd/mm/yyyy where mm/dd/yyyy is no day; such a date becomes another
+that reads as dd/mm/yyyy only.  Ten digits in a row without separators are no phone and stay.  Digits keep
 their separators, so a card number with and without spaces stays linked.  Values that fail their
 check, such as a 16-digit number with a wrong check digit, are left as they are.
 
