@@ -70,10 +70,10 @@ def upsert_relations(store: DataFrame, resolved: DataFrame, catalog: DataFrame)
     The next generation of the store is what `remaining` keeps.  Facts of the documents are refreshed;
     verdicts, flags and cardinalities stay, and no target is ever cleared.
     """
-    asked = requests(resolved, catalog)
+    asked = staged(requests(resolved, catalog))  # five plans read it
     names = catalog.select(F.col("id").alias("from_asset_id"), F.lower("name").alias("_t"))
-    pool = store.where(F.col("origin") == ORIGIN_LOGICAL).join(names, "from_asset_id").withColumn("key", _key(F.col("_t"), "from_column"))
-    pairs = matches(asked, pool)
+    pool = staged(store.where(F.col("origin") == ORIGIN_LOGICAL).join(names, "from_asset_id").select("id", "to_asset_id", _key(F.col("_t"), "from_column").alias("key")))
+    pairs = staged(matches(asked, pool))
 
     taken = asked.join(pairs, "req")
     t = lambda c: F.col(f"t.{c}")

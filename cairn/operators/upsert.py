@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import cut
+from cairn.operators.catalog import seeds
 from cairn.operators.keys import numbered, staged
 from cairn.sources.sinks import Store
 
@@ -138,3 +139,8 @@ def insert_absent(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     """U-6: stored rows and those of rows whose keys are not there yet, with new ids."""
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
     return stored.unionByName(numbered(rows.join(stored.select(*keys), keys, "left_anti"), keys, top), allowMissingColumns=True)
+
+
+def insert_seeds(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """U-6: the given tables, each with the seeds that it lacks; what it has under a seed's key stays as it is."""
+    return {t: insert_absent(rows, *seeds(rows.sparkSession)[t]) for t, rows in stored.items()}

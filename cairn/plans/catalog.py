@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,32 +85,87 @@ def version_full_after_other_algorithm(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- seeds, code values and terms
 
-CODE = "category string, code_value string, meaning string, ordinal int"
 CODES_SQL = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in catalog.CODES)
+SEEDED = f""", given(category, code_value, meaning, ordinal) AS (VALUES {CODES_SQL}),
+    codes AS (SELECT id, category, code_value, meaning, ordinal FROM code UNION ALL SELECT NULL, category, code_value, meaning, ordinal FROM given g WHERE NOT EXISTS (SELECT 1 FROM code c WHERE c.category = g.category AND c.code_value = g.code_value))"""
 
 
 def _codes(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(catalog.CODES, CODE)
-    stored = rows.where("ordinal = 1").withColumn("id", F.when(F.col("category") == "confirm_status", 7).otherwise(F.length("category")).cast("long"))
-    return upsert.insert_absent(stored, rows, ["category", "code_value"])
-
-
-SEEDED = f""", given(category, code_value, meaning, ordinal) AS (VALUES {CODES_SQL}),
-    had AS (SELECT *, CAST(CASE WHEN category = 'confirm_status' THEN 7 ELSE length(category) END AS BIGINT) AS id FROM given WHERE ordinal = 1),
-    codes AS (SELECT * FROM had UNION ALL SELECT *, (SELECT max(id) FROM had) + row_number() OVER (ORDER BY category, code_value) FROM given WHERE ordinal <> 1)"""
+    return upsert.insert_seeds({"code_value": t.code})["code_value"]
 
 
-@query(f"{SEEDED} SELECT category, code_value, meaning, ordinal, CASE WHEN ordinal = 1 THEN id END AS kept_id, (SELECT count(DISTINCT id) FROM codes) AS ids FROM codes")
+@query(f"{SEEDED} SELECT category, code_value, meaning, ordinal, id AS kept_id, (SELECT count(*) FROM codes) AS ids FROM codes")
 def seed_code_values(t: Tables) -> DataFrame:
-    # which of the new ids a row gets is not told, only that each is new
+    """Codes that the tables use, and the seeds beside them; which of the new ids a row gets is not told, only that each is new."""
     rows = _codes(t)
-    ids = rows.agg(F.countDistinct("id").alias("ids")).first()["ids"]
-    return rows.select("category", "code_value", "meaning", "ordinal", F.when(F.col("ordinal") == 1, F.col("id")).alias("kept_id"), F.lit(ids).cast("long").alias("ids"))
+    top, ids = t.code.agg(F.max("id")).first()[0], rows.agg(F.countDistinct("id")).first()[0]
+    return rows.select("category", "code_value", "meaning", "ordinal", F.when(F.col("id") <= top, F.col("id")).alias("kept_id"), F.lit(ids).cast("long").alias("ids"))
 
 
-@query(f"{SEEDED} SELECT code_value, ordinal FROM codes WHERE category = 'sensitivity_level'")
+@query(f"{SEEDED} SELECT code_value, ordinal, meaning FROM codes WHERE category = 'confirm_status'")
 def code_values_of_category(t: Tables) -> DataFrame:
-    return catalog.code_values(_codes(t), "sensitivity_level").select("code_value", "ordinal")
+    return catalog.code_values(_codes(t), "confirm_status").select("code_value", "ordinal", "meaning")
+
+
+#: Of every table with seeds: its rows by SQL, their key, a field that a seed must not change, and the seeds' keys with that field.
+SEED_PARTS = {
+    "dq_rule": ("SELECT id, code AS key, checker AS fact FROM rule", [(r[0], r[3]) for r in dq.RULES]),
+    "naming_rule": ("SELECT id, name, pattern FROM naming", [(r[0], r[2]) for r in catalog.NAMING]),
+    "standard_field": ("SELECT id, field_name, semantic FROM field", [(r[0], r[3]) for r in catalog.FIELDS]),
+    "term": ("SELECT id, CASE id WHEN 5 THEN '贸易商' ELSE name END, domain_code FROM term", [(r[0], r[1]) for r in catalog.TERMS]),
+    "user": ("SELECT id, username, role FROM member", [(r[0], r[2]) for r in catalog.USERS]),
+}
+_GIVEN = ", ".join(f"('{e}', '{k}', '{f}')" for e, (_, rows) in SEED_PARTS.items() for k, f in rows)
+_HELD = " UNION ALL ".join(f"SELECT '{e}' AS entity, x.* FROM ({sql}) x(id, key, fact)" for e, (sql, _) in SEED_PARTS.items())
+
+
+@query(f""", held AS ({_HELD}), given(entity, key, fact) AS (VALUES {_GIVEN})
+    SELECT entity, key, fact, id AS kept_id FROM held UNION ALL SELECT entity, key, fact, NULL FROM given g WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.entity = g.entity AND h.key = g.key)""")
+def seeds_inserted(t: Tables) -> DataFrame:
+    """All seeds over tables that hold one of most kinds already, under other facts, which stay."""
+    stored = {"dq_rule": t.rule, "naming_rule": t.naming, "standard_field": t.field, "term": t.term.withColumn("name", F.when(F.col("id") == 5, "贸易商").otherwise(F.col("name"))), "user": t.member}
+    shown = {"dq_rule": ("code", "checker"), "naming_rule": ("name", "pattern"), "standard_field": ("field_name", "semantic"), "term": ("name", "domain_code"), "user": ("username", "role")}
+    parts = []
+    for entity, rows in upsert.insert_seeds(stored).items():
+        top = stored[entity].agg(F.max("id")).first()[0]
+        key, fact = shown[entity]
+        parts.append(rows.select(F.lit(entity).alias("entity"), F.col(key).alias("key"), F.col(fact).alias("fact"), F.when(F.col("id") <= top, F.col("id")).alias("kept_id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""SELECT id, CASE id WHEN 2 THEN 'renamed' ELSE field_name END AS field_name, CASE id WHEN 2 THEN 'json' ELSE data_type END AS data_type, CASE WHEN id <> 2 THEN length_val END AS length_val, CASE WHEN id <> 2 THEN semantic END AS semantic, id = 2 OR enabled AS enabled
+    FROM field WHERE id <> 4 UNION ALL SELECT (SELECT max(id) FROM field) + 1, 'made', 'varchar', 30, NULL, true""")
+def dictionary_fields(t: Tables) -> DataFrame:
+    """A standard field made, one replaced by what is given, one deleted."""
+    rows = catalog.create_entry(t.field, "standard_field", field_name="made", data_type="varchar", length_val=30)
+    return catalog.delete_entry(catalog.update_entry(rows, "standard_field", 2, field_name="renamed", data_type="json"), "standard_field", 4)
+
+
+@query("""SELECT id, CASE id WHEN 2 THEN 'changed' ELSE category END AS category, CASE id WHEN 2 THEN 'x' ELSE code_value END AS code_value, CASE WHEN id <> 2 THEN meaning END AS meaning, ordinal
+    FROM code WHERE id <> 4 UNION ALL SELECT (SELECT max(id) FROM code) + 1, 'made', 'y', NULL, 0""")
+def dictionary_codes(t: Tables) -> DataFrame:
+    rows = catalog.create_entry(t.code, "code_value", category="made", code_value="y")
+    return catalog.dictionary_list(catalog.delete_entry(catalog.update_entry(rows, "code_value", 2, category="changed", code_value="x"), "code_value", 4), "code_value")
+
+
+@query("""SELECT id, name, target, pattern, description, enabled
+    FROM naming WHERE id NOT IN (2, 4) UNION ALL SELECT 2, 'two', 'column', '^[a-z]+$', NULL, false UNION ALL SELECT (SELECT max(id) FROM naming) + 1, 'made', 'table', 'a|b', 'either', true""")
+def dictionary_naming(t: Tables) -> DataFrame:
+    rows = catalog.create_entry(t.naming, "naming_rule", name="made", target="table", pattern="a|b", description="either")
+    return catalog.delete_entry(catalog.update_entry(rows, "naming_rule", 2, name="two", target="column", pattern="^[a-z]+$", enabled=False), "naming_rule", 4)
+
+
+@query("""SELECT 'summary' AS part, id AS at, name, concat(coalesce(grading, '?'), ' ', CAST(n_columns AS STRING)) AS fact FROM graded WHERE id = 8
+    UNION ALL SELECT 'column', ordinal, name, type FROM col WHERE asset_id = 8
+    UNION ALL SELECT 'out', e.id, g.name, from_column FROM edge e LEFT JOIN asset g ON g.id = e.to_asset_id WHERE e.from_asset_id = 8
+    UNION ALL SELECT 'in', e.id, f.name, from_column FROM edge e LEFT JOIN asset f ON f.id = e.from_asset_id WHERE e.to_asset_id = 8""")
+def asset_detail(t: Tables) -> DataFrame:
+    urn = t.asset.where("id = 8").select("asset_urn").first()["asset_urn"]
+    d = catalog.detail(t.graded, t.col, t.edge, urn)
+    row = lambda df, part, at, name, fact: df.select(part.alias("part"), F.col(at).cast("long").alias("at"), name.alias("name"), fact.alias("fact"))
+    said = F.concat_ws(" ", F.coalesce("grading", F.lit("?")), F.col("n_columns").cast("string"))
+    other = F.when(F.col("direction") == "out", F.col("to_name")).otherwise(F.col("from_name"))
+    return row(d["summary"], F.lit("summary"), "id", F.col("name"), said).unionByName(row(d["columns"], F.lit("column"), "ordinal", F.col("name"), F.col("type"))).unionByName(row(d["relations"], F.col("direction"), "id", other, F.col("from_column")))
 
 
 @query("""SELECT id, CASE WHEN id = 2 THEN 'renamed' ELSE name END AS name, domain_code, CASE WHEN id = 2 THEN 'PUBLISHED' ELSE status END AS status FROM term WHERE id <> 3

@@ -164,7 +164,7 @@ def section_carry_forward(t: Tables) -> DataFrame:
     return turns.select("conv_id", "turn", carried(F.when(F.col("role") == "user", F.col("turn")), "conv_id", "turn").alias("section"))
 
 
-CORE = "asset WHERE id % 10 = 0"
+CORE = "asset"
 
 
 @query(f"SELECT CASE id % 3 WHEN 0 THEN 'MASTER' WHEN 1 THEN 'TRANSACTIONAL' ELSE 'CONFIG' END AS category, lower(name) AS tokens, 'D01' AS domain_code FROM {CORE}")
@@ -188,6 +188,16 @@ def candidate_merge(t: Tables) -> DataFrame:
     return t.edge.select("id", F.array_join(F.array_sort(F.transform(merged, lambda x: F.concat_ws("/", x["target"], x["source"]))), ",").alias("merged"))
 
 
+@query("""
+    SELECT id, CASE id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1 END AS n, CASE id % 3 WHEN 1 THEN 'a/doc,b/diagram' ELSE 'b/diagram' END AS listed FROM edge""")
+def candidate_upsert(t: Tables) -> DataFrame:
+    """A candidate is added to empty, unreadable and other lists, and is there once where it already was; written and read again."""
+    stored = F.when(F.col("id") % 3 == 0, '[{"target":"b","source":"diagram"}]').when(F.col("id") % 3 == 1, '[{"target":"a","source":"doc"}]').otherwise("not json")
+    one = F.from_json(F.lit('[{"target":"b","source":"diagram"}]'), documents.CANDIDATES)[0]
+    again = documents.candidates_read(documents.candidates_write(documents.candidates_upsert(documents.candidates_read(stored), one)))
+    return t.edge.select("id", F.size(again).alias("n"), F.array_join(F.transform(again, lambda x: F.concat_ws("/", x["target"], x["source"])), ",").alias("listed"))
+
+
 # ---------------------------------------------------------------- search, glossary, audit
 
 
@@ -262,6 +272,12 @@ def dq_scan_report(t: Tables) -> DataFrame:
     return dq.scan_report(dq.scan(t.graded, t.col))
 
 
+@query(f"{SCAN}, said AS (SELECT *, CASE WHEN right(asset_urn, 1) = '7' THEN 'closed' ELSE 'open' END AS status FROM issues) SELECT rule_code, count(*) AS n FROM said WHERE status = 'open' GROUP BY 1")
+def dq_open_summary(t: Tables) -> DataFrame:
+    closed = F.when(F.right("asset_urn", F.lit(1)) == "7", "closed").otherwise(F.col("status"))
+    return dq.open_summary(dq.scan(t.graded, t.col).withColumn("status", closed))
+
+
 @query(f"{SCAN} SELECT rule_code, asset_urn, column_name FROM issues WHERE rule_code = 'R-STR-004' ORDER BY asset_urn LIMIT 50 OFFSET 100")
 def dq_issue_page(t: Tables) -> DataFrame:
     return dq.issue_page(dq.scan(t.graded, t.col), "R-STR-004", "ope", page=2).select("rule_code", "asset_urn", "column_name")
@@ -302,6 +318,28 @@ def edge_reversed_pairs(t: Tables) -> DataFrame:
     return dq.reversed_pairs(t.edge.withColumn("from_column", F.lit("c")))
 
 
+def _stored(t: Tables) -> DataFrame:
+    """Edges with traces, bases and cardinalities of which some break a rule of the store."""
+    trace = F.when(F.col("id") % 6 == 0, "来源｜未消解").when(F.col("id") % 6 == 1, "未消解｜ER消解").when(F.col("id") % 6 == 2, "来源")
+    basis = F.when(F.col("id") % 9 == 0, "注释明示｜ER佐证").when(F.col("id") % 9 == 1, "ER")
+    return t.edge.withColumns({"ingest_trace": trace, "basis_raw": basis, "cardinality": F.when(F.col("id") % 8 == 0, "N:M").otherwise(F.col("cardinality"))})
+
+
+@query("SELECT id FROM edge WHERE id % 8 = 0")
+def edge_many_to_many(t: Tables) -> DataFrame:
+    return dq.many_to_many(_stored(t)).select("id")
+
+
+@query("SELECT id FROM edge WHERE id % 6 = 0 AND to_asset_id IS NOT NULL AND origin = '逻辑FK列' AND NOT conflict_flag")
+def edge_pinned_unresolved(t: Tables) -> DataFrame:
+    return dq.pinned_but_unresolved(_stored(t)).select("id")
+
+
+@query("SELECT id FROM edge WHERE id % 9 = 0")
+def edge_impure_basis(t: Tables) -> DataFrame:
+    return dq.impure_basis(_stored(t)).select("id")
+
+
 @query("SELECT from_column, count(DISTINCT to_asset_id) AS n_targets FROM edge WHERE to_asset_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT to_asset_id) > 1")
 def same_column_multi_target(t: Tables) -> DataFrame:
     return dq.same_column_targets(t.edge)
@@ -373,6 +411,15 @@ def model_mapping(t: Tables) -> DataFrame:
     return _model(t)["mapping"].select("asset_id", "ldm_name", "pdm_name")
 
 
+@query("""SELECT name AS ldm_name, domain_code AS ldm_domain_code, name AS pdm_name, id AS asset_id, asset_urn, CAST(n_columns AS BIGINT) AS column_count, '05 §二 三分类·名称经物理目录校验' AS basis, id % 2 = 0 AS resolved
+    FROM graded WHERE id % 3 = 0 AND id = (SELECT min(id) FROM asset WHERE id % 3 = 0)""")
+def model_trace(t: Tables) -> DataFrame:
+    """The first object of the first document, while every odd asset has left the catalog since."""
+    model = _model(t)
+    key = model["bom"].join(model["mapping"].where("asset_id % 3 = 0"), "bom_key").select(F.min_by("bom_key", "asset_id").alias("k")).first()["k"]
+    return catalog.model_trace(model, t.asset.where("id % 2 = 0"), key).withColumn("column_count", F.col("column_count").cast("long"))
+
+
 @query(f"""
     SELECT item, n FROM (SELECT count(*) AS n FROM {CORE}) x, (VALUES ('bom'), ('ldm'), ('pdm'), ('mapping')) v(item) UNION ALL SELECT 'unmapped', CAST(0 AS BIGINT)
     UNION ALL SELECT CASE id % 3 WHEN 0 THEN 'MASTER' WHEN 1 THEN 'TRANSACTIONAL' ELSE 'CONFIG' END, count(*) FROM {CORE} GROUP BY 1""")

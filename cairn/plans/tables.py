@@ -46,6 +46,24 @@ TABLES = {
     "term": "SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, concat('D', lpad(CAST(s_nationkey AS STRING), 2, '0')) AS domain_code, CASE s_suppkey % 3 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'REVIEW' ELSE 'PUBLISHED' END AS status FROM {supplier}",
     "ref": "SELECT DISTINCT k AS term_id, asset_id, CASE WHEN k % 2 = 0 THEN id END AS column_id, CASE WHEN k % 2 = 0 THEN 'COLUMN' ELSE 'TABLE' END AS ref_type FROM {col} WHERE k % 5 < 2",
     "audit": "SELECT event_id AS id, concat('user', CAST(user_id AS STRING)) AS username, event_type AS action, CAST(ts AS TIMESTAMP) AS at_ts FROM {events}",
+    "code": """
+        SELECT CAST(row_number() OVER (ORDER BY category, code_value) AS BIGINT) AS id, category, code_value, concat(CAST(n AS STRING), ' rows') AS meaning,
+          CAST(row_number() OVER (PARTITION BY category ORDER BY n DESC, code_value) AS INT) AS ordinal
+        FROM (SELECT 'order_status' AS category, o_orderstatus AS code_value, count(*) AS n FROM {orders} GROUP BY o_orderstatus
+          UNION ALL SELECT 'order_priority', o_orderpriority, count(*) FROM {orders} GROUP BY o_orderpriority
+          UNION ALL SELECT 'market_segment', c_mktsegment, count(*) FROM {customer} GROUP BY c_mktsegment
+          UNION ALL SELECT 'event_type', event_type, count(*) FROM {events} GROUP BY event_type
+          UNION ALL SELECT 'confirm_status', confirm_status, count(*) FROM {edge} GROUP BY confirm_status) c""",
+    "field": """
+        SELECT max(k) + 1 AS id, CASE k WHEN 1 THEN 'remark' WHEN 3 THEN 'create_time' ELSE concat('col_', CAST(k AS STRING)) END AS field_name, min(type) AS data_type, CAST(k % 90 AS INT) AS length_val, concat(CAST(count(*) AS STRING), ' columns') AS semantic, k % 4 <> 0 AS enabled
+        FROM {col} GROUP BY k""",
+    "naming": """
+        SELECT CAST(row_number() OVER (ORDER BY p_brand) AS BIGINT) AS id, CASE p_brand WHEN 'Brand#5' THEN 'table-snake' ELSE lower(p_brand) END AS name, 'table' AS target, concat('^jf_.*_', CAST(n AS STRING), '$') AS pattern, CAST(NULL AS STRING) AS description, true AS enabled
+        FROM (SELECT p_brand, count(*) AS n FROM {part} GROUP BY p_brand) b""",
+    "rule": """
+        SELECT CAST(row_number() OVER (ORDER BY a_domain) AS BIGINT) AS id, CASE a_domain WHEN 'D05' THEN 'R-STR-003' ELSE concat('R-', a_domain) END AS code, a_domain AS name, 'structure' AS category, 'TABLE_NAMING' AS checker, concat('.*', CAST(n AS STRING)) AS param, 'A' AS scope_grading, 'low' AS severity, true AS enabled
+        FROM (SELECT a_domain, count(*) AS n FROM {asset} GROUP BY a_domain) d WHERE a_domain IS NOT NULL""",
+    "member": "SELECT user_id + 1 AS id, CASE user_id WHEN 3 THEN 'viewer' ELSE concat('user', CAST(user_id AS STRING)) END AS username, concat('User ', CAST(user_id AS STRING)) AS display, 'READONLY' AS role FROM (SELECT DISTINCT user_id FROM {events}) u",
     "graded": """
         SELECT asset.*, CASE WHEN name LIKE '%\\_bak\\_20251205125025' ESCAPE '\\' OR name LIKE 'test\\_%' ESCAPE '\\' THEN 'C' WHEN a_domain IS NOT NULL THEN 'A' WHEN name LIKE 'lcap\\_%' ESCAPE '\\' OR name LIKE 'N0DD15FF\\_%' ESCAPE '\\' THEN 'B' END AS grading,
           CASE WHEN name LIKE '%\\_bak\\_20251205125025' ESCAPE '\\' OR name LIKE 'test\\_%' ESCAPE '\\' THEN 'C' WHEN a_domain IS NOT NULL THEN a_domain WHEN name LIKE 'lcap\\_%' ESCAPE '\\' OR name LIKE 'N0DD15FF\\_%' ESCAPE '\\' THEN 'B' END AS domain_code
@@ -80,6 +98,11 @@ class Tables:
     term = cached_property(lambda self: self._derived("term"))
     ref = cached_property(lambda self: self._derived("ref"))
     audit = cached_property(lambda self: self._derived("audit"))
+    code = cached_property(lambda self: self._derived("code"))
+    field = cached_property(lambda self: self._derived("field"))
+    naming = cached_property(lambda self: self._derived("naming"))
+    rule = cached_property(lambda self: self._derived("rule"))
+    member = cached_property(lambda self: self._derived("member"))
 
     @cached_property
     def graded(self) -> DataFrame:
@@ -132,7 +155,7 @@ class Tables:
 
     @cached_property
     def core_lines(self) -> DataFrame:
-        a = self.asset.where("id % 10 = 0").select((F.col("id") % 3).alias("at"), F.col("id").alias("k"), F.concat(F.lit("| **"), "name", F.lit("**（标签"), F.col("id"), F.lit("） | D01 | 说明 |")).alias("line"))
+        a = self.asset.select((F.col("id") % 3).alias("at"), F.col("id").alias("k"), F.concat(F.lit("| **"), "name", F.lit("**（标签"), F.col("id"), F.lit("） | D01 | 说明 |")).alias("line"))
         heads = [(i, k, x) for i in range(3) for k, x in ((-3, "## 二 核心实体"), (-2, f"### 2.{i + 1} 类"), (-1, "| 实体 | 域 | 说明 |"), (10**12, "## 三 其他"), (10**12 + 1, "| no_entity | D01 | x |"))]
         return self._numbered(self.spark.createDataFrame(heads, "at long, k long, line string").unionByName(a), "05/c", "k")
 

@@ -5,7 +5,8 @@ import time
 
 import pytest
 
-from cairn.operators import catalog, dq, lineage, versions
+from cairn.operators import catalog, dq, lineage, upsert, versions
+from cairn.sources.sinks import Store
 
 EDGES = "id long, from_asset_id long, to_asset_id long, from_column string, cardinality string, evidence_level string, confidence double, origin string"
 ASSETS = "id long, name string, domain_code string, grading string"
@@ -109,3 +110,74 @@ def test_names_that_agree_leave_nothing(spark):
     names = spark.createDataFrame([("a",), ("a",), ("b",)], "name string")
     assert dq.name_differences(names, names).count() == 0
     assert [tuple(r) for r in dq.name_differences(names, names.distinct()).collect()] == [("a", "documented")]
+
+
+FIELD = "id long, field_name string, data_type string, length_val int, semantic string, enabled boolean"
+NAMING = "id long, name string, target string, pattern string, description string, enabled boolean"
+CODE = "id long, category string, code_value string, meaning string, ordinal int"
+
+
+def test_dictionary_entries(spark):
+    fields = spark.createDataFrame([(3, "b", "int", None, None, False), (5, "a", "int", 4, "x", True)], FIELD)
+    assert [r.field_name for r in catalog.dictionary_list(fields, "standard_field").collect()] == ["a", "b"]
+    made = catalog.create_entry(fields, "standard_field", field_name="c")
+    assert tuple(made.where("id = 6").first()) == (6, "c", None, None, None, True) and made.count() == 3
+    assert tuple(catalog.update_entry(fields, "standard_field", 5, field_name="z").where("id = 5").first()) == (5, "z", None, None, None, True)
+    assert [r.id for r in catalog.delete_entry(fields, "standard_field", 3).collect()] == [5]
+    with pytest.raises(catalog.RuleError):
+        catalog.create_entry(fields, "standard_field", colour="red")
+    for call in (lambda: catalog.update_entry(fields, "standard_field", 9), lambda: catalog.delete_entry(fields, "standard_field", 9)):
+        with pytest.raises(lineage.NotFound):
+            call()
+    empty = spark.createDataFrame([], NAMING)
+    assert catalog.create_entry(empty, "naming_rule", name="n", pattern="^a$").first().id == 1
+    for pattern in ("[", None):
+        with pytest.raises(catalog.RuleError):
+            catalog.create_entry(empty, "naming_rule", name="n", pattern=pattern)
+
+
+def test_code_values_in_order(spark):
+    codes = spark.createDataFrame([(1, "b", "x", None, 1), (2, "a", "y", None, 2), (3, "a", "z", None, 1), (4, "a", "w", None, 1)], CODE)
+    assert [r.id for r in catalog.dictionary_list(codes, "code_value").collect()] == [3, 4, 2, 1]
+    assert [r.id for r in catalog.dictionary_list(codes, "code_value", "a").collect()] == [3, 4, 2]
+    assert catalog.dictionary_list(codes, "code_value", " ").count() == 4
+    assert catalog.update_entry(codes, "code_value", 2, category="c", code_value="q").where("id = 2").first().ordinal == 2
+    assert catalog.create_entry(codes, "code_value", category="c", code_value="q").where("id = 5").first().ordinal == 0
+
+
+def test_entries_in_a_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "dictionary"))
+    kind = "code_value"
+    store.commit({kind: spark.createDataFrame([(1, "a", "x", None, 1)], CODE)})
+    for value in ("y", "z"):
+        store.update(lambda s, base, v=value: ({kind: catalog.create_entry(s.read(kind, base), kind, category="a", code_value=v)}, {}))
+    assert [tuple(r) for r in store.read(kind).select("id", "code_value").orderBy("id").collect()] == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_seeds_come_once(spark):
+    """Into empty tables all seeds come; a second time nothing changes."""
+    empty = {k: rows.limit(0).selectExpr("CAST(NULL AS BIGINT) AS id", "*") for k, (rows, _) in catalog.seeds(spark).items()}
+    once = upsert.insert_seeds(empty)
+    assert {k: v.count() for k, v in once.items()} == {"dq_rule": 5, "naming_rule": 2, "standard_field": 5, "code_value": 10, "term": 2, "user": 3}
+    assert all(sorted(r.id for r in v.select("id").collect()) == list(range(1, v.count() + 1)) for v in once.values())
+    again = upsert.insert_seeds(once)
+    assert all(again[k].exceptAll(once[k]).count() == 0 and again[k].count() == once[k].count() for k in once)
+
+
+def test_detail_and_trace_of_nothing(spark):
+    assets = _assets(spark, [1, 2]).selectExpr("*", "concat('u', id) AS asset_urn", "1 AS column_count")
+    columns = spark.createDataFrame([(11, 1, 1, "b"), (12, 1, 0, "a")], "id long, asset_id long, ordinal int, name string")
+    d = catalog.detail(assets, columns, _edges(spark, [(1, 1), (2, 1)]), "u1")
+    assert [r.name for r in d["columns"].collect()] == ["a", "b"] and d["summary"].first().name == "T1"
+    assert [(r.direction, r.id) for r in d["relations"].collect()] == [("out", 0), ("in", 0), ("in", 1)]
+    with pytest.raises(lineage.NotFound):
+        catalog.detail(assets, columns, _edges(spark, [(1, 1)]), "u9")
+    entities = spark.createDataFrame([("d", 1, "MASTER", "T1（x） / T2 / T1", "D09", "what")], "doc string, line_no int, category string, expression string, domain_code string, description string")
+    model = catalog.build_model(entities, assets)
+    rows = catalog.model_trace(model, assets.where("id = 2"), "d:1").orderBy("asset_id").collect()
+    assert [(r.ldm_name, r.ldm_domain_code, r.asset_urn, r.resolved) for r in rows] == [("T1", "D01", "u1", False), ("T2", "D01", "u2", True)]
+    lost = model | {"ldm": model["ldm"].where("asset_id = 2"), "pdm": model["pdm"].where("asset_id = 1")}
+    rows = catalog.model_trace(lost, assets, "d:1").orderBy("asset_id").collect()
+    assert [(r.ldm_domain_code, r.asset_urn, r.resolved) for r in rows] == [("D09", "u1", True), ("D01", None, False)]
+    with pytest.raises(lineage.NotFound):
+        catalog.model_trace(model, assets, "d:9")
