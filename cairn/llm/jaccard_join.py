@@ -23,8 +23,9 @@ reaches `percent` / 100.  The join is exact up to 64-bit hashes of words, shingl
        |X∩Y| + |X∩Z| - |X|  <=  |Y∩Z|  <=  min(|X∩Z| + |Y\\X|, |X∩Y| + |Z\\X|),
 
    and only pairs that these bounds, then the parity cells, leave open are compared.  Outsiders of a
-   list meet its members in blocks of `block_rows`, so no task holds a long list; in a block, both
-   sides are sorted by size, and slices of it meet only the sizes that they can link with.
+   list meet its members in blocks of `block_rows`, so no task holds a long list or more than the square
+   of that in pairs (some 20 bytes each); in a block, both sides are sorted by size, and slices of it meet
+   only the sizes that they can link with.  Components that sure pairs of the block join are not compared further.
 
 Lists of very frequent shingles are dealt to tasks in parts of about `list_rows` sets; the leaders of
 the parts are compared too, and step 4 sees the whole list.
@@ -305,8 +306,37 @@ def _cell_tables(blobs: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]
     return words, tables
 
 
+class _Joined:
+    """Components of a task's rows, of which some are joined by pairs that are sure to link."""
+
+    def __init__(self, components: np.ndarray):
+        self.of = np.unique(components)
+        self.root = np.arange(len(self.of))
+
+    def apart(self, a: np.ndarray, b: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """Which pairs of components still say something: the sure ones that join two, and the others of two that nothing has joined."""
+        a, b = np.searchsorted(self.of, a), np.searchsorted(self.of, b)
+        keep = (self.root[a] != self.root[b]) & ~sure
+        at = np.flatnonzero((self.root[a] != self.root[b]) & sure)
+        while len(at):
+            # of each higher root the first pair joins it to a lower one; those then joined already drop out
+            low, high = np.minimum(self.root[a[at]], self.root[b[at]]), np.maximum(self.root[a[at]], self.root[b[at]])
+            _, first = np.unique(high, return_index=True)
+            keep[at[first]] = True
+            to = np.arange(len(self.of))
+            to[high[first]] = low[first]
+            while (to[to] != to).any():
+                to = to[to]
+            self.root = to[self.root]
+            at = at[self.root[a[at]] != self.root[b[at]]]
+        return keep & (sure | (self.root[a] != self.root[b]))
+
+
 def _open_blocks(percent: int, rows: int = 128, pairs: int = 50_000):
-    """Pairs (a, b, sure) of outsiders and members of lists, in different components, that no bound rules out."""
+    """Pairs (a, b, sure) of outsiders and members of lists, in different components, that no bound rules out.
+
+    Of pairs that are sure to link, a task gives only as many as join its components, and none of two components that these join.
+    """
     enough = lambda total, both: (100 + percent) * both >= percent * total
     columns = ("list_id", "sid", "n", "pos", "leader", "leader_n", "both", "component", "outside")
 
@@ -337,12 +367,13 @@ def _open_blocks(percent: int, rows: int = 128, pairs: int = 50_000):
             t = total[i, j]
             keep = sure[i, j] | (least <= t - 2 * -(-percent * t // (100 + percent)))
             i, j = i[keep], j[keep]
-            yield np.minimum(y["sid"][i], z["sid"][j]), np.maximum(y["sid"][i], z["sid"][j]), sure[i, j]
+            yield y["sid"][i], z["sid"][j], sure[i, j], y["component"][i], z["component"][j]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
         if left.num_rows and right.num_rows:
             y, z = table(left), table(right)
+            joined = _Joined(np.concatenate([y["component"], z["component"]]))
             ids, begin = np.unique(y["list_id"], return_index=True)
             end = np.append(begin[1:], len(y["list_id"]))
             zb, ze = np.searchsorted(z["list_id"], ids, "left"), np.searchsorted(z["list_id"], ids, "right")
@@ -352,8 +383,12 @@ def _open_blocks(percent: int, rows: int = 128, pairs: int = 50_000):
                     own = part(y, s, min(s + rows, end[k]))
                     lo = np.searchsorted(sizes, -(-percent * own["n"][0] // 100), "left")
                     hi = np.searchsorted(sizes, 100 * own["n"][-1] // percent, "right")
-                    found += meet(own, part(z, zb[k] + lo, zb[k] + hi))
+                    for a, b, sure, of_a, of_b in meet(own, part(z, zb[k] + lo, zb[k] + hi)):
+                        keep = joined.apart(of_a, of_b, sure)
+                        a, b, sure = a[keep], b[keep], sure[keep]
+                        found.append((np.minimum(a, b), np.maximum(a, b), sure))
         a, b, sure = (np.concatenate(x) for x in zip(*found))
+        del found
         order = np.lexsort((~sure, b, a))
         a, b, sure = a[order], b[order], sure[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
@@ -410,7 +445,7 @@ def _open_pairs(mixed: DataFrame, classes: DataFrame, percent: int, block_rows:
     return out
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, count_rows: int = 1_000_000, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_sets: int = 8, most_hot: int = 2_000_000, broadcast_ids: int = 500_000, block_rows: int = 4_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, count_rows: int = 1_000_000, bucket_rows: int = 400_000, list_rows: int = 50_000, hot_sets: int = 8, most_hot: int = 2_000_000, broadcast_ids: int = 500_000, block_rows: int = 2_000) -> DataFrame:
     """doc_id, n_shingles, set_id, class_id and component_id of every row of docs (doc_id, text).
 
     class_id is the least doc_id with an equal set, component_id the least one reachable by links.

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from cairn.llm import jaccard_join
 from tests.llm.fixtures import folder, frame, rows, with_clashes
 
@@ -60,3 +62,31 @@ def test_small_bounds_change_nothing(spark):
 
 def test_empty_table(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
+
+
+def test_sure_pairs_join_components_once():
+    """Of random pairs in batches: the sure ones kept are a spanning forest, and no other of two components so joined is kept after it."""
+    rng = np.random.default_rng(4)
+    names = rng.permutation(10**6)[:300]
+
+    def roots(pairs):
+        root = {int(n): int(n) for n in names}
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            if x != y:
+                root = {n: x if r == y else r for n, r in root.items()}
+        return root
+
+    joined, kept, every, loose = jaccard_join._Joined(names), [], [], []
+    for _ in range(6):
+        a, b, sure = rng.choice(names, 70), rng.choice(names, 70), rng.random(70) < 0.5
+        keep = joined.apart(a, b, sure)
+        pairs = list(zip(a.tolist(), b.tolist()))
+        every += [p for p, s in zip(pairs, sure) if s]
+        kept += [p for p, s, k in zip(pairs, sure, keep) if s and k]
+        now = roots(every)
+        assert all((now[x] != now[y]) == k for (x, y), s, k in zip(pairs, sure, keep.tolist()) if not s)
+        loose += [p for p, s in zip(pairs, sure) if not s]
+    one, all_ = roots(kept), roots(every)
+    same = lambda r: {(x, y) for x in r for y in r if r[x] == r[y]}
+    assert same(one) == same(all_) and len(kept) == len(names) - len(set(one.values())) and loose
