@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import ORIGIN_LOGICAL
@@ -110,9 +110,19 @@ def governance_patch(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- edges of logical models
 
 
+def _id() -> Column:
+    """Edges of the two kinds share numbers from a million tables on, so the store's id also tells the kind."""
+    return F.col("id") * 2 + (F.col("from_asset_id") != F.col("id")).cast("long")
+
+
+def _number() -> Column:
+    """The number of an edge again, from its id in the store."""
+    return F.expr("id div 2")
+
+
 def _store(t: Tables) -> DataFrame:
     names = t.asset.select(F.col("id").alias("to_asset_id"), F.col("name").alias("_n"))
-    e = t.edge.join(names, "to_asset_id", "left")
+    e = t.edge.withColumn("id", _id()).join(names, "to_asset_id", "left")
     null = {c: F.lit(None).cast("string") for c in ("to_column", "cross_domain", "basis_raw", "ingest_trace", "source_doc", "discriminator")}
     return e.withColumns(null | {"target_raw": F.coalesce("_n", F.lit("外部系统")), "origin": F.lit(ORIGIN_LOGICAL), "is_inferred": F.lit(True), "candidate_targets": F.array().cast(documents.CANDIDATES)}).select(*relations.NAMES)
 
@@ -129,7 +139,7 @@ def _relation_changes(t: Tables) -> DataFrame:
 @query("SELECT id, CASE WHEN id % 13 <> 0 THEN 'reused' WHEN id % 17 = 0 THEN 'stale_kept' ELSE 'removed' END AS action, confirm_status, conflict_flag OR (id % 13 = 0 AND id % 17 = 0) AS conflict_flag FROM edge")
 def rel_upsert_stored(t: Tables) -> DataFrame:
     """Ids pinned, verdicts kept, stale edges removed or kept for review."""
-    return _relation_changes(t).where("action <> 'created'").select("id", "action", "confirm_status", "conflict_flag")
+    return _relation_changes(t).where("action <> 'created'").select(_number().alias("id"), "action", "confirm_status", "conflict_flag")
 
 
 @query("""
@@ -142,7 +152,7 @@ def rel_upsert_report(t: Tables) -> DataFrame:
 
 @query("SELECT id, CASE WHEN id % 17 = 0 THEN 'kept' ELSE 'removed' END AS dangling FROM edge WHERE from_asset_id % 31 = 0 OR to_asset_id % 31 = 0")
 def rel_dangling_sweep(t: Tables) -> DataFrame:
-    return relations.sweep_dangling(_store(t), t.asset.where("id % 31 <> 0").select("id", "name")).where("dangling is not null").select("id", "dangling")
+    return relations.sweep_dangling(_store(t), t.asset.where("id % 31 <> 0").select("id", "name")).where("dangling is not null").select(_number().alias("id"), "dangling")
 
 
 # ---------------------------------------------------------------- diagram evidence
@@ -185,7 +195,7 @@ DRAWN = [
 def _overlay(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Every edge with two different ends takes part in one of twenty ways, on a position of its own."""
     own = F.concat(F.lit("c"), F.col("id").cast("string"), F.lit("_id"))
-    ends = t._ends().where("to_name IS NOT NULL AND from_asset_id <> to_asset_id").withColumns({"from_column": own, "r": F.col("id") % 20})
+    ends = t._ends().where("to_name IS NOT NULL AND from_asset_id <> to_asset_id").withColumn("r", F.col("id") % 20).withColumn("id", _id()).withColumn("from_column", own)
     end = {"to": F.col("to_name"), "from": F.col("from_name"), "nowhere": F.lit("no_such_table")}
     names = {"own": F.array("from_column"), "other": F.array(F.lit("nope_id")), "none": F.array().cast("array<string>")}
     cardinality = {"ONE_TO_MANY": "1:N", "MANY_TO_ONE": "1:N", "ONE_TO_ONE": "1:1"}
@@ -198,7 +208,7 @@ def _overlay(t: Tables) -> tuple[DataFrame, DataFrame]:
 
     each = F.array_compact(F.array(*[F.when(F.col("r").isin(*classes), drawn(*rest, (3,) if rest[0] == 0 else ())) for classes, *rest in DRAWN]))
     lines = ends.select(F.inline(each))
-    store = _store(t).withColumn("from_column", own).where("id % 2 = 0").withColumn("to_asset_id", F.when((F.col("id") % 20).isin(6, 8, 10, 14), None).otherwise(F.col("to_asset_id")))
+    store = _store(t).withColumn("from_column", own).where(_number() % 2 == 0).withColumn("to_asset_id", F.when((_number() % 20).isin(6, 8, 10, 14), None).otherwise(F.col("to_asset_id")))
     owners = ends.select(F.explode(F.when(F.col("r") == 5, F.array("from_asset_id", "to_asset_id")).otherwise(F.array("from_asset_id"))).alias("asset_id"), F.col("from_column").alias("name"))
     return relations.overlay(store, lines, t.asset.select("id", "name"), owners)
 
@@ -208,7 +218,9 @@ def _overlay(t: Tables) -> tuple[DataFrame, DataFrame]:
     FROM edge WHERE id % 20 IN (1, 3, 5, 7) AND to_asset_id IS NOT NULL AND to_asset_id <> from_asset_id""")
 def er_overlay_new_edges(t: Tables) -> DataFrame:
     after, _ = _overlay(t)
-    return after.where("origin <> '逻辑FK列'").select("from_asset_id", "to_asset_id", "from_column", "origin", "cardinality", "evidence_level", "conflict_flag")
+    number = F.regexp_extract("from_column", "[0-9]+", 0).cast("long")
+    named = after.where("origin <> '逻辑FK列'").select("*", number.alias("column_id")).withColumn("from_column", F.expr("concat('c', column_id div 2, '_id')"))
+    return named.select("from_asset_id", "to_asset_id", "from_column", "origin", "cardinality", "evidence_level", "conflict_flag")
 
 
 COUNTED = """, e AS (SELECT id % 20 AS r, id % 2 = 0 AND confirm_status <> '驳回' AS live, cardinality IS NULL AS bare, CASE evidence_level WHEN '注释明示' THEN 1 WHEN '索引佐证' THEN 2 ELSE 3 END AS rank
