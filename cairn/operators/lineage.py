@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cairn.operators.keys import staged
 
-#: Levels of a trace, nodes of a view, and seconds after which a trace ends.
+#: Levels of a trace, nodes of a view, and seconds after which a call's trace ends.
 MOST_DEPTH, NODE_LIMIT, SECONDS = 10, 200, 15.0
 
 
@@ -55,7 +55,7 @@ def tree(edges: DataFrame, root: int, direction: str = "DOWNSTREAM", depth: int
     return seen
 
 
-def _walk(steps: DataFrame, root: int, depth: int, budget: int, seconds: float) -> tuple[list[tuple], bool]:
+def _walk(steps: DataFrame, root: int, depth: int, budget: int, seconds: float | None) -> tuple[list[tuple], bool]:
     """(node, depth, parent, edge_id) of paths without repeated nodes, the first by (depth, node, edge_id), and whether there are more.
 
     A level's paths are as many as the budget leaves; the next level starts only from all of them, so a
@@ -65,8 +65,8 @@ def _walk(steps: DataFrame, root: int, depth: int, budget: int, seconds: float)
     spark, began = steps.sparkSession, time.monotonic()
     rows, front = [(root, 0, None, None)], [(root, [root])]
     for d in range(1, depth + 1):
-        left = began + seconds - time.monotonic()
-        if left <= 0:
+        left = None if seconds is None else began + seconds - time.monotonic()
+        if left is not None and left <= 0:
             return rows, True
         here = spark.createDataFrame(front, "here long, path array<long>")
         onward = steps.join(F.broadcast(here), "here").where(~F.array_contains("path", F.col("there"))).orderBy("there", "edge_id").limit(budget + 1 - len(rows))
@@ -82,8 +82,10 @@ def _walk(steps: DataFrame, root: int, depth: int, budget: int, seconds: float)
     return rows, False
 
 
-def _within(spark: SparkSession, df: DataFrame, seconds: float) -> list | None:
-    """The rows of df, a bounded number; None where they take longer than so many seconds, and their jobs are then ended."""
+def _within(spark: SparkSession, df: DataFrame, seconds: float | None) -> list | None:
+    """The rows of df, a bounded number; None where they take longer than so many seconds, if any are set, and their jobs are then ended."""
+    if seconds is None:
+        return df.collect()
     tag, late = f"trace-{uuid.uuid4().hex}", threading.Event()
 
     def stop():
@@ -104,12 +106,13 @@ def _within(spark: SparkSession, df: DataFrame, seconds: float) -> list | None:
         spark.removeTag(tag)
 
 
-def trace(edges: DataFrame, assets: DataFrame, root: int, direction: str = "DOWNSTREAM", depth: int = 6, limit: int = NODE_LIMIT, seconds: float = SECONDS) -> Trace:
+def trace(edges: DataFrame, assets: DataFrame, root: int, direction: str = "DOWNSTREAM", depth: int = 6, limit: int = NODE_LIMIT, seconds: float | None = None) -> Trace:
     """The first `limit` nodes by (depth, id), those of them in the catalog, and every edge among these.
 
     The limit counts ids before the catalog is asked.  It is the view's size, as the feature wants it.  A
     trace looks at 4 (limit + 1) paths, the shortest ones; it is truncated where there are more paths or
-    nodes, or where it takes longer than `seconds`: then it holds the levels that have ended.
+    nodes, or where it takes longer than `seconds`: then it holds the levels that have ended.  Without
+    `seconds` a trace depends on the edges alone; calls that somebody waits for set them.
     """
     spark = edges.sparkSession
     rows, over = _walk(_steps(edges, direction), int(root), max(1, min(MOST_DEPTH, depth)), 4 * (limit + 1), seconds)
@@ -131,9 +134,9 @@ def find_root(assets: DataFrame, name: str) -> tuple[int, str]:
     return row["id"], row["name"]
 
 
-def lookup(edges: DataFrame, assets: DataFrame, name: str, direction: str = "DOWNSTREAM", depth: int = 6, limit: int = NODE_LIMIT) -> Trace:
+def lookup(edges: DataFrame, assets: DataFrame, name: str, direction: str = "DOWNSTREAM", depth: int = 6, limit: int = NODE_LIMIT, seconds: float | None = SECONDS) -> Trace:
     """L-3: the trace of the asset of that name, whatever its case; NotFound or ValueError where name or direction is wrong."""
-    return trace(edges, assets, find_root(assets, name)[0], direction, depth, limit)
+    return trace(edges, assets, find_root(assets, name)[0], direction, depth, limit, seconds)
 
 
 def paths(nodes: DataFrame) -> DataFrame:

@@ -18,3 +18,13 @@ def test_edges_of_one_number(spark, duck, tmp_path, monkeypatch, name):  # noqa:
     assert text in registry.ORACLES[name]
     want = duck.sql(registry.ORACLES[name].replace(text, f"SELECT * FROM '{tmp_path}/edge/*.parquet'"))
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["impact_by_domain", "lineage_by_name", "lineage_capped"])
+def test_a_slow_machine_changes_no_result(spark, duck, monkeypatch, name):  # noqa: F811
+    """Traces of queries end by their budget, however long a level takes."""
+    clock = iter(range(0, 10**9, 100))
+    monkeypatch.setattr("cairn.operators.lineage.time.monotonic", lambda: next(clock))
+    got = registry.QUERIES[name](spark, SF)
+    want = duck.sql(registry.ORACLES[name])
+    assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
