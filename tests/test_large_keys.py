@@ -2,6 +2,7 @@
 
 import pytest
 
+from cairn.operators import versions
 from cairn.plans import registry
 from cairn.plans.tables import RAW, TABLES, Tables
 from tests.test_oracles import SF, _rows, duck  # noqa: F401  a fixture
@@ -28,3 +29,12 @@ def test_a_slow_machine_changes_no_result(spark, duck, monkeypatch, name):  # no
     got = registry.QUERIES[name](spark, SF)
     want = duck.sql(registry.ORACLES[name])
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
+
+
+def test_a_version_header_is_made_once(spark, tmp_path):
+    """Its counts go over whole catalogs, so what `get` has looked up is not computed again."""
+    path = tmp_path / "headers"
+    spark.createDataFrame([(1, "FULL"), (2, "INCREMENT")], "version_no long, kind string").write.parquet(str(path))
+    one = versions.get(spark.read.parquet(str(path)), 2)
+    path.rename(tmp_path / "moved")
+    assert [tuple(r) for r in one.collect()] == [(2, "INCREMENT")]
