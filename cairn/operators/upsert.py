@@ -79,19 +79,35 @@ def applied(old: DataFrame, changes: DataFrame, schema: str, source_id: int) ->
     return same.unionByName(new, allowMissingColumns=True).withColumn("source_id", F.lit(source_id).cast("long"))
 
 
-def applied_columns(old: DataFrame, changes: DataFrame, assets: DataFrame) -> DataFrame:
-    """The columns after the upsert, of the assets (id, name) that it leaves: ids pinned, facts that changed taken over.
+def owned_changes(old: DataFrame, new: DataFrame, assets: DataFrame, after: DataFrame) -> DataFrame:
+    """(change, lives, all columns of old): column_changes of a DDL file (table, name, facts) by the ids of the tables, not their names.
+
+    assets are those before the upsert, after those it leaves; lives: the column's table is among these.  What a
+    column has beside its facts, its spelling too, stays.  Names of tables meet ids once, in one shuffle; from
+    there on both sides carry ids alone.
+    """
+    ids = after.select(F.lower("name").alias("_key"), F.col("id").alias("asset_id"), F.lit(True).alias("lives"))
+    left = assets.select(F.lower("name").alias("_key"), "id").join(after.select("id"), "id", "left_anti")
+    known = ids.unionByName(left.select("_key", F.col("id").alias("asset_id"), F.lit(False).alias("lives")))
+    first = Window.partitionBy(F.lower("table"), F.lower("name")).orderBy("ordinal")
+    named = new.select("table", "name", *COLUMN_FACTS).join(known, F.lower("table") == F.col("_key"), "left").withColumn("_n", F.row_number().over(first))
+    n = named.where("_n = 1").select("asset_id", "name", "lives", F.lit(True).alias("_new"), *COLUMN_FACTS).alias("n")
+    o = old.alias("o")
+    change = F.when(F.col("o.id").isNull(), "created").when(F.col("_new").isNull(), "evicted").when(_differs(COLUMN_FACTS), "updated").otherwise("unchanged")
+    facts = {c: F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in COLUMN_FACTS} | {c: F.coalesce(f"o.{c}", f"n.{c}") for c in ("name", "asset_id")}
+    joined = o.join(n, (F.col("o.asset_id") == F.col("n.asset_id")) & (F.lower("o.name") == F.lower("n.name")), "full_outer")
+    return joined.select(change.alias("change"), F.coalesce("lives", F.lit(False)).alias("lives"), *[facts.get(c, F.col(f"o.{c}")).alias(c) for c in old.columns])
+
+
+def applied_columns(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """The columns after the upsert, from owned_changes: ids pinned, facts that changed taken over.
 
     Columns whose table is gone go with it, whatever `changes` says of them; another spelling of a name changes nothing.
     """
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    owner = assets.select(F.col("id").alias("asset_id"), F.lower("name").alias("table_key"))
-    live = changes.where("change <> 'evicted'").join(owner, "table_key")
-    made = numbered(live.where("change = 'created'").drop("id"), ["table_key", "key"], top)
-    kept = live.where("change <> 'created'").select("id", *COLUMN_FACTS)
-    rest = [c for c in old.columns if c not in COLUMN_FACTS]
-    same = old.select(*rest).join(kept, "id")
-    return same.unionByName(made.select("id", "asset_id", "name", *COLUMN_FACTS), allowMissingColumns=True).select(*old.columns)
+    live = changes.where("change <> 'evicted' AND lives")
+    made = numbered(live.where("change = 'created'").drop("id").withColumn("_key", F.lower("name")), ["asset_id", "_key"], top)
+    return live.where("change <> 'created'").select(*old.columns).unionByName(made.select(*old.columns))
 
 
 def ddl_upsert(store: Store, tables: DataFrame, columns: DataFrame, source: str, schema: str) -> DataFrame:
@@ -103,14 +119,13 @@ def ddl_upsert(store: Store, tables: DataFrame, columns: DataFrame, source: str,
     base = store.generation()
     assets, owned = store.read("asset", base), store.read("column", base)
     asset_diff = staged(asset_changes(assets, tables))
-    named = owned.join(assets.select(F.col("id").alias("asset_id"), F.col("name").alias("table")), "asset_id")
-    column_diff = staged(column_changes(named, columns))
     known = store.read("source", base) if "source" in store.tables(base) else None
     number = (known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"] if known is not None else 0) + 1
     after = staged(applied(assets, asset_diff, schema, number))
+    column_diff = staged(owned_changes(owned, columns, assets, after))
     n_tables, n_columns = tables.select(F.countDistinct(F.lower("name"))).first()[0], columns.count()
     one = store.spark.createDataFrame([(number, source, "DDL", n_tables, n_columns)], "id long, name string, type string, table_count long, column_count long")
-    store.commit({"asset": after, "column": applied_columns(owned, column_diff, after)}, {"source": one}, base)
+    store.commit({"asset": after, "column": applied_columns(owned, column_diff)}, {"source": one}, base)
     reports = [upsert_report(d).select(F.lit(e).alias("entity"), "change", "n") for e, d in (("asset", asset_diff), ("column", column_diff))]
     return reports[0].unionByName(reports[1])
 

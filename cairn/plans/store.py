@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import ORIGIN_LOGICAL
 from cairn.operators import classify, documents, relations, upsert
-from cairn.operators.keys import delete, shared_dir
+from cairn.operators.keys import delete, shared_dir, staged
 from cairn.plans.registry import query
 from cairn.plans.tables import Tables
 from cairn.sources import sinks
@@ -55,7 +55,7 @@ def _ddl_applied(t: Tables) -> tuple[sinks.Store, int, DataFrame]:
     store = sinks.Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
     atexit.register(delete, t.spark, store.root)
     names = t.asset.select(F.col("id").alias("asset_id"), F.col("name").alias("table"))
-    c = t.col.join(names, "asset_id").withColumns({x: F.lit(None).cast("string") for x in ("default_val", "key_hint", "meaning")})
+    c = staged(t.col.join(names, "asset_id")).withColumns({x: F.lit(None).cast("string") for x in ("default_val", "key_hint", "meaning")})  # three plans read it
     held = _facts(t.asset.where("id % 20 <> 0")).withColumns({"asset_urn": F.concat(F.lit("mysql:shop:"), "name"), "source_id": F.lit(7).cast("long")})
     base = store.commit({"asset": held, "column": c.where("asset_id % 20 <> 0 AND k % 11 <> 0").select("id", "asset_id", "name", *upsert.COLUMN_FACTS)})
     tables = _facts(t.asset.where("id % 23 <> 0")).drop("id").withColumn("charset", F.when(F.col("column_count") % 5 == 0, "gbk").otherwise(F.col("charset")))
@@ -70,8 +70,8 @@ def ddl_apply_columns(t: Tables) -> DataFrame:
     """Columns as the commit leaves them: pinned ids, changed types, new ones under their asset's id, whether that was there or is new."""
     store, base, _ = _ddl_applied(t)
     before = store.read("column", base).select(F.col("id").alias("kept_id"))
-    after = store.read("column").join(store.read("asset").select(F.col("id").alias("asset_id"), F.lower("name").alias("table_key")), "asset_id", "left")
-    after = after.join(before, F.col("id") == F.col("kept_id"), "left")
+    after = store.read("column").join(before, F.col("id") == F.col("kept_id"), "left").select("asset_id", "name", "type", "kept_id")
+    after = after.join(store.read("asset").select(F.col("id").alias("asset_id"), F.lower("name").alias("table_key")), "asset_id", "left")
     return after.select("table_key", F.lower("name").alias("key"), "type", "kept_id", F.col("table_key").isNotNull().alias("owned"))
 
 

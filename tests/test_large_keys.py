@@ -2,7 +2,7 @@
 
 import pytest
 
-from cairn.operators import versions
+from cairn.operators import upsert, versions
 from cairn.plans import registry
 from cairn.plans.tables import RAW, TABLES, Tables
 from tests.test_oracles import SF, _rows, duck  # noqa: F401  a fixture
@@ -38,3 +38,16 @@ def test_a_version_header_is_made_once(spark, tmp_path):
     one = versions.get(spark.read.parquet(str(path)), 2)
     path.rename(tmp_path / "moved")
     assert [tuple(r) for r in one.collect()] == [(2, "INCREMENT")]
+
+
+def test_columns_meet_by_ids_of_their_tables(spark):
+    """Columns of a table that goes, of one the store does not know, doubled ones, and one of the same name in another table."""
+    facts = "ordinal int, type string, nullable string, default_val string, key_hint string, meaning string"
+    rest = (None, None, None)
+    assets, after = (spark.createDataFrame(x, "id long, name string") for x in ([(1, "A"), (2, "gone")], [(1, "A"), (3, "b")]))
+    old = spark.createDataFrame([(7, 1, "X", 0, "int", "N", *rest, "note"), (8, 2, "x", 0, "int", "N", *rest, None), (9, 2, "y", 1, "int", "N", *rest, None)], f"id long, asset_id long, name string, {facts}, note string")
+    new = spark.createDataFrame([("a", "x", 0, "json", "N", *rest), ("a", "X", 5, "text", "N", *rest), ("B", "x", 0, "int", "N", *rest), ("gone", "x", 0, "int", "N", *rest), ("nowhere", "x", 0, "int", "N", *rest)], f"table string, name string, {facts}")
+    changes = upsert.owned_changes(old, new, assets, after)
+    got = {tuple(r) for r in changes.select("change", "lives", "id", "asset_id", "name", "type", "note").collect()}
+    assert got == {("updated", True, 7, 1, "X", "json", "note"), ("created", True, None, 3, "x", "int", None), ("unchanged", False, 8, 2, "x", "int", None), ("evicted", False, 9, 2, "y", "int", None), ("created", False, None, None, "x", "int", None)}
+    assert sorted(tuple(r) for r in upsert.applied_columns(old, changes).select("id", "asset_id", "name", "type").collect()) == [(7, 1, "X", "json"), (10, 3, "x", "int")]
