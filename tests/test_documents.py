@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions.text import trim
 from cairn.operators import classify, ddl, documents
 from cairn.sources.lines import split_lines
 
@@ -123,3 +124,35 @@ def test_grading_and_families(spark):
     df = spark.createDataFrame(rows, "name string, a string").select("name", classify.grading("name", "a").alias("g"), classify.prefix_family("name").alias("f"))
     assert [r["g"] for r in df.collect()] == ["C", "C", "A", "B", "B", "B", None, None, None]
     assert [r["f"] for r in df.collect()] == ["*_bak(date)", "test_", "jf_", "lcap_", "N0DD15FF(hex)", "P3B9E1A2(hex)", "mystery_", "*_copy", "(no-prefix)"]
+
+
+def test_column_patterns_run_once_a_line(spark):
+    """Patterns are what the parser costs: COLUMN runs for the name and for the rest, TYPE once, and no trimming is a pattern."""
+    plan = ddl.columns(lines(spark, DDL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(ddl.COLUMN) == 2 and plan.count(ddl.TYPE) == 1
+    assert r"[\x00-\x20]+" not in plan
+
+
+def test_ddl_odd_columns(spark):
+    text = "\n".join([
+        "CREATE TABLE `t` (",
+        "  `a` \x01 INT  UNSIGNED\tNOT NULL ,  ",
+        "\t`b` 'odd',",
+        "  `c`",
+        "  `d` int default 'x' Comment 'a'', b',,",
+        "  `e` int COMMENT '" + "ßı' DEFAULT null,",
+        "  `f` key (`a`),",
+        "  x int,",
+        "  primary key (`A`)",
+        ")",
+    ])
+    got = [tuple(r) for r in ddl.columns(lines(spark, text)).select("name", "type", "nullable", "default_val", "key_hint", "meaning").orderBy("ordinal").collect()]
+    assert got == [
+        ("a", "INT UNSIGNED", "N", None, "PK", None), ("b", "'odd'", "Y", None, None, None), ("c", "", "Y", None, None, None),
+        ("d", "int", "Y", "x", None, "a', b"), ("e", "int", "Y", None, None, "ßı"),
+    ]
+
+
+def test_trim_before_a_line_end(spark):
+    row = spark.createDataFrame([("\x00 a b \u0085", "\t c \n", None)], "x string, y string, z string").select(trim("x"), trim("y"), trim("z")).first()
+    assert tuple(row) == ("a b \u0085", "c", None)
