@@ -51,3 +51,48 @@ def test_empty_training(spark):
     r = brown_lm.score(some, brown_lm.train(none)).collect()[0]
     assert (r.n_tokens, r.n_known) == (2, 0)
     assert brown_lm.score(none, brown_lm.train(some)).count() == 0
+
+
+def test_every_word_is_classed_by_its_own_neighbours(spark):
+    """Against plain loops: classes of all words that are no units, the tables, and the score, with words in and beyond the head."""
+    data = [(i, t) for i, t, *_ in rows(n=120) if i is not None]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    held = [(1, "never seen words " + (data[0][1] or "")), (2, None), (3, "xx")]
+    model = brown_lm.train(frame, frequent=20, endings=10, head=60, classes=8)
+    v, texts = model.vocabulary, [(t or "").encode().lower().split() for _, t in data]
+    unit = lambda w: int(v.units([w])[1][0])
+    seed, k = lambda w: int(model.class_of[unit(w)]), len(model.log_transition)
+    count, table, follows = collections.Counter(), np.zeros((k, k)), collections.defaultdict(lambda: np.zeros(k))
+    for words in texts:
+        before = 0
+        for w in words:
+            count[w] += 1
+            table[before, seed(w)] += 1
+            follows[w][before] += 1
+            before = seed(w)
+        table[before, 0] += 1
+    transition, share = brown_lm._logs(table, table.sum(0))
+    want = {}
+    for w, left in follows.items():
+        gain = left @ transition - left.sum() * share
+        want[w] = seed(w) if unit(w) <= 20 else 1 + int(np.argmax(gain[1:]))
+    got = {bytes(r.word): r.cls for r in model.counts.collect()} | {w: int(model.head_class[i]) for w, i in v.head.items()}
+    assert got == want
+    assert any(want[w] != want[x] for w in want for x in want if unit(w) > 20 and unit(w) == unit(x))  # one ending, two classes
+
+    final, mass = np.zeros((k, k)), np.zeros(k)
+    final[:, 0] = table[:, 0]
+    for w, left in follows.items():
+        final[:, want[w]] += left
+        mass[want[w]] += count[w] + 0.5
+    transition, share = brown_lm._logs(final, mass)
+    for i, t in held:
+        before, score = 0, 0.0
+        for w in (t or "").encode().lower().split():
+            cls = want.get(w, seed(w))
+            score += transition[before, cls] - share[cls] + math.log10(count[w] + 0.5)
+            before = seed(w)
+        held[i - 1] = (i, t, float(score) + float(transition[before, 0]))  # the end is the only member of its class
+    out = {r.doc_id: r.score for r in brown_lm.score(spark.createDataFrame([h[:2] for h in held], "doc_id long, text string"), model).collect()}
+    assert {i: round(x, 6) for i, x in out.items()} == {i: round(x, 6) for i, _, x in held}
+    assert np.allclose(model.log_transition, transition) and np.allclose(model.log_class_total, share)
