@@ -172,3 +172,15 @@ def impact(edges: DataFrame, assets: DataFrame, root: int, depth: int = 6, limit
     only = lambda df, key: df.join(few(key), F.col(key) == F.col(f"_{key}"), "left_semi")
     rows = nodes.join(only(about, "id"), "id").join(only(up, "parent_id"), "parent_id", "left").join(only(via, "edge_id"), "edge_id", "left")
     return rows.select(F.col("name").alias("affected_asset"), "domain_code", "grading", "depth", "via_parent", "via_column", F.col("path").alias("impact_path"), *facts)
+
+
+def affected(edges: DataFrame, assets: DataFrame, root: int, depth: int = 6) -> DataFrame:
+    """assets with depth, parent_id and edge_id, of every table below the root: one row for each edge that has this edge_id, as in `impact`.
+
+    For sums over all of them, so there is no limit and no budget of paths, and no rows go through the driver.
+    A root outside the catalog has none.
+    """
+    found = tree(edges, root, "DOWNSTREAM", depth).where("depth > 0")
+    nodes = staged(found.select(F.col("node").alias("id"), "depth", F.col("parent").alias("parent_id"), "edge_id"))
+    known = F.broadcast(assets.where(F.col("id") == root).limit(1).select(F.lit(1).alias("_root")))
+    return assets.join(nodes, "id").join(edges.select(F.col("id").alias("edge_id")), "edge_id").join(known, F.lit(True), "left_semi")

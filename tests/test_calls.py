@@ -53,6 +53,15 @@ def test_a_dense_graph_ends(spark):
     assert time.monotonic() - began < 20
 
 
+def test_affected_has_no_limit(spark):
+    # 300 tables below the root, one below all of these and three below that one: 1,500 paths
+    pairs = [(k, 1) for k in range(2, 302)] + [(400, k) for k in range(2, 302)] + [(k, 400) for k in (401, 402, 403)]
+    edges, ids = _edges(spark, pairs), [*range(2, 302), 400, 401, 402, 403]
+    got = lineage.affected(edges, _assets(spark, [1, *ids, 500]), 1)
+    assert sorted((r.id, r.depth, r.parent_id, r.edge_id) for r in got.collect()) == [*((k, 1, 1, k - 2) for k in range(2, 302)), (400, 2, 2, 300), *((k, 3, 400, k + 199) for k in (401, 402, 403))]
+    assert lineage.affected(edges, _assets(spark, ids), 1).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_a_trace_keeps_the_first_paths_of_all(spark, seed):
     """Small random graphs: nodes, parents and truncation as from all simple paths, listed and cut afterwards."""

@@ -1,6 +1,7 @@
 """Catalog queries on tables that look like those far larger ones give: numbers of edges that meet."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import upsert, versions
 from cairn.plans import registry
@@ -31,6 +32,19 @@ def test_a_slow_machine_changes_no_result(spark, duck, monkeypatch, name):  # no
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("least, most_affected", [(0, 1000), (1, 0)])
+def test_impact_by_domain_counts_every_table(spark, duck, tmp_path, least, most_affected):  # noqa: F811
+    """800 parts whose second edge leads to table 1, far more than a view shows; and a catalog without table 1, the root."""
+    few = spark.read.parquet(f"{SF}/part.parquet").where("p_partkey < 200")
+    hub = few.crossJoin(spark.range(4)).withColumn("p_partkey", F.expr("4333 + 7000 * (p_partkey + 200 * id)")).drop("id")
+    few.unionByName(hub).where(f"p_partkey >= {least}").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["impact_by_domain"](spark, str(tmp_path))
+    want = duck.sql(registry.ORACLES["impact_by_domain"].replace("WITH RECURSIVE ", f"WITH RECURSIVE part AS (SELECT * FROM '{tmp_path}/part.parquet/*.parquet'), ", 1))
+    rows = [tuple(r) for r in got.collect()]
+    assert _rows(got.columns, rows) == _rows(want.columns, want.fetchall())
+    assert 0.8 * most_affected <= sum(n for _, n, _ in rows) <= most_affected
+
+
 def test_a_version_header_is_made_once(spark, tmp_path):
     """Its counts go over whole catalogs, so what `get` has looked up is not computed again."""
     path = tmp_path / "headers"
